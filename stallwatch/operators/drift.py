@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallwatch.functions.scalar import finite, probability_band, psi_label
 from stallwatch.operators.aggregates import bin_index, unpivot_numbers
@@ -199,7 +200,7 @@ def _ks_np(ref: np.ndarray, cur: np.ndarray) -> float:
     return float(np.abs(np.searchsorted(ref, grid, "right") / len(ref) - np.searchsorted(cur, grid, "right") / len(cur)).max())
 
 
-@F.pandas_udf("struct<psi: double, ks_stat: double>")
+@F.pandas_udf(T.StructType([T.StructField("psi", T.DoubleType()), T.StructField("ks_stat", T.DoubleType())]))
 def _window_drift(ref: pd.Series, cur: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(_psi_np(np.asarray(r), np.asarray(c)), _ks_np(np.asarray(r), np.asarray(c))) for r, c in zip(ref, cur)], columns=["psi", "ks_stat"])
 

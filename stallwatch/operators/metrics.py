@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallwatch.plans.ordered import running_totals
 from stallwatch.plans.skew import lookup
@@ -220,12 +221,12 @@ def t_two_sided(t: float, dof: float) -> float:
     return _beta_fraction(dof / 2, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if pd.notna(a) and b > 0 else None for a, b in zip(t, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None for v in z], dtype="float64")
 

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import stallwatch
+
+# Functions sent to executors carry their code with them, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(stallwatch)
+
 # Runtime settings the operators rely on. All are session-scoped SQL settings, so they can be
 # applied to a session somebody else created.
 RUNTIME_CONF = {
