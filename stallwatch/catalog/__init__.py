@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-AREAS = ("ordered", "splits", "scoring", "drifting")
+AREAS = ("sharing", "mining")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

@@ -1,0 +1,41 @@
+"""Sequential detectors on a stream: state of bounded size per monitored series."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from stallwatch.operators.detectors import Consensus
+
+OUTPUT = "series string, position long, at timestamp, detectors string, agreeing int, consensus boolean"
+
+
+def streaming_changes(events: DataFrame, *, series: str, time: str, error: str, needed: int = 2, threshold: float = 50.0) -> DataFrame:
+    """Detector firings as rows arrive. Rows of a micro-batch are put in time order per series before they are fed.
+
+    The series is the unit of order; a service scoring with several models or shards monitors each as its own
+    series, which is what spreads the work.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        blob, position = state.get if state.exists else (None, 0)
+        watch = pickle.loads(bytes(blob)) if blob is not None else Consensus(needed, threshold)
+        rows, found = pd.concat(list(batches)).sort_values("at", kind="stable"), []
+        for at, x in zip(rows["at"], rows["x"]):
+            fired = watch.update(0.0 if x is None or x != x else float(x))
+            if fired:
+                found.append((key[0], position, at, ",".join(fired), len(fired), len(fired) >= needed))
+            position += 1
+        state.update((pickle.dumps(watch), position))
+        yield pd.DataFrame(found, columns=["series", "position", "at", "detectors", "agreeing", "consensus"])
+
+    feed = events.select(
+        events[series].cast("string").alias("series"), events[time].cast("timestamp").alias("at"), events[error].cast("double").alias("x")
+    )
+    state_schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("position", T.LongType())])
+    return feed.groupBy("series").applyInPandasWithState(run, OUTPUT, state_schema, "append", GroupStateTimeout.NoTimeout)
