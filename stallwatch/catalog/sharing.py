@@ -6,6 +6,7 @@ from stallwatch.catalog import query
 from stallwatch.catalog.tables import LIFECYCLE_SQL, LISTINGS_SQL, lifecycle, listings, r, rounded, table
 from stallwatch.operators import graph as G
 from stallwatch.operators.windows import identity_history
+from stallwatch.session import cut_lineage
 
 ENTITIES = {"supplier": ["l_suppkey"], "part": ["l_partkey"]}
 CAP = 3
@@ -18,12 +19,13 @@ def _edges_sql(cap=CAP, where="true"):
 
 
 def _edges(spark, d, cap=CAP):
-    return G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=cap)
+    """Edges as operators on top of them get them: stored once."""
+    return cut_lineage(G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=cap))
 
 
 @query(_edges_sql())
 def sharing_edges(spark, d):
-    return _edges(spark, d)
+    return G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=CAP)
 
 
 @query(_edges_sql(50, "b.o_orderdate <= TIMESTAMP '1998-06-30'"))
@@ -116,7 +118,7 @@ def _vectors(spark, d):
 
 
 def _vector_edges(spark, d):
-    return G.sharing_edges(_vectors(spark, d), entity="vec_id", time="at", identities={"label": ["label"]}, cap=4)
+    return cut_lineage(G.sharing_edges(_vectors(spark, d), entity="vec_id", time="at", identities={"label": ["label"]}, cap=4))
 
 
 _VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), g AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND b.rn > a.rn AND b.rn <= a.rn + 4)"

@@ -7,6 +7,7 @@ never held whole; ``epoch`` cuts long series into independent stretches that run
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -174,6 +175,16 @@ class Consensus:
     def update(self, x: float) -> list[str]:
         return [name for name, d in self.detectors.items() if d.update(x)]
 
+    def dump(self) -> str:
+        """The detectors' state as JSON text."""
+        return json.dumps({name: vars(d) for name, d in self.detectors.items()})
+
+    def load(self, text: str | None) -> "Consensus":
+        """Take up a dumped state; nothing to take up for a new series."""
+        for name, state in json.loads(text or "{}").items():
+            vars(self.detectors[name]).update(state)
+        return self
+
 
 DETECTION_SCHEMA = "position long, detectors string, agreeing int, consensus boolean"
 

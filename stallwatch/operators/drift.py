@@ -14,6 +14,7 @@ from stallwatch.functions.scalar import finite, probability_band, psi_label
 from stallwatch.operators.aggregates import bin_index, unpivot_numbers
 from stallwatch.operators.joins import compare_importance
 from stallwatch.plans.ordered import numbered, running_totals
+from stallwatch.session import cut_lineage
 
 PSI_SMOOTHING = 1e-6
 JSD_SMOOTHING = 1e-10
@@ -64,9 +65,10 @@ def binned_counts(reference: DataFrame, current: DataFrame, columns: Sequence[st
         )
         .select("feature", "bin", F.when(F.col("__s.hi") > F.col("__s.lo"), (F.col("__s.hi") - F.col("__s.lo")) / bins).otherwise(1.0 / bins).alias("width"))
     )
-    return grid.join(counted, ["feature", "bin"], "left").select(
+    filled = grid.join(counted, ["feature", "bin"], "left").select(
         "feature", "bin", "width", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ref", "cur")]
     )
+    return cut_lineage(filled)  # features x bins rows, read twice
 
 
 def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -112,8 +114,9 @@ def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str], alpha:
     """Exact two-sample KS statistic per feature, its asymptotic p-value and the verdict at ``alpha``."""
     long = unpivot_numbers(_sides(reference, current, columns), columns, ["__ref"]).filter(F.col("value").isNotNull())
     steps = long.groupBy("feature", "value").agg(F.sum("__ref").alias("__r"), F.sum(1 - F.col("__ref")).alias("__c"))
+    steps = cut_lineage(steps)
     cumulated = running_totals(steps, ["feature"], F.col("value"), {"__fr": F.col("__r"), "__fc": F.col("__c")}, slices=slices)
-    totals = long.groupBy("feature").agg(F.sum("__ref").alias("n_ref"), F.sum(1 - F.col("__ref")).alias("n_cur"))
+    totals = steps.groupBy("feature").agg(F.sum("__r").alias("n_ref"), F.sum("__c").alias("n_cur"))
     gaps = cumulated.join(totals, "feature").groupBy("feature").agg(
         F.max(F.abs(F.col("__fr") / F.col("n_ref") - F.col("__fc") / F.col("n_cur"))).alias("__d"),
         F.first("n_ref").alias("n_ref"),
@@ -225,7 +228,7 @@ def rolling_drift(
     A row takes part in at most ``current_size / every`` checks, so each check is a small bounded group.
     """
     indexed = numbered(df.select(series, order.alias("__o"), tie, F.col(score).cast("double").alias("__v")), [series], F.col("__o"), [F.col(tie)], "__i")
-    indexed = indexed.withColumn("__i", F.col("__i") - anchor_at).filter(F.col("__i") > 0)
+    indexed = cut_lineage(indexed.withColumn("__i", F.col("__i") - anchor_at).filter(F.col("__i") > 0))
     reference = indexed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.collect_list("__v").alias("__ref"))
     reference = reference.filter(F.size("__ref") == reference_size)
     i = F.col("__i")

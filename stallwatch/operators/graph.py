@@ -75,7 +75,8 @@ def sharing_edges(
     starts = first_time(df, entity, time, "__first").withColumnRenamed(entity, "entity_id")
     pairs = _pairs(df, entity, identities)
     pairs = pairs if multiplicity else pairs.distinct()
-    members = lookup(pairs, starts, ["entity_id"], "inner").filter(F.col("__first").isNotNull())
+    members = lookup(pairs, starts, ["entity_id"], "inner", counts_from=df.select(F.col(f"`{entity}`").alias("entity_id"))).filter(F.col("__first").isNotNull())
+    members = cut_lineage(members)  # one narrow row per (identity, entity), read for bounds, totals and both edge ends
     keys = ["kind", "identity"]
     group = [*keys, SLICE]
     sliced = with_slice(members, micros("__first"), slices)
@@ -135,7 +136,7 @@ def edges_by_history(edges: DataFrame, rates: DataFrame, key: str, rate: str, ab
     """Edges with an endpoint whose known positive rate exceeds a threshold; ``rates`` holds one row per entity."""
     a = rates.select(F.col(key).alias("src"), F.col(rate).alias("__a"))
     b = rates.select(F.col(key).alias("dst"), F.col(rate).alias("__b"))
-    joined = lookup(lookup(edges, a, ["src"], "left"), b, ["dst"], "left", counts_from=edges.select("dst"))
+    joined = lookup(lookup(edges, a, ["src"], "left", spread=["dst"]), b, ["dst"], "left", spread=["src"], counts_from=edges.select("dst"))
     return joined.filter(F.greatest(F.coalesce("__a", F.lit(0.0)), F.coalesce("__b", F.lit(0.0))) > above).drop("__a", "__b")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from stallwatch.plans.ordered import running_totals
 from stallwatch.plans.skew import lookup
+from stallwatch.session import cut_lineage
 
 
 def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str], slices: int | None = None) -> DataFrame:
@@ -22,6 +23,7 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str], slice
         .groupBy(*by, F.col(score).cast("double").alias("__s"))
         .agg(F.sum(y).alias("__p"), F.sum(1 - y).alias("__q"))
     )
+    steps = cut_lineage(steps)  # the scored table is read once
     return running_totals(steps, by, -F.col("__s"), {"__tp": F.col("__p"), "__fp": F.col("__q")}, slices=slices)
 
 
@@ -256,7 +258,8 @@ def auc_difference_test(df: DataFrame, label: str, a: str, b: str, row_id: str)
             ((totals["q"] - F.col("__fp") + F.col("__q") / 2.0) / totals["q"]).alias("__v_pos"),
             ((F.col("__tp") - F.col("__p") / 2.0) / totals["p"]).alias("__v_neg"),
         )
-        rows = lookup(rows, placed, [column], "inner", spread=[row_id]).withColumn(
+        counts = df.select(F.col(a if column == "__a" else b).cast("double").alias(column))
+        rows = lookup(rows, placed, [column], "inner", spread=[row_id], counts_from=counts).withColumn(
             out, F.when(F.col(label) == 1, F.col("__v_pos")).otherwise(F.col("__v_neg"))
         ).drop("__v_pos", "__v_neg")
     sums = rows.agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallwatch.functions.scalar import cyclical, log_count
 from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, micros, running_totals, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
+from stallwatch.session import cut_lineage
 
 
 def first_per(df: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFrame:
@@ -76,6 +77,7 @@ def identity_history(
     """
     known = events.filter(F.col(identity).isNotNull())
     pairs = known.groupBy(identity, entity).agg(F.min(micros(time)).alias("__seen"), F.min(micros(flag)).alias("__flag"))
+    pairs = cut_lineage(pairs)  # one narrow row per (identity, id), used three times below
     pairs = pairs.withColumn("__known", F.when(F.col("__flag").isNotNull(), F.greatest("__seen", "__flag")))
     marks = pairs.select(
         F.col(identity).alias("__identity"),
@@ -96,6 +98,8 @@ def identity_history(
         F.coalesce((F.col("__known") < micros(time)).cast("int"), F.lit(0)).alias("__own_flag"),
     )
     both = rows.unionByName(marks, allowMissingColumns=True)
+    times = known.select(F.col(identity).alias("__identity"), micros(time).alias("__t"))
+    shape = times.unionByName(marks, allowMissingColumns=True)
     counted = running_totals(
         both,
         ["__identity"],
@@ -103,6 +107,7 @@ def identity_history(
         {"__n_seen": F.coalesce("__seen1", F.lit(0)), "__n_flag": F.coalesce("__flag1", F.lit(0))},
         before=True,
         slices=slices,
+        shape=shape,
     ).filter(F.col("__row").isNotNull())
     starts = pairs.groupBy(F.col(identity).alias("__identity")).agg(F.min("__seen").alias("__start"))
     with_start = lookup(counted, starts, ["__identity"], "left", spread=["__t", "__n_seen"], counts_from=known.select(F.col(identity).alias("__identity")))

@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stallwatch.session import shuffle_width
+from stallwatch.session import cut_lineage, shuffle_width
 
 SLICE = "__slice"
 ORDER = "__order"
@@ -30,12 +30,16 @@ def micros(column: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def with_slice(df: DataFrame, order: Column, slices: int | None = None) -> DataFrame:
-    """Add ``__order`` (the order value) and ``__slice`` (its quantile slice, as int)."""
+def slice_bounds(df: DataFrame, order: Column, slices: int | None = None) -> list[float]:
+    """Approximate quantiles of the order value: at most ``slices - 1`` numbers, whatever the table size."""
     slices = slices or shuffle_width(df.sparkSession)
-    probe = df.select(order.cast("double").alias("o"))
     points = [i / slices for i in range(1, slices)]
-    bounds = sorted(set(probe.approxQuantile("o", points, 1.0 / (4 * slices)))) if points else []
+    probe = df.select(order.cast("double").alias("o"))
+    return sorted(set(probe.approxQuantile("o", points, 1.0 / (4 * slices)))) if points else []
+
+
+def cut_at(df: DataFrame, order: Column, bounds: Sequence[float]) -> DataFrame:
+    """Add ``__order`` (the order value) and ``__slice`` (the interval of ``bounds`` it falls into)."""
     ordered = df.withColumn(ORDER, order)
     if not bounds:
         return ordered.withColumn(SLICE, F.lit(0))
@@ -52,6 +56,11 @@ def with_slice(df: DataFrame, order: Column, slices: int | None = None) -> DataF
     )
 
 
+def with_slice(df: DataFrame, order: Column, slices: int | None = None) -> DataFrame:
+    """Slice ``df`` at the quantiles of its own order value."""
+    return cut_at(df, order, slice_bounds(df, order, slices))
+
+
 def earlier_slices(keys: Sequence[str]) -> WindowSpec:
     """All slices of a key before the current one; at most one row per slice, so the group is bounded."""
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,16 +78,20 @@ def running_totals(
     *,
     before: bool = False,
     slices: int | None = None,
+    shape: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative sums per key over ``order`` (ascending), added as the names in ``measures``.
 
     ``before=False`` includes rows with the same order value; ``before=True`` excludes them and needs an
-    integral order (for example :func:`micros`).
+    integral order (for example :func:`micros`). The frame is read three times (bounds, totals, rows); when it
+    is costly, ``shape`` names a cheaper one with the same keys, order and measures for the first two.
     """
-    prepared = df.select("*", *[m.alias(f"__m_{n}") for n, m in measures.items()])
-    sliced = with_slice(prepared, order, slices)
+    shape = df if shape is None else shape
+    bounds = slice_bounds(shape, order, slices)
+    sliced = cut_at(df.select("*", *[m.alias(f"__m_{n}") for n, m in measures.items()]), order, bounds)
     group = [*keys, SLICE]
-    totals = sliced.groupBy(*group).agg(*[F.sum(f"__m_{n}").alias(f"__t_{n}") for n in measures])
+    outline = cut_at(shape.select("*", *[m.alias(f"__m_{n}") for n, m in measures.items()]), order, bounds)
+    totals = outline.groupBy(*group).agg(*[F.sum(f"__m_{n}").alias(f"__t_{n}") for n in measures])
     carry = totals.select(
         *group, *[F.coalesce(F.sum(f"__t_{n}").over(earlier_slices(keys)), F.lit(0)).alias(f"__c_{n}") for n in measures]
     )
@@ -120,8 +133,9 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    counts = cut_lineage(counts)  # distinct values with counts: small next to the table, and read several times
     ranked = running_totals(counts, keys, F.col("__v"), {"__cum": F.col("__n")}, slices=slices)
-    totals = df.groupBy(*keys).agg(F.count(value).alias("__total"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("__total", totals.scalar())
 
     def at(position: Column) -> Column:

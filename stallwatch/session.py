@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +75,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """How many ways ordered work is sliced: follows the cluster's shuffle width, within sane bounds."""
     return max(2, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, for tables a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

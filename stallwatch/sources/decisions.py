@@ -33,6 +33,7 @@ def append_decisions(decisions: DataFrame, folder: str, *, batch_id: int | None
     """Append to ``bucket=/decision_date=`` Parquet. With a batch id the append is repeatable: a retried
     micro-batch replaces its own partition instead of adding rows twice."""
     target = f"{folder}/decisions"
+    decisions = decisions.hint("rebalance", "bucket", "decision_date")  # few files per day, hot days split
     if batch_id is None:
         decisions.write.mode("append").option("compression", "zstd").partitionBy("bucket", "decision_date").parquet(target)
         return

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,19 +22,19 @@ def streaming_changes(events: DataFrame, *, series: str, time: str, error: str,
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blob, position = state.get if state.exists else (None, 0)
-        watch = pickle.loads(bytes(blob)) if blob is not None else Consensus(needed, threshold)
+        text, position = state.get if state.exists else (None, 0)
+        watch = Consensus(needed, threshold).load(text)
         rows, found = pd.concat(list(batches)).sort_values("at", kind="stable"), []
         for at, x in zip(rows["at"], rows["x"]):
             fired = watch.update(0.0 if x is None or x != x else float(x))
             if fired:
                 found.append((key[0], position, at, ",".join(fired), len(fired), len(fired) >= needed))
             position += 1
-        state.update((pickle.dumps(watch), position))
+        state.update((watch.dump(), position))
         yield pd.DataFrame(found, columns=["series", "position", "at", "detectors", "agreeing", "consensus"])
 
     feed = events.select(
         events[series].cast("string").alias("series"), events[time].cast("timestamp").alias("at"), events[error].cast("double").alias("x")
     )
-    state_schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("position", T.LongType())])
+    state_schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("position", T.LongType())])
     return feed.groupBy("series").applyInPandasWithState(run, OUTPUT, state_schema, "append", GroupStateTimeout.NoTimeout)
