@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-AREAS = ("decisions", "modelling")
+AREAS = ("scalars", "hashing", "joins", "reports", "ordered", "splits", "scoring", "drifting", "sharing", "mining", "decisions", "modelling")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

@@ -99,9 +99,9 @@ class Ddm:
         s = math.sqrt(max(self.p * (1 - self.p), 0.0) / self.n)
         if self.n < self.min_instances:
             return False
-        if self.p + s <= self.best_p + self.best_s:
+        if 0 < self.p + s <= self.best_p + self.best_s:  # no level to compare with before the first error
             self.best_p, self.best_s = self.p, s
-        if self.p + s > self.best_p + self.drift_level * self.best_s and self.best_s > 0:
+        if self.p + s > self.best_p + self.drift_level * self.best_s:
             self._reset()
             return True
         return False
