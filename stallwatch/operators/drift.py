@@ -20,86 +20,91 @@ PSI_SMOOTHING = 1e-6
 JSD_SMOOTHING = 1e-10
 
 
-def _ranges(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Smallest and largest value of every column as one scalar subquery (a struct of structs)."""
-    parts = [
-        F.struct(F.min(F.col(f"`{c}`")).cast("double").alias("lo"), F.max(F.col(f"`{c}`")).cast("double").alias("hi")).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]
-    return df.agg(F.struct(*parts).alias("r")).scalar()
-
-
 def _sides(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
     return reference.select(F.lit(1).alias("__ref"), *cols).unionByName(current.select(F.lit(0).alias("__ref"), *cols))
 
 
-def binned_counts(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int, *, joint_range: bool) -> DataFrame:
-    """(feature, bin, ref, cur, width) for every feature and every bin, empty bins included.
+REFERENCE_RANGE, JOINT_RANGE = "reference", "joint"
+
 
-    All features are binned in one pass; at most features x bins x 2 groups leave each task.
+def binned_counts(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int, spans: Sequence[str]) -> DataFrame:
+    """(span, feature, bin, width, ref, cur) for every feature and bin, empty bins included.
+
+    Bins divide the reference range, the joint range, or each in turn. One pass finds all ranges (four
+    numbers per column), one pass counts all bins; at most spans x features x bins x 2 groups leave a task.
     """
     both = _sides(reference, current, columns)
-    ranges = _ranges(both if joint_range else reference, columns)
-    cells = []
-    for i, c in enumerate(columns):
-        lo, hi = ranges[f"c{i}"]["lo"], ranges[f"c{i}"]["hi"]
-        cells.append(
-            F.struct(F.lit(c).alias("feature"), F.when(F.col(f"`{c}`").isNotNull(), bin_index(F.col(f"`{c}`"), lo, hi, bins)).alias("bin"))
+    ends = []
+    for c in columns:
+        value, known = F.col(f"`{c}`"), F.when(F.col("__ref") == 1, F.col(f"`{c}`"))
+        ends += [F.min(known), F.max(known), F.min(value), F.max(value)]
+    found = [0.0 if v is None else v for v in both.agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()]
+    offset = {REFERENCE_RANGE: 0, JOINT_RANGE: 2}
+    ranges = [(span, c, *found[4 * i + offset[span] : 4 * i + offset[span] + 2]) for span in spans for i, c in enumerate(columns)]
+    cells = [
+        F.struct(
+            F.lit(span).alias("span"),
+            F.lit(c).alias("feature"),
+            F.when(F.col(f"`{c}`").isNotNull(), bin_index(F.col(f"`{c}`"), F.lit(lo), F.lit(hi), bins)).alias("bin"),
         )
+        for span, c, lo, hi in ranges
+    ]
     counted = (
         both.select("__ref", F.explode(F.array(*cells)).alias("c"))
-        .filter(F.col("c.bin").isNotNull())
-        .groupBy(F.col("c.feature").alias("feature"), F.col("c.bin").alias("bin"))
+        .select("__ref", "c.*")
+        .filter(F.col("bin").isNotNull())
+        .groupBy("span", "feature", "bin")
         .agg(F.sum("__ref").alias("ref"), F.sum(1 - F.col("__ref")).alias("cur"))
     )
-    # The grid of all bins has features x bins rows, fixed by the call and not by the data.
-    spark = reference.sparkSession
-    span = F.array(*[ranges[f"c{i}"] for i in range(len(columns))])
-    grid = (
-        spark.range(len(columns) * bins)
-        .select(
-            F.element_at(F.array(*[F.lit(c) for c in columns]), (F.col("id") / bins).cast("int") + 1).alias("feature"),
-            (F.col("id") % bins).cast("int").alias("bin"),
-            F.element_at(span, (F.col("id") / bins).cast("int") + 1).alias("__s"),
-        )
-        .select("feature", "bin", F.when(F.col("__s.hi") > F.col("__s.lo"), (F.col("__s.hi") - F.col("__s.lo")) / bins).otherwise(1.0 / bins).alias("width"))
+    # The grid of all bins is fixed by the call and not by the data.
+    grid = reference.sparkSession.createDataFrame(
+        [(span, c, b, (hi - lo) / bins if hi > lo else 1.0 / bins) for span, c, lo, hi in ranges for b in range(bins)],
+        "span string, feature string, bin int, width double",
     )
-    filled = grid.join(counted, ["feature", "bin"], "left").select(
-        "feature", "bin", "width", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ref", "cur")]
+    filled = grid.join(counted, ["span", "feature", "bin"], "left").select(
+        "span", "feature", "bin", "width", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ref", "cur")]
     )
-    return cut_lineage(filled)  # features x bins rows, read twice
+    return cut_lineage(filled)  # as many rows as the grid, read several times
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Population stability index per feature over equal-width bins of the reference range.
+def _with_totals(counts: DataFrame, span: str) -> DataFrame:
+    one = counts.filter(F.col("span") == span)
+    return one.join(one.groupBy("feature").agg(F.sum("ref").alias("__nr"), F.sum("cur").alias("__nc")), "feature")
 
-    Current values outside that range fall into the outer bins; a side with fewer rows than bins gives 0.
-    """
-    counts = binned_counts(reference, current, columns, bins, joint_range=False)
-    totals = counts.groupBy("feature").agg(F.sum("ref").alias("__nr"), F.sum("cur").alias("__nc"))
+
+def _psi_of(counts: DataFrame, bins: int) -> DataFrame:
     r = (F.col("ref") + PSI_SMOOTHING) / (F.col("__nr") + bins * PSI_SMOOTHING)
     c = (F.col("cur") + PSI_SMOOTHING) / (F.col("__nc") + bins * PSI_SMOOTHING)
-    value = F.sum((c - r) * F.log(c / r))
     enough = (F.min("__nr") >= bins) & (F.min("__nc") >= bins)
-    out = counts.join(totals, "feature").groupBy("feature").agg(F.when(enough, value).otherwise(0.0).alias("psi"))
-    return out.withColumn("label", psi_label("psi"))
-
+    value = F.when(enough, F.sum((c - r) * F.log(c / r))).otherwise(0.0)
+    return _with_totals(counts, REFERENCE_RANGE).groupBy("feature").agg(value.alias("psi"))
 
-def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Jensen-Shannon divergence (natural log, at most ln 2) per feature over the joint range."""
-    counts = binned_counts(reference, current, columns, bins, joint_range=True)
-    totals = counts.groupBy("feature").agg(F.sum("ref").alias("__nr"), F.sum("cur").alias("__nc"))
 
+def _jsd_of(counts: DataFrame, bins: int) -> DataFrame:
     def density(count: str, total: str) -> Column:
         scale = 1.0 / F.col("width") + bins * JSD_SMOOTHING
         return (F.col(count) / (F.col(total) * F.col("width")) + JSD_SMOOTHING) / scale
 
     p, q = density("ref", "__nr"), density("cur", "__nc")
     m = (p + q) / 2
-    value = 0.5 * F.sum(p * F.log(p / m)) + 0.5 * F.sum(q * F.log(q / m))
     enough = (F.min("__nr") >= bins) & (F.min("__nc") >= bins)
-    return counts.join(totals, "feature").groupBy("feature").agg(F.when(enough, value).otherwise(0.0).alias("jsd"))
+    value = F.when(enough, 0.5 * F.sum(p * F.log(p / m)) + 0.5 * F.sum(q * F.log(q / m))).otherwise(0.0)
+    return _with_totals(counts, JOINT_RANGE).groupBy("feature").agg(value.alias("jsd"))
+
+
+def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Population stability index per feature over equal-width bins of the reference range.
+
+    Current values outside that range fall into the outer bins; a side with fewer rows than bins gives 0.
+    """
+    found = _psi_of(binned_counts(reference, current, columns, bins, [REFERENCE_RANGE]), bins)
+    return found.withColumn("label", psi_label("psi"))
+
+
+def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Jensen-Shannon divergence (natural log, at most ln 2) per feature over the joint range."""
+    return _jsd_of(binned_counts(reference, current, columns, bins, [JOINT_RANGE]), bins)
 
 
 def kolmogorov_tail(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -147,7 +152,8 @@ def drift_report(
     columns = [prediction, *features]
     clean = [F.col(prediction).cast("double").alias(prediction), *[finite(F.col(f"`{c}`")).alias(c) for c in features]]
     ref, cur = reference.select(*clean), current.select(*clean)
-    joined = psi(ref, cur, columns).drop("label").join(ks(ref, cur, columns, alpha), "feature").join(jensen_shannon(ref, cur, columns), "feature")
+    counts = binned_counts(ref, cur, columns, 10, [REFERENCE_RANGE, JOINT_RANGE])
+    joined = _psi_of(counts, 10).join(ks(ref, cur, columns, alpha), "feature").join(_jsd_of(counts, 10), "feature")
     is_prediction = F.col("feature") == prediction
     votes = (F.col("psi") > psi_above).cast("int") + F.col("ks_drift").cast("int") + (F.col("jsd") > jsd_above).cast("int")
     return joined.select(

@@ -245,19 +245,23 @@ def components(pairs: DataFrame, entity: str, identity: str, *, max_rounds: int
     centre = linked.groupBy(identity).agg(F.min(entity).alias("v"))
     edges = lookup(linked, centre, [identity], "inner", spread=[entity]).select(F.col(entity).alias("u"), "v").filter("u <> v").distinct()
     edges = cut_lineage(edges)
-    mark = None
     for _ in range(max_rounds):
-        edges = cut_lineage(_small_star(_large_star(edges)))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        if _is_star_forest(edges):
             break
-        mark = now
+        edges = cut_lineage(_small_star(_large_star(edges)))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias(entity), F.col("v").alias("component"))
     return known.select(entity).distinct().join(roots, entity, "left").withColumn("component", F.coalesce("component", entity))
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node points to one root and no root points on."""
+    forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chained = edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi")
+    return forked.select("u").unionByName(chained).isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

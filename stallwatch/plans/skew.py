@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 from stallwatch.session import shuffle_width
 
 SALT = "__salt"
-_SALTS = "__salts"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding more than one shuffle partition's fair share of ``df``, with the pieces each needs.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys that hold more than a few shuffle partitions' fair share of ``df``.
 
-    At most ``shuffle_width`` keys can exceed that share, so the result is small by construction and safe
-    to broadcast. Counting is pre-aggregated before the shuffle.
+    Spark's frequent-items sketch finds every such key in one pass over the key columns without a shuffle.
+    It keeps at most ``1 / support`` candidates, so the list is small by construction; a candidate that is
+    not really hot costs a few copied rows and nothing else.
     """
-    width = shuffle_width(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return counts.filter(F.col("__n") * width > total).select(*keys, F.ceil(F.col("__n") * width / total).cast("int").alias(_SALTS))
+    support = max(1e-4, min(0.25, 4 / shuffle_width(df.sparkSession)))
+    hashed = df.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
+    return sorted(hashed.stat.freqItems(["h"], support).first()[0] or [])
 
 
 def lookup(
@@ -36,24 +35,23 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` to ``right`` (inner or left; usually one right row per key) so that hot left keys spread out.
 
-    Hot keys are salted on the left by a hash of the row (of ``spread`` when given) and copied once per
-    salt on the right; all other keys join plainly. ``counts_from`` may name a cheaper frame with the same
-    key distribution as ``left``. Needed because adaptive skew handling does not see through a right side
-    that was just aggregated on the join key.
+    Without hot keys this is the plain join. Otherwise hot keys are salted on the left by a hash of the row
+    (of ``spread`` when given) and copied once per salt on the right. ``counts_from`` may name a cheaper
+    frame with the same key distribution as ``left``. Needed because adaptive skew handling does not see
+    through a right side that was just aggregated on the join key.
     """
     keys = list(keys)
     source = left if counts_from is None else counts_from
-    hot = F.broadcast(hot_keys(source.filter(F.col(keys[0]).isNotNull()), keys))
+    hot = hot_keys(source, keys)
+    if not hot:
+        return left.join(right, keys, how)
+    salts = shuffle_width(left.sparkSession)
+    is_hot = F.xxhash64(*[F.col(f"`{k}`") for k in keys]).isin(hot)
     spread_cols = [F.col(f"`{c}`") for c in (spread or left.columns)]
-    width = shuffle_width(left.sparkSession)
-    salts = F.when(F.col(keys[0]).isNull(), F.lit(width)).otherwise(F.col(_SALTS))  # null keys match nothing: spread them
-    salted_left = left.join(hot, keys, "left").withColumn(
-        SALT, F.when(salts.isNotNull(), F.pmod(F.xxhash64(*spread_cols), salts).cast("int")).otherwise(0)
-    )
-    salted_right = right.join(hot, keys, "left").withColumn(
-        SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1))
-    )
-    return salted_left.drop(_SALTS).join(salted_right.drop(_SALTS), [*keys, SALT], how).drop(SALT)
+    salted_left = left.withColumn(SALT, F.when(is_hot, F.pmod(F.xxhash64(*spread_cols), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn(SALT, F.explode(copies))
+    return salted_left.join(salted_right, [*keys, SALT], how).drop(SALT)
 
 
 def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
