@@ -11,7 +11,7 @@ from stallwatch.session import scratch_folder
 from stallwatch.sources import decisions as D
 from stallwatch.sources import feeds as S
 from stallwatch.sources import ingest as I
-from stallwatch.streaming.drift import streaming_changes
+from stallwatch.streaming.drift import streaming_changes, streaming_rolling_drift
 from stallwatch.streaming.enrich import enriched
 from stallwatch.streaming.ingest import deduplicated, start_ingest, table_stream
 from stallwatch.streaming.links import LiveLinks
@@ -274,6 +274,18 @@ def stream_enrichment(spark, d):
     return _append(joined.select("event_id", "signal_id"), scratch_folder(spark, "enrich")).filter(F.col("signal_id").isNotNull())
 
 
+@query("""
+WITH o AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+k AS (SELECT DISTINCT o.event_type, j.j AS check_at FROM o, range(100, 10000000, 10) j(j) WHERE j.j <= o.n AND o.i = 1),
+x AS (SELECT k.event_type, k.check_at, o.v, 1 AS a FROM k JOIN o ON o.event_type = k.event_type AND o.i <= 100 UNION ALL SELECT k.event_type, k.check_at, o.v, 0 FROM k JOIN o ON o.event_type = k.event_type AND o.i <= k.check_at AND o.i > k.check_at - 50),
+s AS (SELECT event_type, check_at, v, sum(a) AS r, sum(1 - a) AS c FROM x GROUP BY 1, 2, 3),
+f AS (SELECT event_type, check_at, sum(r) OVER w AS fr, sum(c) OVER w AS fc FROM s WINDOW w AS (PARTITION BY event_type, check_at ORDER BY v))
+SELECT event_type AS series, check_at, round(max(abs(fr / 100.0 - fc / 50.0)), 6) AS ks_stat FROM f GROUP BY 1, 2""")
+def stream_rolling_drift(spark, d):
+    out = _append(streaming_rolling_drift(_events_stream(spark, d), series="event_type", time="ts", score="value"), scratch_folder(spark, "rolling"))
+    return rounded(out.select("series", "check_at", "ks_stat"), ["ks_stat"])
+
+
 @query()
 def stream_detectors(spark, d):
     stream = _events_stream(spark, d).withColumn("wrong", (F.col("value") > 60).cast("double"))

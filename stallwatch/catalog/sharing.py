@@ -76,6 +76,21 @@ def graph_statistics(spark, d):
     return G.graph_statistics(G.nodes(li, "l_orderkey", ENTITIES), G.used_edges(li, "l_orderkey", ENTITIES))
 
 
+@query(f"""
+WITH k AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30'), s AS ({_edges_sql(4, "b.o_orderdate <= TIMESTAMP '1998-06-30'")}),
+u AS (SELECT DISTINCT o_orderkey, o_custkey FROM k)
+SELECT 'listing' AS part, count(DISTINCT o_orderkey) AS n FROM k UNION ALL SELECT 'customer', count(DISTINCT o_custkey) FROM k
+UNION ALL SELECT 'used_customer', count(*) FROM u UNION ALL SELECT 'rev_used_customer', count(*) FROM u UNION ALL SELECT 'sharing', count(*) FROM s""")
+def whole_graph_as_of(spark, d):
+    from datetime import datetime
+
+    columns = {"customer": ["o_custkey"]}
+    g = G.build_graph(listings(spark, d), entity="o_orderkey", time="o_orderdate", cutoff=datetime(1998, 6, 30), entity_columns=columns, identities=columns, cap=4)
+    count = F.count(F.lit(1)).alias("n")
+    parts = g.nodes.groupBy(F.col("node_type").alias("part")).agg(count).unionByName(g.used.groupBy(F.col("edge_type").alias("part")).agg(count))
+    return parts.unionByName(g.sharing.agg(F.lit("sharing").alias("part"), count))
+
+
 @query(f"""
 SELECT identity_type, count(*) AS edges, round(avg(CAST(a.label + b.label = 2 AS INT)), 6) AS both_positive, round(avg(CAST(a.label + b.label = 0 AS INT)), 6) AS both_negative, round(avg(CAST(a.label + b.label = 1 AS INT)), 6) AS mixed
 FROM ({_edges_sql()}) e JOIN ({LISTINGS_SQL}) a ON src = a.o_orderkey JOIN ({LISTINGS_SQL}) b ON dst = b.o_orderkey GROUP BY 1""")

@@ -121,8 +121,9 @@ def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str], alpha:
     steps = long.groupBy("feature", "value").agg(F.sum("__ref").alias("__r"), F.sum(1 - F.col("__ref")).alias("__c"))
     steps = cut_lineage(steps)
     cumulated = running_totals(steps, ["feature"], F.col("value"), {"__fr": F.col("__r"), "__fc": F.col("__c")}, slices=slices)
+    # One row per feature, so the broadcast is as small as the list of columns.
     totals = steps.groupBy("feature").agg(F.sum("__r").alias("n_ref"), F.sum("__c").alias("n_cur"))
-    gaps = cumulated.join(totals, "feature").groupBy("feature").agg(
+    gaps = cumulated.join(F.broadcast(totals), "feature").groupBy("feature").agg(
         F.max(F.abs(F.col("__fr") / F.col("n_ref") - F.col("__fc") / F.col("n_cur"))).alias("__d"),
         F.first("n_ref").alias("n_ref"),
         F.first("n_cur").alias("n_cur"),
@@ -192,7 +193,7 @@ def band_distribution(df: DataFrame, score: str) -> DataFrame:
     return df.groupBy(probability_band(score).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _psi_np(ref: np.ndarray, cur: np.ndarray, bins: int = 10) -> float:
+def psi_of(ref: np.ndarray, cur: np.ndarray, bins: int = 10) -> float:
     if len(ref) < bins or len(cur) < bins:
         return 0.0
     lo, hi = ref.min(), ref.max()
@@ -203,7 +204,7 @@ def _psi_np(ref: np.ndarray, cur: np.ndarray, bins: int = 10) -> float:
     return float(((c - r) * np.log(c / r)).sum())
 
 
-def _ks_np(ref: np.ndarray, cur: np.ndarray) -> float:
+def ks_of(ref: np.ndarray, cur: np.ndarray) -> float:
     grid = np.concatenate([ref, cur])
     ref, cur = np.sort(ref), np.sort(cur)
     return float(np.abs(np.searchsorted(ref, grid, "right") / len(ref) - np.searchsorted(cur, grid, "right") / len(cur)).max())
@@ -211,7 +212,7 @@ def _ks_np(ref: np.ndarray, cur: np.ndarray) -> float:
 
 @F.pandas_udf(T.StructType([T.StructField("psi", T.DoubleType()), T.StructField("ks_stat", T.DoubleType())]))
 def _window_drift(ref: pd.Series, cur: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(_psi_np(np.asarray(r), np.asarray(c)), _ks_np(np.asarray(r), np.asarray(c))) for r, c in zip(ref, cur)], columns=["psi", "ks_stat"])
+    return pd.DataFrame([(psi_of(np.asarray(r), np.asarray(c)), ks_of(np.asarray(r), np.asarray(c))) for r, c in zip(ref, cur)], columns=["psi", "ks_stat"])
 
 
 def rolling_drift(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from stallwatch.operators.aggregates import entity_profile, impute_median
 from stallwatch.operators.windows import first_time, identity_history, time_encodings
 from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, micros, numbered, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
+from stallwatch.registry import ENTITY_COLUMNS, POSITIVE_IDENTITIES, SHARING_IDENTITIES
 from stallwatch.session import cut_lineage
 
 
@@ -101,6 +103,45 @@ def sharing_edges(
     return sources.join(ends, [*keys, "__rn"]).select(F.col("kind").alias("identity_type"), "src", "dst", "src_time", "dst_time")
 
 
+@dataclass(frozen=True)
+class Graph:
+    """A graph as tables: typed nodes, bipartite edges (with their reverses) and time-directed sharing edges."""
+
+    nodes: DataFrame
+    used: DataFrame
+    sharing: DataFrame
+
+
+def build_graph(
+    df: DataFrame,
+    *,
+    entity: str,
+    time: str,
+    cutoff: datetime,
+    entity_columns: dict[str, Sequence[str]] = ENTITY_COLUMNS,
+    identities: dict[str, Sequence[str]] | None = None,
+    cap: int = 100,
+    min_count: int = 1,
+    reverse: bool = True,
+) -> Graph:
+    """The heterogeneous graph known at the cutoff. Without any event the tables are empty but typed."""
+    known = as_of(df, time, cutoff)
+    identities = identities or {c: [c] for c in SHARING_IDENTITIES if c in df.columns}
+    used = used_edges(known, entity, entity_columns)
+    return Graph(
+        nodes(known, entity, entity_columns, min_count=min_count),
+        with_reverse(used) if reverse else used,
+        sharing_edges(known, entity=entity, time=time, identities=identities, cap=cap),
+    )
+
+
+def listing_graph(
+    df: DataFrame, *, entity: str, time: str, cutoff: datetime, identities: Sequence[str] = POSITIVE_IDENTITIES, cap: int = 50
+) -> DataFrame:
+    """Listing-only sharing edges over chosen identities (by default those whose connectivity raises risk)."""
+    return sharing_edges(as_of(df, time, cutoff), entity=entity, time=time, identities={c: [c] for c in identities}, cap=cap)
+
+
 def graph_statistics(node_table: DataFrame, edge_table: DataFrame, edge_type: str = "edge_type") -> DataFrame:
     """(kind, name, n) for nodes and edges by type, with a total of each."""
     n = node_table.rollup("node_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("kind"), F.coalesce("node_type", F.lit("total")).alias("name"), "n")
@@ -202,7 +243,7 @@ def sample_neighbours(edges: DataFrame, fanouts: Sequence[int], seeds: DataFrame
     order = [F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), F.col("src")]
     frontier, hops = seeds.select(F.col(seeds.columns[0]).alias("dst")).distinct(), []
     for hop, fanout in enumerate(fanouts, start=1):
-        near = edges.select(edge_type, "src", "dst").distinct().join(frontier, "dst", "left_semi")
+        near = lookup(edges.select(edge_type, "src", "dst").distinct(), frontier, ["dst"], "left_semi", spread=["src"], counts_from=edges.select("dst"))
         kept = first_n_per_key(near, ["dst", edge_type], order, fanout)
         hops.append(kept.select(F.lit(hop).alias("hop"), edge_type, "src", "dst"))
         frontier = kept.select(F.col("src").alias("dst")).distinct()

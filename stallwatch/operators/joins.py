@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, later_slices, micros, with_slice
+from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, later_slices, micros, numbered, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
+from stallwatch.session import cut_lineage
 
 
 def asof_join(
@@ -127,8 +128,8 @@ def resolve_overlap(train: DataFrame, test: DataFrame, key: str, policy: str) ->
     if policy not in OVERLAP_POLICIES:
         raise ValueError(f"unknown overlap policy {policy!r}")
     train_ids, test_ids = train.select(key).distinct(), test.select(key).distinct()
-    kept_train = train.join(test_ids, key, "left_anti") if policy in ("test_priority", "remove_both") else train
-    kept_test = test.join(train_ids, key, "left_anti") if policy in ("train_priority", "remove_both") else test
+    kept_train = lookup(train, test_ids, [key], "left_anti", counts_from=train.select(key)) if policy in ("test_priority", "remove_both") else train
+    kept_test = lookup(test, train_ids, [key], "left_anti", counts_from=test.select(key)) if policy in ("train_priority", "remove_both") else test
     return kept_train, kept_test
 
 
@@ -139,9 +140,11 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("category")) for c in columns])
         ).alias("p")
     ).select("p.*")
-    distinct = pairs.filter(F.col("category").isNotNull()).distinct()
-    code = F.row_number().over(Window.partitionBy("feature").orderBy("category")) - 1
-    return distinct.withColumn("code", code.cast("double"))
+    distinct = cut_lineage(pairs.filter(F.col("category").isNotNull()).distinct())
+    # The first six bytes as a number sort like the text itself, so even a huge dictionary is numbered in slices.
+    head = F.conv(F.rpad(F.substring(F.hex(F.encode("category", "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    coded = numbered(distinct, ["feature"], head, ["category"], "code")
+    return coded.withColumn("code", (F.col("code") - 1).cast("double"))
 
 
 def encode_categories(

@@ -33,7 +33,7 @@ def lookup(
     spread: Sequence[str] | None = None,
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` (inner or left; usually one right row per key) so that hot left keys spread out.
+    """Join ``left`` to ``right`` (inner, left, left_semi or left_anti) so that hot left keys spread out.
 
     Without hot keys this is the plain join. Otherwise hot keys are salted on the left by a hash of the row
     (of ``spread`` when given) and copied once per salt on the right. ``counts_from`` may name a cheaper

@@ -4,16 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stallwatch.operators.detectors import Consensus
+from stallwatch.operators.drift import ks_of, psi_of
 
 OUTPUT = "series string, position long, at timestamp, detectors string, agreeing int, consensus boolean"
 
 
+ROLLING_OUTPUT = "series string, check_at long, psi double, ks_stat double, label string"
+
+
+def streaming_rolling_drift(
+    events: DataFrame, *, series: str, time: str, score: str, reference_size: int = 100, current_size: int = 50, every: int = 10
+) -> DataFrame:
+    """Rolling checks as predictions arrive: the first ``reference_size`` against the last ``current_size``, every ``every``.
+
+    State per series is the reference and the latest window, so its size is fixed.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reference, latest, seen = (list(v) if isinstance(v, (list, tuple)) else v for v in (state.get if state.exists else ([], [], 0)))
+        rows, found = pd.concat(list(batches)).sort_values("at", kind="stable"), []
+        for x in rows["x"]:
+            seen += 1
+            if len(reference) < reference_size:
+                reference.append(float(x))
+            latest = [*latest[-(current_size - 1) :], float(x)]
+            if seen >= reference_size and (seen - reference_size) % every == 0:
+                psi, gap = psi_of(np.array(reference), np.array(latest)), ks_of(np.array(reference), np.array(latest))
+                label = "STABLE" if psi < 0.1 else "MODERATE SHIFT" if psi < 0.25 else "SIGNIFICANT DRIFT"
+                found.append((key[0], seen, psi, gap, label))
+        state.update((reference, latest, seen))
+        yield pd.DataFrame(found, columns=["series", "check_at", "psi", "ks_stat", "label"])
+
+    feed = events.select(
+        events[series].cast("string").alias("series"), events[time].cast("timestamp").alias("at"), events[score].cast("double").alias("x")
+    )
+    numbers = T.ArrayType(T.DoubleType())
+    state_schema = T.StructType([T.StructField("reference", numbers), T.StructField("latest", numbers), T.StructField("seen", T.LongType())])
+    return feed.groupBy("series").applyInPandasWithState(run, ROLLING_OUTPUT, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
 def streaming_changes(events: DataFrame, *, series: str, time: str, error: str, needed: int = 2, threshold: float = 50.0) -> DataFrame:
     """Detector firings as rows arrive. Rows of a micro-batch are put in time order per series before they are fed.
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stallwatch.operators.graph import link_counts
 from stallwatch.plans.ordered import micros
+from stallwatch.plans.skew import lookup
 from stallwatch.streaming.sinks import has_data, write_batch
 
 
@@ -66,7 +67,7 @@ class LiveLinks:
         if self.ttl_days is not None:
             oldest = events.agg(F.min(micros(self.time)).alias("t")).scalar()
             known = known.filter(F.col("seen") >= oldest - int(self.ttl_days * 86_400_000_000))
-        return known.join(fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi")
+        return lookup(known, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi", spread=["entity"])
 
     def start(self, events: DataFrame) -> StreamingQuery:
         return (
