@@ -76,7 +76,10 @@ def hashed_addresses_v4(spark, d):
     return table(spark, d, "events").select("event_id", *[v.alias(k) for k, v in H.ip_hashes(ip, SALTS, ipv6=False).items()])
 
 
-@query()
+@query(f"""
+SELECT event_id, {hmac_sql("'2001:db8:0:' || w || '::' || e || zone", 'ip')} AS hash, {hmac_sql("CASE w WHEN '0' THEN '2001:db8::' ELSE '2001:db8:0:' || w || '::' END", 'ip')} AS network_hash,
+  {hmac_sql("CASE w WHEN '0' THEN '2001:db8::' ELSE '2001:db8:0:' || w || '::' END || CASE e WHEN '0' THEN '' ELSE e END", 'ip')} AS host_hash
+FROM (SELECT event_id, lower(to_hex(user_id % 65536)) AS w, lower(to_hex(event_id % 65536)) AS e, CASE WHEN event_type = 'click' THEN '%eth0' ELSE '' END AS zone FROM events)""")
 def hashed_addresses_v6(spark, d):
     word = F.lower(F.hex(F.col("user_id") % 65536))
     ip = F.concat(F.lit("2001:db8:0:"), word, F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536)), F.when(F.col("event_type") == "click", "%eth0").otherwise(""))
