@@ -88,7 +88,7 @@ def flagged_rate_by_hour(spark, d):
     _, signals = _sides(spark, d)
     matched = J.asof_join(firsts, signals, key="user_id", left_time="ts", right_time="signal_ts", right_id="signal_id")
     flags = e.filter(F.col("flag_ts") <= utc(datetime(2024, 1, 2))).select("user_id").distinct().withColumn("y", F.lit(1))
-    labelled = lookup(matched, flags, ["user_id"], "left", counts_from=firsts.select("user_id")).withColumn("y", F.coalesce("y", F.lit(0)))
+    labelled = lookup(matched, flags, ["user_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     hours = labelled.withColumn("event_hour", time_features("ts")["event_hour"])
     out = hours.groupBy("event_hour").agg(F.count(F.lit(1)).alias("n"), F.count("signal_id").alias("matched"), F.sum("y").alias("positives"), F.avg("y").alias("rate"))
     return rounded(out, ["rate"])

@@ -274,7 +274,7 @@ def summary(df: DataFrame, key: str, label: str, status: str) -> tuple[DataFrame
 
 def with_cluster_size(df: DataFrame, sizes: DataFrame, identity: str, size: str = "cluster_size") -> DataFrame:
     """Attach fitted cluster sizes to rows; unseen identities get null."""
-    return lookup(df, sizes.select(identity, size), [identity], "left", counts_from=df.select(identity))
+    return lookup(df, sizes.select(identity, size), [identity], "left")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -77,7 +77,7 @@ def sharing_edges(
     starts = first_time(df, entity, time, "__first").withColumnRenamed(entity, "entity_id")
     pairs = _pairs(df, entity, identities)
     pairs = pairs if multiplicity else pairs.distinct()
-    members = lookup(pairs, starts, ["entity_id"], "inner", counts_from=df.select(F.col(f"`{entity}`").alias("entity_id"))).filter(F.col("__first").isNotNull())
+    members = lookup(pairs, starts, ["entity_id"], "inner").filter(F.col("__first").isNotNull())
     members = cut_lineage(members)  # one narrow row per (identity, entity), read for bounds, totals and both edge ends
     keys = ["kind", "identity"]
     group = [*keys, SLICE]
@@ -153,7 +153,7 @@ def homophily(edges: DataFrame, labels: DataFrame, key: str, label: str, edge_ty
     """Share of positive-positive, negative-negative and mixed edges per edge type."""
     a = labels.select(F.col(key).alias("src"), F.col(label).cast("int").alias("__a"))
     b = labels.select(F.col(key).alias("dst"), F.col(label).cast("int").alias("__b"))
-    sides = lookup(lookup(edges.select(edge_type, "src", "dst"), a, ["src"], "inner", spread=["dst"]), b, ["dst"], "inner", spread=["src"], counts_from=edges.select("dst"))
+    sides = lookup(lookup(edges.select(edge_type, "src", "dst"), a, ["src"], "inner"), b, ["dst"], "inner")
     total = F.col("__a") + F.col("__b")
     return sides.groupBy(edge_type).agg(
         F.count(F.lit(1)).alias("edges"),
@@ -177,7 +177,7 @@ def edges_by_history(edges: DataFrame, rates: DataFrame, key: str, rate: str, ab
     """Edges with an endpoint whose known positive rate exceeds a threshold; ``rates`` holds one row per entity."""
     a = rates.select(F.col(key).alias("src"), F.col(rate).alias("__a"))
     b = rates.select(F.col(key).alias("dst"), F.col(rate).alias("__b"))
-    joined = lookup(lookup(edges, a, ["src"], "left", spread=["dst"]), b, ["dst"], "left", spread=["src"], counts_from=edges.select("dst"))
+    joined = lookup(lookup(edges, a, ["src"], "left"), b, ["dst"], "left")
     return joined.filter(F.greatest(F.coalesce("__a", F.lit(0.0)), F.coalesce("__b", F.lit(0.0))) > above).drop("__a", "__b")
 
 
@@ -208,7 +208,7 @@ def neighbour_means(edges: DataFrame, vectors: DataFrame, *, key: str, vector: s
     current = vectors.select(F.col(key), F.col(vector).alias("__v"))
     out = vectors.select(key)
     for hop in range(1, hops + 1):
-        pulled = lookup(edges.select(edge_type, "src", F.col("dst").alias(key)), current.select(F.col(key).alias("src"), "__v"), ["src"], "inner", spread=[key])
+        pulled = lookup(edges.select(edge_type, "src", F.col("dst").alias(key)), current.select(F.col(key).alias("src"), "__v"), ["src"], "inner")
         typed = pulled.groupBy(key, edge_type).agg(_mean_vector(F.col("__v"), size).alias("__m"))
         summed = typed.groupBy(key).agg(F.array(*[F.sum(F.col("__m")[i]) for i in range(size)]).alias("__h"))
         current = vectors.select(key).join(summed, key, "left").select(key, F.coalesce("__h", zeros).alias("__v"))
@@ -230,7 +230,7 @@ def similarity_weighted_means(edges: DataFrame, vectors: DataFrame, *, key: str,
     """Mean of in-neighbours weighted by their (non-negative) cosine similarity to the target."""
     src = vectors.select(F.col(key).alias("src"), F.col(vector).alias("__s"))
     dst = vectors.select(F.col(key).alias("dst"), F.col(vector).alias("__d"))
-    pulled = lookup(lookup(edges.select("src", "dst"), src, ["src"], "inner", spread=["dst"]), dst, ["dst"], "inner", spread=["src"], counts_from=edges.select("dst"))
+    pulled = lookup(lookup(edges.select("src", "dst"), src, ["src"], "inner"), dst, ["dst"], "inner")
     weight = F.greatest(F.lit(0.0), cosine(F.col("__s"), F.col("__d")))
     weighted = pulled.select("dst", "__s", weight.alias("__w"))
     return weighted.groupBy(F.col("dst").alias(key)).agg(
@@ -243,7 +243,7 @@ def sample_neighbours(edges: DataFrame, fanouts: Sequence[int], seeds: DataFrame
     order = [F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), F.col("src")]
     frontier, hops = seeds.select(F.col(seeds.columns[0]).alias("dst")).distinct(), []
     for hop, fanout in enumerate(fanouts, start=1):
-        near = lookup(edges.select(edge_type, "src", "dst").distinct(), frontier, ["dst"], "left_semi", spread=["src"], counts_from=edges.select("dst"))
+        near = lookup(edges.select(edge_type, "src", "dst").distinct(), frontier, ["dst"], "left_semi")
         kept = first_n_per_key(near, ["dst", edge_type], order, fanout)
         hops.append(kept.select(F.lit(hop).alias("hop"), edge_type, "src", "dst"))
         frontier = kept.select(F.col("src").alias("dst")).distinct()
@@ -284,16 +284,19 @@ def components(pairs: DataFrame, entity: str, identity: str, *, max_rounds: int
     known = pairs.filter(F.col(entity).isNotNull()).select(entity, identity).distinct()
     linked = known.filter(F.col(identity).isNotNull())
     centre = linked.groupBy(identity).agg(F.min(entity).alias("v"))
-    edges = lookup(linked, centre, [identity], "inner", spread=[entity]).select(F.col(entity).alias("u"), "v").filter("u <> v").distinct()
+    edges = lookup(linked, centre, [identity], "inner").select(F.col(entity).alias("u"), "v").filter("u <> v").distinct()
+    roots = star_forest(edges, max_rounds=max_rounds).select(F.col("u").alias(entity), F.col("v").alias("component"))
+    return known.select(entity).distinct().join(roots, entity, "left").withColumn("component", F.coalesce("component", entity))
+
+
+def star_forest(edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
+    """Edges (u, v) with ``u <> v`` contracted until every node ``u`` points to the smallest node of its component."""
     edges = cut_lineage(edges)
     for _ in range(max_rounds):
         if _is_star_forest(edges):
-            break
+            return edges
         edges = cut_lineage(_small_star(_large_star(edges)))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("u").alias(entity), F.col("v").alias("component"))
-    return known.select(entity).distinct().join(roots, entity, "left").withColumn("component", F.coalesce("component", entity))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -307,14 +310,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("__m"))
-    return lookup(both, least, ["u"], "inner", spread=["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("__m").alias("v")).distinct()
+    return lookup(both, least, ["u"], "inner").filter("v > u").select(F.col("v").alias("u"), F.col("__m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("__m"))
-    spread = lookup(down, least, ["u"], "inner", spread=["v"]).select(F.col("v").alias("u"), F.col("__m").alias("v"))
+    spread = lookup(down, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("__m").alias("v"))
     own = least.select("u", F.col("__m").alias("v"))
     return spread.unionByName(own).filter("u <> v").distinct()
 

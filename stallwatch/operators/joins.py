@@ -104,19 +104,19 @@ def left_join_suffixed(
     return lookup(left, kept, keys, "left")
 
 
-def propagate_flag(df: DataFrame, key: str, flag: str, *, spread: Sequence[str] | None = None) -> DataFrame:
+def propagate_flag(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Give every row of an id the id's earliest flag time.
 
     Flags are reduced to one row per flagged id before any row moves; the way back is a salted lookup.
     """
     flagged = df.filter(F.col(flag).isNotNull()).groupBy(key).agg(F.min(flag).alias(flag))
-    return lookup(df.drop(flag), flagged, [key], "left", spread=spread, counts_from=df.select(key))
+    return lookup(df.drop(flag), flagged, [key], "left")
 
 
-def propagate_label(df: DataFrame, key: str, label: str, *, spread: Sequence[str] | None = None) -> DataFrame:
+def propagate_label(df: DataFrame, key: str, label: str) -> DataFrame:
     """Label 1 for every row of an id that has any row labelled 1; otherwise the row keeps its label."""
     positive = df.filter(F.col(label) == 1).select(key).distinct().withColumn("__hit", F.lit(1))
-    joined = lookup(df, positive, [key], "left", spread=spread, counts_from=df.select(key))
+    joined = lookup(df, positive, [key], "left")
     return joined.withColumn(label, F.coalesce(F.col("__hit"), F.col(label)).cast("tinyint")).drop("__hit")
 
 
@@ -128,8 +128,8 @@ def resolve_overlap(train: DataFrame, test: DataFrame, key: str, policy: str) ->
     if policy not in OVERLAP_POLICIES:
         raise ValueError(f"unknown overlap policy {policy!r}")
     train_ids, test_ids = train.select(key).distinct(), test.select(key).distinct()
-    kept_train = lookup(train, test_ids, [key], "left_anti", counts_from=train.select(key)) if policy in ("test_priority", "remove_both") else train
-    kept_test = lookup(test, train_ids, [key], "left_anti", counts_from=test.select(key)) if policy in ("train_priority", "remove_both") else test
+    kept_train = lookup(train, test_ids, [key], "left_anti") if policy in ("test_priority", "remove_both") else train
+    kept_test = lookup(test, train_ids, [key], "left_anti") if policy in ("train_priority", "remove_both") else test
     return kept_train, kept_test
 
 

@@ -89,7 +89,7 @@ def identity_history(
         ).alias("m"),
     ).select("__identity", F.col("m.t").alias("__t"), F.col("m.seen").alias("__seen1"), F.col("m.flagged").alias("__flag1"))
     marks = marks.filter(F.col("__t").isNotNull()).groupBy("__identity", "__t").agg(F.sum("__seen1").alias("__seen1"), F.sum("__flag1").alias("__flag1"))
-    own = lookup(known, pairs.select(identity, entity, "__seen", "__known"), [identity, entity], "left", counts_from=known.select(identity, entity))
+    own = lookup(known, pairs.select(identity, entity, "__seen", "__known"), [identity, entity], "left")
     rows = own.select(
         F.col(identity).alias("__identity"),
         micros(time).alias("__t"),
@@ -110,7 +110,7 @@ def identity_history(
         shape=shape,
     ).filter(F.col("__row").isNotNull())
     starts = pairs.groupBy(F.col(identity).alias("__identity")).agg(F.min("__seen").alias("__start"))
-    with_start = lookup(counted, starts, ["__identity"], "left", spread=["__t", "__n_seen"], counts_from=known.select(F.col(identity).alias("__identity")))
+    with_start = lookup(counted, starts, ["__identity"], "left")
     entities = F.col("__n_seen") - F.col("__own_seen")
     flagged = F.col("__n_flag") - F.col("__own_flag")
     found = with_start.select(

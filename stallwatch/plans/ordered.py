@@ -137,7 +137,7 @@ def exact_quantiles(
     counts = cut_lineage(counts)  # distinct values with counts: small next to the table, and read several times
     ranked = running_totals(counts, keys, F.col("__v"), {"__cum": F.col("__n")}, slices=slices)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = lookup(ranked, totals, keys, "inner", spread=["__v"], counts_from=counts) if keys else ranked.withColumn("__total", totals.scalar())
+    joined = lookup(ranked, totals, keys, "inner") if keys else ranked.withColumn("__total", totals.scalar())
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("__cum") > position, F.col("__v")))

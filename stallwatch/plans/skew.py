@@ -7,51 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwatch.session import shuffle_width
 
-SALT = "__salt"
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold more than a few shuffle partitions' fair share of ``df``.
-
-    Spark's frequent-items sketch finds every such key in one pass over the key columns without a shuffle.
-    It keeps at most ``1 / support`` candidates, so the list is small by construction; a candidate that is
-    not really hot costs a few copied rows and nothing else.
-    """
-    support = max(1e-4, min(0.25, 4 / shuffle_width(df.sparkSession)))
-    hashed = df.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
-    return sorted(hashed.stat.freqItems(["h"], support).first()[0] or [])
-
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    *,
-    spread: Sequence[str] | None = None,
-    counts_from: DataFrame | None = None,
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` (inner, left, left_semi or left_anti) so that hot left keys spread out.
 
-    Without hot keys this is the plain join. Otherwise hot keys are salted on the left by a hash of the row
-    (of ``spread`` when given) and copied once per salt on the right. ``counts_from`` may name a cheaper
-    frame with the same key distribution as ``left``. Needed because adaptive skew handling does not see
-    through a right side that was just aggregated on the join key.
+    Adaptive execution cuts a large left partition into pieces and sends the matching right partition to each, but
+    only where both sides are shuffled for the join. A right side that was just aggregated on the join key is not.
+    Its keys are rewritten here as expressions whose partitioning Spark does not recognise, which costs one
+    shuffle of the aggregated rows and needs no sketch, no salt and no second run of the left plan.
     """
     keys = list(keys)
-    source = left if counts_from is None else counts_from
-    hot = hot_keys(source, keys)
-    if not hot:
-        return left.join(right, keys, how)
-    salts = shuffle_width(left.sparkSession)
-    is_hot = F.xxhash64(*[F.col(f"`{k}`") for k in keys]).isin(hot)
-    spread_cols = [F.col(f"`{c}`") for c in (spread or left.columns)]
-    salted_left = left.withColumn(SALT, F.when(is_hot, F.pmod(F.xxhash64(*spread_cols), F.lit(salts)).cast("int")).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn(SALT, F.explode(copies))
-    return salted_left.join(salted_right, [*keys, SALT], how).drop(SALT)
+    shown = [F.element_at(F.array(F.col(f"`{c}`")), 1).alias(c) if c in keys else F.col(f"`{c}`") for c in right.columns]
+    return left.join(right.select(*shown), keys, how)
 
 
 def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:

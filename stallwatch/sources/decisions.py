@@ -93,7 +93,7 @@ def review_queue(queued: DataFrame, decided: DataFrame, key: str = "insertion_id
     A decision clears what was queued up to its time; a later enqueue makes the id pending again.
     """
     last = decided.groupBy(key).agg(F.max("decided_at").alias("__done"))
-    open_items = lookup(queued, last, [key], "left", counts_from=queued.select(key)).filter(F.col("__done").isNull() | (F.col(queued_at) > F.col("__done")))
+    open_items = lookup(queued, last, [key], "left").filter(F.col("__done").isNull() | (F.col(queued_at) > F.col("__done")))
     columns = [F.col(c) for c in queued.columns]
     first = open_items.groupBy(key).agg(F.min_by(F.struct(*columns), F.col(queued_at)).alias("__row"))
     return first.select("__row.*")
@@ -101,7 +101,7 @@ def review_queue(queued: DataFrame, decided: DataFrame, key: str = "insertion_id
 
 def unknown_decisions(decisions: DataFrame, queued: DataFrame, key: str = "insertion_id") -> DataFrame:
     """Human decisions about ids that were never queued."""
-    return lookup(decisions, queued.select(key).distinct(), [key], "left_anti", counts_from=decisions.select(key))
+    return lookup(decisions, queued.select(key).distinct(), [key], "left_anti")
 
 
 def retrain_ready(pool: DataFrame, at_least: int = 50) -> DataFrame:

@@ -85,7 +85,7 @@ def bulk_report(parsed: DataFrame) -> DataFrame:
 def store_status(batch: DataFrame, stored: DataFrame, key: str = "insertion_id") -> DataFrame:
     """Tell for each incoming event whether its id is new (``stored``) or already known (``updated``)."""
     known = stored.select(key).distinct().withColumn("__known", F.lit(True))
-    return lookup(batch, known, [key], "left", counts_from=batch.select(key)).withColumn("status", F.when(F.col("__known"), "updated").otherwise("stored")).drop("__known")
+    return lookup(batch, known, [key], "left").withColumn("status", F.when(F.col("__known"), "updated").otherwise("stored")).drop("__known")
 
 
 def append_events(events: DataFrame, folder: str) -> None:

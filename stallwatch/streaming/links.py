@@ -67,7 +67,7 @@ class LiveLinks:
         if self.ttl_days is not None:
             oldest = events.agg(F.min(micros(self.time)).alias("t")).scalar()
             known = known.filter(F.col("seen") >= oldest - int(self.ttl_days * 86_400_000_000))
-        return lookup(known, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi", spread=["entity"])
+        return lookup(known, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi")
 
     def start(self, events: DataFrame) -> StreamingQuery:
         return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stallwatch.operators.joins import asof_join
 from stallwatch.plans.ordered import SLICE, exact_quantiles, numbered, running_totals, with_slice
-from stallwatch.plans.skew import first_n_per_key, hot_keys, lookup
+from stallwatch.plans.skew import first_n_per_key, lookup
 
 
 @pytest.fixture(scope="module")
@@ -51,22 +51,34 @@ def test_exact_quantiles_match_pandas(skewed):
         assert got[k] == pytest.approx((part.t.quantile(0.5), part.t.quantile(0.9)))
 
 
-def test_hot_keys_are_few_and_lookup_keeps_every_row(spark, skewed):
+def test_lookup_keeps_every_row_and_spreads_a_hot_key(spark, skewed):
     df, _ = skewed
-    hot = df.filter("k = 'hot'").select(F.xxhash64("k")).first()[0]
-    found = hot_keys(df, ["k"])
-    assert hot in found and len(found) <= 4
     right = df.filter("k <> 'k3'").groupBy("k").agg(F.count("*").alias("n"))
     plain = df.join(right, "k", "left").orderBy("id").collect()
-    salted = lookup(df, right, ["k"], "left").select("k", "id", "t", "v", "n").orderBy("id").collect()
-    assert plain == salted
+    assert plain == lookup(df, right, ["k"], "left").select("k", "id", "t", "v", "n").orderBy("id").collect()
     with_nulls = df.withColumn("k", F.when(F.col("v") > 0, F.col("k")))
-    salted_plan = lookup(with_nulls, right, ["k"], "left")._jdf.queryExecution().executedPlan().toString()
-    assert "__salt" in salted_plan
     assert lookup(with_nulls, right, ["k"], "left").count() == df.count()
     assert lookup(with_nulls, right, ["k"], "inner").count() == with_nulls.join(right, "k").count()
 
 
+@pytest.mark.parametrize("share, split", [(0.3, True), (0.0, False)])
+def test_only_a_hot_partition_is_split(spark, share, split):
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    small |= {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.pmod(F.xxhash64("id"), F.lit(10)) < int(share * 10)
+        rows = spark.range(120_000).withColumn("k", F.when(hot, -1).otherwise(F.col("id") % 4000)).withColumn("p", F.sha2(F.col("id").cast("string"), 256))
+        joined = lookup(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], "left")
+        assert len(joined.collect()) == 120_000
+        assert ("skewed" in joined._jdf.queryExecution().executedPlan().toString()) == split
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_top_n_is_limited_before_the_exchange(skewed):
     df, pdf = skewed
     top = first_n_per_key(df, ["k"], [F.desc("t"), F.col("id")], 3)
