@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stallwatch.llm import packing, wavelet
+from stallwatch.llm import lines, packing, secrets, simhash, wavelet
 from stallwatch.llm.common import table
 from stallwatch.session import scratch_folder
 
@@ -40,3 +41,44 @@ def op9_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_folder(spark, "wavelet")
     wavelet.write_shards(table(spark, folder, "documents"), out, WORD_TOKENIZER)
     return wavelet.documents_of(wavelet.read_shards(spark, out), ids=False)
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base patterns, and structurally confirmed tokens and keys."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+
+    def listed(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("secrets").alias("spans"), (F.size("secrets") - F.size("base")).cast("long").alias("n_confirmed"),
+    )
+
+
+@query("""
+WITH lines AS (
+  SELECT doc_id, i, l, translate(regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), often AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN often USING (k) GROUP BY doc_id
+""")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of 40 characters or more in five or more documents stay in the last of them only."""
+    docs = table(spark, folder, "documents")
+    index = lines.LineIndex(spark, scratch_folder(spark, "lines"))
+    index.insert(docs)
+    cleaned = index.clean(docs.select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents by SimHash within two bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
