@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.llm import lines, packing, secrets, simhash, wavelet
+from stallwatch.llm import lines, packing, rules, secrets, simhash, wavelet
 from stallwatch.llm.common import table
 from stallwatch.session import scratch_folder
 
@@ -82,3 +82,12 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents by SimHash within two bits."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules, then a decision list learned from the labelled documents, over every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learned = rules.fit_rules(docs, table(spark, folder, "labels"))
+    judged = rules.judge(docs, learned)
+    return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
