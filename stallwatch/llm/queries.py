@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.llm import lines, packing, rules, secrets, simhash, wavelet
+from stallwatch.llm import leaks, lines, packing, rules, secrets, shards, simhash, wavelet
 from stallwatch.llm.common import table
 from stallwatch.session import scratch_folder
 
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+SHARD_BYTES = 1 << 20
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -91,3 +92,34 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     learned = rules.fit_rules(docs, table(spark, folder, "labels"))
     judged = rules.judge(docs, learned)
     return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+v AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+b AS (SELECT DISTINCT item_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM v WHERE len(ws) >= 5)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(n_shingles) * 8
+""")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain benchmark items, and how much of them."""
+    return leaks.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(f"""
+WITH h AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+         lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0')
+           || lpad(bin(('0x' || substr(md5(doc_id::VARCHAR || ' ' || coalesce(text, '')), 1, 15))::BIGINT), 60, '0') AS bits
+  FROM documents
+), p AS (SELECT doc_id, bytes, bits, d, left(bits, d) AS prefix FROM h, unnest(range(0, 121)) AS t(d)),
+s AS (SELECT d, prefix FROM p GROUP BY d, prefix HAVING sum(bytes) <= {SHARD_BYTES} OR count(DISTINCT bits) = 1),
+f AS (SELECT doc_id, bytes, bits, min(d) AS shard_depth FROM p JOIN s USING (d, prefix) GROUP BY doc_id, bytes, bits)
+SELECT doc_id, left(bits, shard_depth) AS shard, shard_depth::INT AS shard_depth, '' AS page, bytes FROM f
+""")
+def op4_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document, none over a mebibyte unless it is one document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return shards.extendible_shards(docs, SHARD_BYTES).drop("text")
