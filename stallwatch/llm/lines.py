@@ -267,3 +267,14 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(cut, pa.int64())], [*batch.schema.names[:-1], total, gone])
 
         return joined.mapInArrow(run, schema)
+
+
+def with_counts(cleaned: DataFrame, columns: list[str], *, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """Of :meth:`LineIndex.clean`, the given columns; ``chars``, where it is one of them, counts the cut text's code points anew."""
+    cut = F.col(f"`{cleaned.columns[-1]}`") > 0
+
+    def column(name: str) -> Column:
+        own = F.col(f"`{name}`")
+        return F.when(cut, F.length(f"`{text}`")).otherwise(own).cast(cleaned.schema[name].dataType).alias(name) if name == chars else own
+
+    return cleaned.select(*[column(c) for c in columns])

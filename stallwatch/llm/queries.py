@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.llm import leaks, lines, packing, rules, secrets, shards, simhash, wavelet
-from stallwatch.llm.common import table
+from stallwatch.llm import leaks, lines, neighbours, packing, rules, secrets, shards, simhash, units, wavelet
+from stallwatch.llm.common import held_out, table
 from stallwatch.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +124,30 @@ def op4_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every document, none over a mebibyte unless it is one document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return shards.extendible_shards(docs, SHARD_BYTES).drop("text")
+
+
+@query()
+def op2_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality by its labelled neighbours in the latent space."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = neighbours.with_scores(docs, neighbours.fit_voters(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated lines and passages of every document: what is removed, and a digest of what is kept."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = units.without_repeats(docs)
+    return cut.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
+        F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))).alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw documents to packed sequences, by the stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwatch.llm.common import spare, stored
+from stallwatch.llm.common import held_out, spare, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -197,11 +197,6 @@ def _place(value: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
 
 
-def held_out(id: str = "doc_id") -> Column:
-    """Every fifth document by the CRC of its id's text: never learned from."""
-    return F.coalesce(F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def fit_rules(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", most_labels: int = 20_000, **settings) -> DecisionList:
     """A decision list from documents whose ``label`` is 0 (bad) or 1 (good), held-out ones aside.
 
@@ -233,4 +228,7 @@ def judge(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_wor
 def keep_good(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_words: int = 20, most_repeats: int = 30) -> DataFrame:
     """The documents that :func:`judge` keeps, with their own columns only."""
     judged = judge(docs, rules, text=text, least_words=least_words, most_repeats=most_repeats)
-    return judged.filter(F.col(f"`{spare('kept', docs.columns)}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    flag = spare("stays", judged.columns)
+    # exploded, as Spark would otherwise move the filter below the statistics and compute them anew for every use
+    marked = judged.select("*", F.explode(F.array(F.col(f"`{spare('kept', docs.columns)}`"))).alias(flag))
+    return marked.filter(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
