@@ -55,8 +55,8 @@ def item_sketches(shingles: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(h, item_id, width, least): the smallest hashes of every item, as many as the largest item of its size partition needs."""
     sized = shingles.withColumn("part", F.floor(F.log2("n")).cast("int"))
     slack = F.col("n") - _least(F.col("n"), threshold) + 1
-    most = F.max(slack).over(Window.partitionBy("part"))
-    ranked = sized.withColumn("k", most).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle")))
+    most = sized.groupBy("part").agg(F.max(slack).alias("k"))  # at most 32 partitions: sizes are 31-bit numbers
+    ranked = sized.join(F.broadcast(most), "part").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle")))
     return ranked.filter(F.col("rank") <= F.col("k")).select("h", "item_id", "width", _least(F.col("n"), threshold).alias("least"))
 
 

@@ -71,14 +71,13 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
         return F.coalesce(F.col(top) / F.nullif(below, F.lit(0)), F.lit(0.0))
 
     total = F.col(name["n_words"])
-    return out.select(
-        *given, *[name[c] for c in BASE],
-        share(name["word_chars"], total).alias(name["word_length"]), share(name["n_symbols"], total).alias(name["symbol_share"]),
-        share(name["n_dup_lines"], F.col(f"{t}lines")).alias(name["dup_line_share"]), share(name["n_repeat_words"], total).alias(name["repeat_share"]),
-        share(f"{t}upper", F.col(name["word_chars"])).alias(name["upper_share"]), share(f"{t}distinct", total).alias(name["distinct_share"]),
-        share(f"{t}short", total).alias(name["stop_share"]), share(name["n_words"], F.col(f"{t}lines")).alias(name["line_words"]),
-        F.col(f"{t}longest").cast("double").alias(name["longest_word"]),
-    )
+    made = {
+        "word_length": share(name["word_chars"], total), "symbol_share": share(name["n_symbols"], total), "dup_line_share": share(name["n_dup_lines"], F.col(f"{t}lines")),
+        "repeat_share": share(name["n_repeat_words"], total), "upper_share": share(f"{t}upper", F.col(name["word_chars"])), "distinct_share": share(f"{t}distinct", total),
+        "stop_share": share(f"{t}short", total), "line_words": share(name["n_words"], F.col(f"{t}lines")), "longest_word": F.col(f"{t}longest").cast("double"),
+    }
+    # a generated row: filters on statistics stay above it, where Spark would otherwise compute the statistics anew for every use
+    return out.select(*given, F.inline(F.array(F.struct(*[F.col(name[c]) for c in BASE], *[v.alias(name[k]) for k, v in made.items()]))))
 
 
 def statistic_names(columns: list[str]) -> dict[str, str]:
@@ -228,7 +227,4 @@ def judge(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_wor
 def keep_good(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_words: int = 20, most_repeats: int = 30) -> DataFrame:
     """The documents that :func:`judge` keeps, with their own columns only."""
     judged = judge(docs, rules, text=text, least_words=least_words, most_repeats=most_repeats)
-    flag = spare("stays", judged.columns)
-    # exploded, as Spark would otherwise move the filter below the statistics and compute them anew for every use
-    marked = judged.select("*", F.explode(F.array(F.col(f"`{spare('kept', docs.columns)}`"))).alias(flag))
-    return marked.filter(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.filter(F.col(f"`{spare('kept', docs.columns)}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,10 +40,11 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
         return parts.groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
 
     def shortest(parts: DataFrame, whole: str, first: int, last: int) -> DataFrame:
-        """(whole, length): the length of the shortest prefix of ``whole`` that is a bucket, among first..last bits; null if none is."""
+        """(whole, length, over): the length of the shortest prefix of ``whole`` that is a bucket, among first..last bits, and whether it is too large."""
         tall = parts.withColumn("length", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("prefix", F.expr(f"substring({whole}, 1, length)"))
-        fits = merged(tall, "length", "prefix").filter((F.col("bytes") <= limit) | (F.col("low") == F.col("high"))).select("length", "prefix")
-        return tall.join(fits, ["length", "prefix"]).groupBy(whole).agg(F.min("length").alias("length"))
+        fits = merged(tall, "length", "prefix").filter((F.col("bytes") <= limit) | (F.col("low") == F.col("high"))).select("length", "prefix", (F.col("bytes") > limit).alias("over"))
+        least = tall.join(fits, ["length", "prefix"]).groupBy(whole).agg(F.min(F.struct("length", "over")).alias("least"))
+        return least.select(whole, "least.length", "least.over")
 
     keyed = rows.select(F.expr(f"substring(bits, 1, {depth})").alias("cell"), "bytes", F.col("bits").alias("low"), F.col("bits").alias("high"))
     cells = stored(merged(keyed, "cell"), "shard-cells")
@@ -64,19 +65,22 @@ def extendible_shards(docs: DataFrame, limit: int, *, id: str = "doc_id", text:
     column has them.
     """
     shard, deep, page, size = (spare(n, docs.columns) for n in ("shard", "shard_depth", "page", "bytes"))
-    bits, cell, got, more = (spare(n, docs.columns) for n in ("bits__", "cell__", "got__", "more__"))
+    bits, cell, got, more, over = (spare(n, docs.columns) for n in ("bits__", "cell__", "got__", "more__", "over__"))
     name, body = F.col(f"`{id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = docs.select("*", key_bits(name, body).alias(bits), F.octet_length(body).cast("long").alias(size))
     rows = stored(marked.select(F.col(bits).alias("bits"), F.col(size).alias("bytes")), "shard-rows")
     cells, deeper, depth = directory(rows, limit)
-    first = lookup(marked.withColumn(cell, F.expr(f"substring(`{bits}`, 1, {depth})")), cells.select(F.col("cell").alias(cell), F.col("length").alias(got)), [cell], "left")
-    done = first.filter(F.col(got).isNotNull()).withColumn(page, F.lit(""))
-    rest = lookup(first.filter(F.col(got).isNull()).drop(got), deeper.select(F.col("bits").alias(bits), F.col("length").alias(got)), [bits], "inner")
+    first = lookup(
+        marked.withColumn(cell, F.expr(f"substring(`{bits}`, 1, {depth})")), cells.select(F.col("cell").alias(cell), F.col("length").alias(got), F.col("over").alias(over)), [cell], "left"
+    )
+    deep_rows = lookup(first.filter(F.col(got).isNull()).drop(got, over), deeper.select(F.col("bits").alias(bits), F.col("length").alias(got), F.col("over").alias(over)), [bits], "inner")
+    found = first.filter(F.col(got).isNotNull()).unionByName(deep_rows)
+    done = found.filter(~F.col(over)).withColumn(page, F.lit(""))
     # equal rows that overflow one shard: numbered group by group
     groups = shuffle_width(docs.sparkSession)
     totals = rows.groupBy("bits").agg(F.sum("bytes").alias("all")).filter(F.col("all") > limit).select(F.col("bits").alias(bits), F.col("all").alias(more))
-    told = lookup(rest, totals, [bits], "left")
-    single = told.filter(F.col(more).isNull() | (F.col(size) >= F.col(more))).withColumn(page, F.lit("")).drop(more)
+    told = lookup(found.filter(F.col(over)), totals, [bits], "left")
+    single = told.filter(F.col(size) >= F.col(more)).withColumn(page, F.lit("")).drop(more)
     group = F.pmod(F.monotonically_increasing_id(), F.lit(groups))
     many = told.filter(F.col(size) < F.col(more)).withColumn(more, group)
     index = F.row_number().over(Window.partitionBy(bits, more).orderBy(F.lit(0))) - 1
