@@ -13,7 +13,7 @@ from stallwatch.operators.models import Search, ablation, fit_variant, score_row
 from stallwatch.operators.rules import class_rules, frequent_itemsets, rule_features
 from stallwatch.operators.windows import identity_history
 from stallwatch.plans.etl import merge_feeds, run
-from stallwatch.registry import Registry, Variant, project_variant
+from stallwatch.registry import Registry, Role, Variant, project_variant
 from stallwatch.session import local_session, tune
 from stallwatch.sources.feeds import Feeds, LifecycleFeed, SignalFeed, read_feeds
 from stallwatch.streaming.ingest import start_ingest

@@ -7,7 +7,7 @@ from stallwatch.catalog.tables import lifecycle, predictions, r, table
 from stallwatch.functions import scalar as S
 from stallwatch.operators.aggregates import drop_all_null
 from stallwatch.operators.features import conform
-from stallwatch.registry import Registry, Variant, project_variant
+from stallwatch.registry import Registry, Role, Variant, project_variant
 
 
 @query("""
@@ -191,10 +191,10 @@ def non_empty_columns(spark, d):
 
 @query("SELECT l_orderkey, l_shipdate, l_returnflag, l_quantity, l_discount, l_linestatus FROM lineitem")
 def variant_projection(spark, d):
-    roles = Registry(
-        ids=("l_orderkey",), time="l_shipdate", target="l_returnflag", vendor_state="l_linestatus", booleans=(), signal_numbers=("l_quantity", "l_quantity"),
-        listing_numbers=("l_discount", "l_absent"), time_features=(), categories=("l_linestatus",), identities=("l_suppkey",),
-    )
+    roles = Registry({
+        Role.ID: ["l_orderkey"], Role.TIME: ["l_shipdate"], Role.TARGET: ["l_returnflag"], Role.VENDOR_STATE: ["l_linestatus"], Role.SIGNAL_NUMBER: ["l_quantity", "l_quantity"],
+        Role.LISTING_NUMBER: ["l_discount", "l_absent"], Role.CATEGORY: ["l_linestatus"], Role.IDENTITY: ["l_suppkey"],
+    })
     return project_variant(table(spark, d, "lineitem"), Variant.BOOSTED, roles)[0]
 
 

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from stallwatch.functions.scalar import first_number, flag_bit, time_features
 from stallwatch.operators.joins import category_dictionary, encode_categories
-from stallwatch.registry import AREA_COLUMNS, PRICE_COLUMNS, Registry
+from stallwatch.registry import AREA_COLUMNS, PRICE_COLUMNS, Registry, Role
 
 
 def derive_base(df: DataFrame, registry: Registry = Registry()) -> DataFrame:
     """Price, area, time features and 0/1 flags, in one projection."""
     out: dict[str, Column] = {"feature_price": first_number(df, PRICE_COLUMNS), "feature_area": first_number(df, AREA_COLUMNS)}
-    if registry.time in df.columns:
-        out.update(time_features(registry.time))
-    out.update({c: flag_bit(F.col(f"`{c}`")) for c in registry.booleans if c in df.columns})
+    for time in registry.of(Role.TIME):
+        out.update(time_features(time) if time in df.columns else {})
+    out.update({c: flag_bit(F.col(f"`{c}`")) for c in registry.of(Role.FLAG) if c in df.columns})
     return df.withColumns(out)
 
 

@@ -253,11 +253,12 @@ def sample_neighbours(edges: DataFrame, fanouts: Sequence[int], seeds: DataFrame
     return out
 
 
-def link_samples(edges: DataFrame, node_table: DataFrame, key: str, *, seed: int = 42) -> DataFrame:
-    """Edges (label 1) and about as many seeded random non-edges (label 0) for link prediction.
+def link_samples(edges: DataFrame, node_table: DataFrame, key: str, *, seed: int = 42, spare: int = 3) -> DataFrame:
+    """Edges (label 1) and as many seeded random non-edges (label 0) for link prediction.
 
-    Nodes get positions; each edge draws two positions by hash, fetched by equi-joins. Draws that hit an
-    edge or a self pair are left out.
+    Nodes get positions; each edge draws several pairs of positions by hash, fetched by equi-joins. Draws that hit an edge or a
+    self pair are left out, and of the rest exactly as many stay as there are edges, in hash order. A graph so
+    dense that it lacks as many non-edges gives those that the draws found.
     """
     positive = edges.select("src", "dst").distinct()
     placed = cut_lineage(numbered(node_table.select(key).distinct(), [], F.xxhash64(F.lit(seed), F.col(key)), [F.col(key)], "__rn"))
@@ -266,11 +267,14 @@ def link_samples(edges: DataFrame, node_table: DataFrame, key: str, *, seed: int
     def draw(salt: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed + salt), F.col("src"), F.col("dst")), total) + 1
 
-    drawn = positive.select(draw(1).alias("__i"), draw(2).alias("__j"))
+    pairs = F.explode(F.array(*[F.struct(draw(2 * k + 1).alias("i"), draw(2 * k + 2).alias("j")) for k in range(spare)]))
+    drawn = positive.select(pairs.alias("p")).select(F.col("p.i").alias("__i"), F.col("p.j").alias("__j")).distinct()
     left = placed.select(F.col("__rn").alias("__i"), F.col(key).alias("src"))
     right = placed.select(F.col("__rn").alias("__j"), F.col(key).alias("dst"))
     negative = drawn.join(left, "__i").join(right, "__j").select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    negative = negative.join(positive, ["src", "dst"], "left_anti")
+    found = cut_lineage(negative.join(positive, ["src", "dst"], "left_anti"))
+    ranked = numbered(found, [], F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), ["src", "dst"], "__rank")
+    negative = ranked.filter(F.col("__rank") <= positive.agg(F.count(F.lit(1)).alias("n")).scalar()).drop("__rank")
     return positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, later_slices, micros, numbered, with_slice
+from stallwatch.plans.ordered import SLICE, ORDER, earlier_slices, later_slices, micros, numbered_by_range, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
 from stallwatch.session import cut_lineage
 
@@ -32,6 +32,7 @@ def asof_join(
 
     Both sides are unioned and scanned once each way inside (key, time slice) groups, so one key may hold a
     third of all rows; what lies in other slices arrives through a pre-aggregated per-slice carry.
+    Left rows with a null key or time match nothing and take no part in the slicing.
     """
     if strategy not in ("forward", "backward", "nearest", "forward_else_backward"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -41,7 +42,8 @@ def asof_join(
         .agg(F.min(right_id).alias("__first"), F.max(right_id).alias("__last"))
     )
     payload = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    lefts = left.select(F.col(key).alias("__key"), micros(left_time).alias("__t"), payload.alias("__row"))
+    usable = F.col(f"`{key}`").isNotNull() & F.col(f"`{left_time}`").isNotNull()
+    lefts = left.filter(usable).select(F.col(key).alias("__key"), micros(left_time).alias("__t"), payload.alias("__row"))
     rights = unique_right.select(
         "__key",
         micros("__rt").alias("__t"),
@@ -76,12 +78,14 @@ def asof_join(
         "nearest": F.when(f.isNotNull() & (b.isNull() | (f["t"] - t <= t - b["t"])), f).otherwise(b),
         "forward_else_backward": F.coalesce(f, b),
     }[strategy]
-    return found.select("__row", t.alias("__t"), chosen.alias("__m")).select(
+    matched = found.select("__row", t.alias("__t"), chosen.alias("__m")).select(
         "__row.*",
         F.col("__m.id").alias(right_id),
         F.col("__m.ts").alias(right_time),
         ((F.col("__m.t") - F.col("__t")) / 1_000_000.0).alias("asof_seconds"),
     )
+    never = left.filter(~usable).select("*", *[F.lit(None).cast(matched.schema[c].dataType).alias(c) for c in (right_id, right_time, "asof_seconds")])
+    return matched.unionByName(never)
 
 
 def match_stats(joined: DataFrame, right_id: str) -> DataFrame:
@@ -141,32 +145,18 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ).alias("p")
     ).select("p.*")
     distinct = cut_lineage(pairs.filter(F.col("category").isNotNull()).distinct())
-    # The first six bytes as a number sort like the text itself, so even a huge dictionary is numbered in slices.
-    head = F.conv(F.rpad(F.substring(F.hex(F.encode("category", "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    coded = numbered(distinct, ["feature"], head, ["category"], "code")
+    coded = numbered_by_range(distinct, ["feature"], ["category"], "code")
     return coded.withColumn("code", (F.col("code") - 1).cast("double"))
 
 
-def encode_categories(
-    df: DataFrame, dictionary: DataFrame, columns: Sequence[str], suffix: str = "", *, max_map_entries: int = 512
-) -> DataFrame:
+def encode_categories(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """Replace categories by their codes; null and unseen categories become null.
 
-    A dictionary no larger than ``max_map_entries`` becomes one map per feature that every row reads in
-    place (one scalar subquery, no join of the big side). Beyond that each feature joins on its category.
+    Each feature joins its part of the dictionary, made unique per category; Spark broadcasts the part if it is small.
     """
-    if dictionary.limit(max_map_entries + 1).count() <= max_map_entries:
-        entry = F.struct(F.col("category"), F.col("code"))
-
-        def code(c: str) -> Column:
-            codes = dictionary.filter(F.col("feature") == c).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-            return F.try_element_at(codes, F.col(f"`{c}`").cast("string"))
-
-        replaced = {c: code(c).alias(c + suffix) for c in columns}
-        kept = [F.col(f"`{c}`") for c in df.columns if suffix or c not in columns]
-        return df.select(*kept, *replaced.values())
     for c in columns:
-        codes = dictionary.filter(F.col("feature") == c).select(F.col("category").alias("__cat"), F.col("code").alias("__code"))
+        part = dictionary.filter(F.col("feature") == c).groupBy("category").agg(F.min("code").alias("__code"))
+        codes = part.select(F.col("category").alias("__cat"), "__code")
         joined = df.withColumn("__cat", F.col(f"`{c}`").cast("string"))
         coded = lookup(joined, codes, ["__cat"], "left")
         df = (coded if suffix else coded.drop(c)).withColumnRenamed("__code", c + suffix).drop("__cat")
@@ -193,10 +183,18 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFram
 
 
 def detection_difference(a: DataFrame, b: DataFrame, key: str, label: str, score: str, threshold: float) -> DataFrame:
-    """Positives caught by the first model only, the second only, both, neither."""
-    scored = a.select(key, label, F.col(score).alias("__a")).join(b.select(key, F.col(score).alias("__b")), key)
-    hit_a, hit_b = F.col("__a") >= threshold, F.col("__b") >= threshold
-    positive = F.col(label) == 1
+    """Positives caught by the first model only, the second only, both, neither.
+
+    A row that only one model scored counts as not caught by the other; its label comes from the side that has it. The
+    scores of a repeated id are averaged on either side, so no pairs arise.
+    """
+    def one(df: DataFrame, name: str) -> DataFrame:
+        known = F.max(label).alias(f"__y{name}") if label in df.columns else F.lit(None).cast("int").alias(f"__y{name}")
+        return df.groupBy(key).agg(F.avg(score).alias(f"__{name}"), known)
+
+    scored = one(a, "a").join(one(b, "b"), key, "full_outer")
+    hit_a, hit_b = (F.coalesce(F.col(c) >= threshold, F.lit(False)) for c in ("__a", "__b"))
+    positive = F.coalesce("__ya", "__yb") == 1
 
     def count(cond: Column, name: str) -> Column:
         return F.count(F.when(cond, 1)).alias(name)

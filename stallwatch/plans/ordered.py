@@ -121,6 +121,22 @@ def numbered(
     )
 
 
+def numbered_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, slices: int | None = None) -> DataFrame:
+    """Exact 1-based numbers per key in ``order``, columns of any sortable type; (keys, order) must be unique.
+
+    Spark's own range partitioning samples whole values, so long common prefixes and any number of ties in the first
+    columns still spread. The sliced frame is stored before it is read twice.
+    """
+    width = slices or shuffle_width(df.sparkSession)
+    ranged = df.repartitionByRange(width, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    sliced, group = cut_lineage(ranged), [*keys, SLICE]
+    totals = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    carry = totals.select(*group, F.coalesce(F.sum("__n").over(earlier_slices(keys)), F.lit(0)).alias("__c"))
+    local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    numbered_rows = local.join(carry, group).withColumn(name, F.col("__l") + F.col("__c"))
+    return numbered_rows.select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], *, slices: int | None = None
 ) -> DataFrame:

@@ -78,8 +78,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """How many ways ordered work is sliced: follows the cluster's shuffle width, within sane bounds."""
-    return max(2, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """How many ways ordered work is sliced: the cluster's shuffle width."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

@@ -31,20 +31,20 @@ def flatten_summary(df: DataFrame, summary: str, names: list[str]) -> DataFrame:
     )
 
 
-def append_decisions(decisions: DataFrame, folder: str, *, batch_id: int | None = None) -> None:
+def append_decisions(decisions: DataFrame, folder: str, *, batch_id: int | None = None, source: str = "auto") -> None:
     """Append to ``bucket=/decision_date=`` Parquet. With a batch id the append is repeatable: a retried
-    micro-batch replaces its own partition instead of adding rows twice."""
+    batch of one ``source`` replaces its own partition instead of adding rows twice, and no other source's."""
     target = f"{folder}/decisions"
     decisions = decisions.hint("rebalance", "bucket", "decision_date")  # few files per day, hot days split
     if batch_id is None:
         decisions.write.mode("append").option("compression", "zstd").partitionBy("bucket", "decision_date").parquet(target)
         return
     (
-        decisions.withColumn("batch_id", F.lit(batch_id))
+        decisions.withColumns({"source": F.lit(source), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("batch_id", "bucket", "decision_date")
+        .partitionBy("source", "batch_id", "bucket", "decision_date")
         .parquet(target)
     )
 
@@ -62,17 +62,17 @@ def retrain_rows(decisions: DataFrame) -> DataFrame:
     return decisions.select(*kept, *extra, label)
 
 
-def append_retrain(decisions: DataFrame, folder: str, *, batch_id: int | None = None) -> None:
+def append_retrain(decisions: DataFrame, folder: str, *, batch_id: int | None = None, source: str = "auto") -> None:
     rows, target = retrain_rows(decisions), f"{folder}/retrain"
     if batch_id is None:
         rows.write.mode("append").option("compression", "zstd").parquet(target)
         return
     (
-        rows.withColumn("batch_id", F.lit(batch_id))
+        rows.withColumns({"source": F.lit(source), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("batch_id")
+        .partitionBy("source", "batch_id")
         .parquet(target)
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwatch.plans.skew import lookup
+from stallwatch.session import cut_lineage
 
 # The scoring-event fields by type; the first eight text fields are required.
 REQUIRED_TEXT = ("insertion_id", "user_id", "event_type", "event_timestamp", "email_hash", "phone_hash", "ip_hash", "device_hash")
@@ -82,10 +83,20 @@ def bulk_report(parsed: DataFrame) -> DataFrame:
     ).withColumn("errors", first)
 
 
-def store_status(batch: DataFrame, stored: DataFrame, key: str = "insertion_id") -> DataFrame:
-    """Tell for each incoming event whether its id is new (``stored``) or already known (``updated``)."""
+def store_status(batch: DataFrame, stored: DataFrame, key: str = "insertion_id", time: str = "event_timestamp") -> DataFrame:
+    """Tell for each incoming event whether its id is new (``stored``) or already known (``updated``).
+
+    Inside a batch the earliest event of a new id is ``stored`` and the later ones are ``updated``; where several share the
+    earliest time, the one with the smallest hash of all its values comes first. Only minima are shuffled by id.
+    """
     known = stored.select(key).distinct().withColumn("__known", F.lit(True))
-    return lookup(batch, known, [key], "left").withColumn("status", F.when(F.col("__known"), "updated").otherwise("stored")).drop("__known")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns])
+    place = F.struct(F.col(time) if time in batch.columns else F.lit(0), whole, F.monotonically_increasing_id())
+    placed = cut_lineage(batch.withColumn("__place", place))
+    first = placed.groupBy(key).agg(F.min("__place").alias("__first"))
+    told = lookup(lookup(placed, first, [key], "left"), known, [key], "left")
+    new = F.col("__known").isNull() & F.col("__place").eqNullSafe(F.col("__first"))
+    return told.withColumn("status", F.when(new, "stored").otherwise("updated")).drop("__known", "__place", "__first")
 
 
 def append_events(events: DataFrame, folder: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stallwatch.functions.scalar import decision, risk_tier
 from stallwatch.sources.decisions import append_decisions, append_retrain, decision_rows, read_decisions, review_queue, unknown_decisions
+from stallwatch.session import cut_lineage
 from stallwatch.streaming.sinks import has_data, write_batch
 
 
@@ -56,12 +57,14 @@ class Router:
     def decide(self, spark: SparkSession, decisions: DataFrame, batch_id: int) -> DataFrame:
         """Store human decisions about queued items (insertion_id, admin_decision, admin_id, notes, decided_at).
 
-        Returns those about ids that are not in the queue; nothing is stored for them.
+        Returns those about ids that are not in the queue; nothing is stored for them. Human batches have numbers of their
+        own, and what they are checked against is fixed before the first write.
         """
-        pending = self.pending(spark)
+        pending = cut_lineage(self.pending(spark))
         known = decisions.join(pending.select("insertion_id", "fraud_probability", "risk_tier"), "insertion_id")
         unknown = unknown_decisions(decisions, pending)
-        rows = decision_rows(known)
-        append_decisions(rows, self.folder, batch_id=batch_id)
-        append_retrain(rows, self.folder, batch_id=batch_id)
+        rows = decision_rows(cut_lineage(known))
+        # the training row first: until the decision is stored the item is still pending, so a retry repeats both
+        append_retrain(rows, self.folder, batch_id=batch_id, source="human")
+        append_decisions(rows, self.folder, batch_id=batch_id, source="human")
         return unknown

@@ -15,7 +15,7 @@ from stallwatch.operators import models as M
 from stallwatch.operators import rules as R
 from stallwatch.operators.clusters import ClusterFeatures
 from stallwatch.operators.windows import identity_history
-from stallwatch.registry import Registry, Variant
+from stallwatch.registry import FEATURE_ROLES, NODE_ROLES, Registry, Role, Variant, project_variant
 
 T0 = datetime(2024, 1, 1)
 
@@ -107,7 +107,7 @@ def test_negative_links_avoid_edges_and_self_pairs(spark):
     got = G.link_samples(edges, nodes, "n").collect()
     real = {(r["src"], r["dst"]) for r in edges.collect()}
     fake = {(r["src"], r["dst"]) for r in got if r["label"] == 0}
-    assert sum(r["label"] for r in got) == 30 and fake and not fake & real and all(a != b for a, b in fake)
+    assert sum(r["label"] for r in got) == 30 and len(fake) == 30 and not fake & real and all(a != b for a, b in fake)
 
 
 def test_cluster_buckets_and_unseen_identities(spark):
@@ -152,8 +152,17 @@ def test_itemsets_and_rules_match_enumeration(spark):
 
 def test_feature_counts_by_role():
     reg = Registry()
-    assert (len(reg.booleans), len(reg.numbers), len(reg.categories), len(reg.base_features), len(reg.node_inputs)) == (18, 40, 25, 65, 36)
-    assert len(reg.features(Variant.GRAPH_VECTORS)) == 65 + 64
+    assert (len(reg.of(Role.FLAG)), len(reg.of(Role.CATEGORY)), len(reg.of(*FEATURE_ROLES)), len(reg.of(*NODE_ROLES))) == (18, 25, 65, 36)
+    assert len(reg.of(*FEATURE_ROLES - {Role.CATEGORY})) == 40
+    assert set(reg.reads(Variant.GRAPH_VECTORS)) > set(reg.reads(Variant.BOOSTED))
+
+
+def test_a_variant_reads_its_roles_and_patterns(spark):
+    df = spark.createDataFrame([(1, 2.0, 0.1, 0.2, 3)], "id int, ip_latitude double, gf_degree double, graph_vec_0 double, other int")
+    reads = {v: set(project_variant(df, v)[0].columns) for v in Variant}
+    assert reads[Variant.FOREST] == {"id", "ip_latitude"}
+    assert reads[Variant.GRAPH_FEATURES] == {"id", "ip_latitude", "gf_degree"} and reads[Variant.GRAPH_VECTORS] == {"id", "ip_latitude", "graph_vec_0"}
+    assert "is_fraud" in project_variant(df, Variant.BOOSTED)[1]
 
 
 @pytest.fixture(scope="module")
@@ -210,11 +219,11 @@ def test_unseen_categories_score_as_missing(spark, fitted):
     assert a == b
 
 
-def test_large_dictionaries_join_instead_of_mapping(spark):
+def test_categories_are_coded_once_each(spark):
     from stallwatch.operators.joins import category_dictionary, encode_categories
 
     df = spark.range(50).select("id", F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("c"))
     dictionary = category_dictionary(df.filter("id % 7 <> 3"), ["c"])
-    mapped = encode_categories(df, dictionary, ["c"]).orderBy("id").select("id", "c").collect()
-    joined = encode_categories(df, dictionary, ["c"], max_map_entries=2).orderBy("id").select("id", "c").collect()
-    assert mapped == joined and mapped[3]["c"] is None
+    coded = encode_categories(df, dictionary.union(dictionary), ["c"]).orderBy("id").select("id", "c").collect()
+    order = {f"c{v}": i for i, v in enumerate(v for v in range(7) if v != 3)}
+    assert [r["c"] for r in coded] == [order.get(f"c{i % 7}") for i in range(50)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallwatch.operators.joins import asof_join
-from stallwatch.plans.ordered import SLICE, exact_quantiles, numbered, running_totals, with_slice
+from stallwatch.plans.ordered import SLICE, exact_quantiles, numbered, numbered_by_range, running_totals, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
 
 
@@ -123,6 +123,21 @@ def test_asof_matches_brute_force_with_ties_and_hot_key(spark, strategy, toleran
     assert {r["lid"]: r["rid"] for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("slices", [1, 2, 8])
+def test_asof_leaves_null_times_and_keys_unmatched(spark, slices):
+    left = spark.createDataFrame([(1, "a", None), (2, None, 5), (3, "a", 5), (4, None, None)], "lid long, k string, s long").withColumn("lt", F.timestamp_seconds("s"))
+    right = spark.createDataFrame([(10, "a", 7), (11, None, 6), (12, "a", None)], "rid long, k string, s long").select("rid", "k", F.timestamp_seconds("s").alias("rt"))
+    for strategy in ("forward", "forward_else_backward", "nearest"):
+        out = asof_join(left, right, key="k", left_time="lt", right_time="rt", right_id="rid", strategy=strategy, slices=slices)
+        assert {r["lid"]: r["rid"] for r in out.collect()} == {1: None, 2: None, 3: 10, 4: None}
+
+
+def test_numbering_by_range_spreads_common_prefixes(spark):
+    df = spark.range(3000).select(F.lit("f").alias("k"), F.concat(F.lit("https://same.example/path/"), F.lpad("id", 6, "0")).alias("c"))
+    got = numbered_by_range(df, ["k"], ["c"], "n", slices=8).collect()
+    assert all(int(r["c"][-6:]) + 1 == r["n"] for r in got)
+
+
 def test_asof_rejects_unknown_strategy(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):

@@ -134,7 +134,8 @@ def test_routing_review_and_human_decisions(spark, tmp_path):
     pending = {r["insertion_id"]: r["fraud_probability"] for r in router.pending(spark).collect()}
     assert pending == {"mid": 0.5, "edge": 0.3}  # one item per id, the first; an automatic decision clears its id
     human = spark.createDataFrame([("mid", "DECLINE", "ann", "", at(5)), ("ghost", "APPROVE", "ann", "", at(5))], "insertion_id string, admin_decision string, admin_id string, notes string, decided_at timestamp")
-    assert [r["insertion_id"] for r in router.decide(spark, human, 1).collect()] == ["ghost"]
+    assert [r["insertion_id"] for r in router.decide(spark, human, 0).collect()] == ["ghost"]  # the stream has a batch 0 too
+    assert {r["insertion_id"] for r in D.read_decisions(spark, str(tmp_path)).collect()} == {"low", "high", "later", "mid"}
     assert [r["insertion_id"] for r in router.pending(spark).collect()] == ["edge"]
     labels = {r["insertion_id"]: r["is_fraud"] for r in spark.read.parquet(f"{tmp_path}/retrain").collect()}
     assert labels == {"low": 0, "high": 1, "later": 1, "mid": 1}
