@@ -87,5 +87,5 @@ def top_rules(spark, d):
 @query()
 def rule_match_features(spark, d):
     flagged = _flagged(spark, d)
-    out = R.rule_features(flagged, _rules(spark, d), 3)
-    return out.groupBy("rule_1_match", "rule_2_match", "rule_3_match").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
+    out = R.rule_features(flagged, _rules(spark, d), 10)
+    return out.groupBy(*[c for c in out.columns if c.startswith("rule_")]).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))

@@ -108,10 +108,10 @@ def saved_model_features(spark, d):
 @query()
 def random_search(spark, d):
     columns = SplitColumns(key="row_id", time="l_shipdate", flag="l_shipdate", tie="row_id", label="unused")
-    folds = expanding_folds(datetime(1995, 1, 1), datetime(2001, 10, 1), window_days=760, gap_days=7)
-    folded = assign_folds(_rows(spark, d), columns, folds[:2], label=False)
+    folds = expanding_folds(datetime(1995, 1, 1), datetime(2001, 10, 1), window_days=600, gap_days=7)
+    folded = assign_folds(_rows(spark, d), columns, folds, label=False)
     space = {"maxDepth": (2, 4), "maxIter": (2, 5), "stepSize": (0.1, 0.3), "positive_weight": (1.0, 5.0)}
-    out = M.Search(space, trials=2).run(folded, "y", numbers=NUMBERS, folds=[f.fold for f in folds[:2]])
+    out = M.Search(space, trials=2).run(folded, "y", numbers=NUMBERS, folds=[f.fold for f in folds])
     return out.select("trial", F.to_json("settings").alias("settings"), "mean_ap")
 
 
@@ -125,16 +125,10 @@ def group_ablation(spark, d):
     return M.ablation(train, test, "y", {"price": NUMBERS[:2], "terms": NUMBERS[2:]}, fit)
 
 
-def _explained(spark, d, whole=False):
-    train, test = _split(spark, d)
-    model = _boosted(train)
-    shown = test if whole else X.sample_rows(test, "row_id")
-    return model, shown, X.tree_contributions(model, shown, "row_id")[0]
-
-
 @query()
 def tree_contributions(spark, d):
-    return _explained(spark, d, whole=True)[2].groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs("contribution")).alias("importance"))
+    train, test = _split(spark, d)
+    return X.tree_contributions(_boosted(train), test, "row_id")[0].groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs("contribution")).alias("importance"))
 
 
 @query("""
@@ -148,6 +142,8 @@ def global_importance(spark, d):
 
 @query()
 def explanation_report(spark, d):
-    model, shown, long = _explained(spark, d)
-    scored = model.predict(shown).select("row_id", "y", M.PROBABILITY)
-    return X.explanation_report(scored, long, row_id="row_id", label="y", score=M.PROBABILITY)
+    train, test = _split(spark, d)
+    model = _boosted(train)
+    cases = X.explanation_cases(model.predict(test).select("row_id", "y", M.PROBABILITY), row_id="row_id", label="y", score=M.PROBABILITY)
+    long = X.tree_contributions(model, X.rows_of(cases, test, "row_id"), "row_id")[0]
+    return X.explanation_report(cases, long, row_id="row_id")

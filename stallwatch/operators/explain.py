@@ -15,15 +15,11 @@ from stallwatch.operators.aggregates import importance_by_group
 from stallwatch.operators.models import FittedModel
 from stallwatch.operators.ranking import top_above, top_contributions
 from stallwatch.operators.windows import importance_ranks
+from stallwatch.session import cut_lineage
 
 CONTRIBUTION_SCHEMA = "feature string, value double, contribution double"
 
 
-def sample_rows(df: DataFrame, row_id: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """A reproducible sample of at most ``n`` rows (the explanation report works on a sample by design)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id).limit(n)
-
-
 def linear_contributions(df: DataFrame, row_id: str, coefficients: dict[str, float], means: DataFrame | None = None) -> DataFrame:
     """Exact contributions of a linear model: coefficient x (value - mean), in long form."""
     columns = list(coefficients)
@@ -149,20 +145,25 @@ def global_importance(long: DataFrame) -> DataFrame:
     return importance_ranks(stats)
 
 
-def explanation_report(
-    scored: DataFrame, long: DataFrame, *, row_id: str, label: str, score: str, threshold: float = 0.5, top_threshold: float = 0.7, n_top: int = 5, n_cases: int = 3
+def explanation_cases(
+    scored: DataFrame, *, row_id: str, label: str, score: str, threshold: float = 0.5, top_threshold: float = 0.7, n_top: int = 5, n_cases: int = 3
 ) -> DataFrame:
-    """Contributions of the top predictions and of a few true positives and false negatives.
-
-    (case, row_id, score, raises, position, feature, value, contribution); a bounded report.
-    """
+    """(case, row_id, score): the top predictions, and a few true positives and false negatives, out of all scored rows."""
     top = top_above(scored, score, row_id, n_top, top_threshold).select(F.lit("top").alias("case"), row_id, score)
     positives = scored.filter(F.col(label) == 1)
     hits = positives.filter(F.col(score) >= threshold).orderBy(row_id).limit(n_cases).select(F.lit("true_positive").alias("case"), row_id, score)
     misses = positives.filter(F.col(score) < threshold).orderBy(row_id).limit(n_cases).select(F.lit("false_negative").alias("case"), row_id, score)
-    cases = top.unionByName(hits).unionByName(misses)
-    chosen = long.join(F.broadcast(cases.select(row_id).distinct()), row_id, "left_semi")  # at most n_top + 2 n_cases rows
-    return cases.join(top_contributions(chosen, row_id), row_id)
+    return cut_lineage(top.unionByName(hits).unionByName(misses))
+
+
+def rows_of(cases: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
+    """The rows that the cases name: at most n_top + 2 n_cases ids, sent to every task."""
+    return rows.join(F.broadcast(cases.select(row_id).distinct()), row_id, "left_semi")
+
+
+def explanation_report(cases: DataFrame, long: DataFrame, *, row_id: str) -> DataFrame:
+    """(case, row_id, score, raises, position, feature, value, contribution) for :func:`explanation_cases` and their contributions; bounded."""
+    return cases.join(top_contributions(rows_of(cases, long, row_id), row_id), row_id)
 
 
 def group_shares(importance: DataFrame, groups: DataFrame) -> DataFrame:
