@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwatch.plans.ordered import SLICE, ORDER, earlier_slices, later_slices, micros, numbered_by_range, with_slice
+from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, later_slices, micros, numbered, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
 from stallwatch.session import cut_lineage
 
@@ -145,7 +145,7 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ).alias("p")
     ).select("p.*")
     distinct = cut_lineage(pairs.filter(F.col("category").isNotNull()).distinct())
-    coded = numbered_by_range(distinct, ["feature"], ["category"], "code")
+    coded = numbered(distinct, ["feature"], F.col("category"), [], "code")
     return coded.withColumn("code", (F.col("code") - 1).cast("double"))
 
 

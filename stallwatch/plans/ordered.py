@@ -108,33 +108,20 @@ def running_totals(
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Column, ties: Sequence[str | Column], name: str, *, slices: int | None = None
 ) -> DataFrame:
-    """Exact 1-based ``row_number`` per key in (order, ties), computed slice by slice."""
-    sliced = with_slice(df, order, slices)
-    group = [*keys, SLICE]
-    totals = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    carry = totals.select(*group, F.coalesce(F.sum("__n").over(earlier_slices(keys)), F.lit(0)).alias("__c"))
-    local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*group).orderBy(ORDER, *ties)))
-    return (
-        local.join(carry, group)
-        .withColumn(name, F.col("__l") + F.col("__c"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], name)
-    )
-
+    """Exact 1-based ``row_number`` per key in (order, ties), whose columns may have any sortable type.
 
-def numbered_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, slices: int | None = None) -> DataFrame:
-    """Exact 1-based numbers per key in ``order``, columns of any sortable type; (keys, order) must be unique.
-
-    Spark's own range partitioning samples whole values, so long common prefixes and any number of ties in the first
-    columns still spread. The sliced frame is stored before it is read twice.
+    Spark's range partitioning cuts by keys, order and ties together, so neither a hot key, nor many rows of one order value, nor
+    long common prefixes gather in one slice. The ranged frame is stored before it is read twice, as its bounds are
+    sampled.
     """
     width = slices or shuffle_width(df.sparkSession)
-    ranged = df.repartitionByRange(width, *keys, *order).withColumn(SLICE, F.spark_partition_id())
-    sliced, group = cut_lineage(ranged), [*keys, SLICE]
+    ranged = df.withColumn(ORDER, order).repartitionByRange(width, *[F.col(f"`{k}`") for k in keys], F.col(ORDER), *ties)
+    sliced, group = cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id())), [*keys, SLICE]
     totals = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     carry = totals.select(*group, F.coalesce(F.sum("__n").over(earlier_slices(keys)), F.lit(0)).alias("__c"))
-    local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    numbered_rows = local.join(carry, group).withColumn(name, F.col("__l") + F.col("__c"))
-    return numbered_rows.select(*[F.col(f"`{c}`") for c in df.columns], name)
+    local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*group).orderBy(ORDER, *ties)))
+    placed = local.join(carry, group).withColumn(name, F.col("__l") + F.col("__c"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def exact_quantiles(

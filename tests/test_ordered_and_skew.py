@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallwatch.operators.joins import asof_join
-from stallwatch.plans.ordered import SLICE, exact_quantiles, numbered, numbered_by_range, running_totals, with_slice
+from stallwatch.plans.ordered import SLICE, exact_quantiles, numbered, running_totals, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
 
 
@@ -132,10 +132,14 @@ def test_asof_leaves_null_times_and_keys_unmatched(spark, slices):
         assert {r["lid"]: r["rid"] for r in out.collect()} == {1: None, 2: None, 3: 10, 4: None}
 
 
-def test_numbering_by_range_spreads_common_prefixes(spark):
+def test_numbering_spreads_common_prefixes_and_ties(spark):
     df = spark.range(3000).select(F.lit("f").alias("k"), F.concat(F.lit("https://same.example/path/"), F.lpad("id", 6, "0")).alias("c"))
-    got = numbered_by_range(df, ["k"], ["c"], "n", slices=8).collect()
-    assert all(int(r["c"][-6:]) + 1 == r["n"] for r in got)
+    assert all(int(r["c"][-6:]) + 1 == r["n"] for r in numbered(df, ["k"], F.col("c"), [], "n", slices=8).collect())
+    busy = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("day"))
+    ranged = busy.repartitionByRange(8, "day", "id").groupBy(F.spark_partition_id()).count()
+    assert ranged.agg(F.max("count")).first()[0] < 2 * 4000 / 8
+    got = {r["id"]: r["n"] for r in numbered(busy, [], F.col("day"), ["id"], "n", slices=8).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda kv: kv[1])] == [r["id"] for r in busy.orderBy("day", "id").collect()]
 
 
 def test_asof_rejects_unknown_strategy(spark):
