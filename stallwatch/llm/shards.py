@@ -30,7 +30,7 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
 
     A bucket is the shortest prefix whose rows fit ``limit`` bytes or all have the same bits. Bytes are summed once per cell, a
     prefix of ``depth`` bits, chosen so that an average cell is an eighth of the limit; ``cells`` gives each
-    cell's prefix and the length of its bucket's. Cells that are still too large, null there, hold huge rows or a hot
+    cell's prefix and its bucket's bits and bytes. Cells that are still too large, null there, hold huge rows or a hot
     id; ``deep`` resolves them by whole keys, of which there are few.
     """
     total = rows.agg(F.sum("bytes").alias("n")).first()["n"] or 0
@@ -40,11 +40,12 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
         return parts.groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
 
     def shortest(parts: DataFrame, whole: str, first: int, last: int) -> DataFrame:
-        """(whole, length, over): the length of the shortest prefix of ``whole`` that is a bucket, among first..last bits, and whether it is too large."""
+        """(whole, length, held): of the shortest prefix of ``whole`` among first..last bits that is a bucket, its bits and bytes."""
         tall = parts.withColumn("length", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("prefix", F.expr(f"substring({whole}, 1, length)"))
-        fits = merged(tall, "length", "prefix").filter((F.col("bytes") <= limit) | (F.col("low") == F.col("high"))).select("length", "prefix", (F.col("bytes") > limit).alias("over"))
-        least = tall.join(fits, ["length", "prefix"]).groupBy(whole).agg(F.min(F.struct("length", "over")).alias("least"))
-        return least.select(whole, "least.length", "least.over")
+        fits = merged(tall, "length", "prefix").filter((F.col("bytes") <= limit) | (F.col("low") == F.col("high")))
+        fits = fits.select("length", "prefix", F.col("bytes").alias("held"))
+        least = tall.select(whole, "length", "prefix").join(fits, ["length", "prefix"]).groupBy(whole).agg(F.min(F.struct("length", "held")).alias("least"))
+        return least.select(whole, "least.length", "least.held")
 
     keyed = rows.select(F.expr(f"substring(bits, 1, {depth})").alias("cell"), "bytes", F.col("bits").alias("low"), F.col("bits").alias("high"))
     cells = stored(merged(keyed, "cell"), "shard-cells")
@@ -52,7 +53,7 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
     large = placed.filter(F.col("length").isNull()).select("cell")
     inside = lookup(rows.withColumn("cell", F.expr(f"substring(bits, 1, {depth})")), large, ["cell"], "left_semi")
     keys = stored(merged(inside.select("bits", "bytes", F.col("bits").alias("low"), F.col("bits").alias("high")), "bits"), "shard-keys")
-    return placed, shortest(keys, "bits", depth + 1, 2 * BITS), depth
+    return placed, stored(shortest(keys, "bits", depth + 1, 2 * BITS), "shard-deep"), depth
 
 
 def extendible_shards(docs: DataFrame, limit: int, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,27 +66,22 @@ def extendible_shards(docs: DataFrame, limit: int, *, id: str = "doc_id", text:
     column has them.
     """
     shard, deep, page, size = (spare(n, docs.columns) for n in ("shard", "shard_depth", "page", "bytes"))
-    bits, cell, got, more, over = (spare(n, docs.columns) for n in ("bits__", "cell__", "got__", "more__", "over__"))
+    bits, cell, got, held = (spare(n, docs.columns) for n in ("bits__", "cell__", "got__", "held__"))
     name, body = F.col(f"`{id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = docs.select("*", key_bits(name, body).alias(bits), F.octet_length(body).cast("long").alias(size))
     rows = stored(marked.select(F.col(bits).alias("bits"), F.col(size).alias("bytes")), "shard-rows")
     cells, deeper, depth = directory(rows, limit)
-    first = lookup(
-        marked.withColumn(cell, F.expr(f"substring(`{bits}`, 1, {depth})")), cells.select(F.col("cell").alias(cell), F.col("length").alias(got), F.col("over").alias(over)), [cell], "left"
-    )
-    deep_rows = lookup(first.filter(F.col(got).isNull()).drop(got, over), deeper.select(F.col("bits").alias(bits), F.col("length").alias(got), F.col("over").alias(over)), [bits], "inner")
-    found = first.filter(F.col(got).isNotNull()).unionByName(deep_rows)
-    done = found.filter(~F.col(over)).withColumn(page, F.lit(""))
-    # equal rows that overflow one shard: numbered group by group
-    groups = shuffle_width(docs.sparkSession)
-    totals = rows.groupBy("bits").agg(F.sum("bytes").alias("all")).filter(F.col("all") > limit).select(F.col("bits").alias(bits), F.col("all").alias(more))
-    told = lookup(found.filter(F.col(over)), totals, [bits], "left")
-    single = told.filter(F.col(size) >= F.col(more)).withColumn(page, F.lit("")).drop(more)
-    group = F.pmod(F.monotonically_increasing_id(), F.lit(groups))
-    many = told.filter(F.col(size) < F.col(more)).withColumn(more, group)
-    index = F.row_number().over(Window.partitionBy(bits, more).orderBy(F.lit(0))) - 1
-    paged = many.withColumn(page, F.concat_ws(".", F.col(more), F.floor(index / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(size)))))).drop(more)
-    placed = done.unionByName(single).unionByName(paged)
+    near = cells.select(F.col("cell").alias(cell), F.col("length").alias(f"{got}1"), F.col("held").alias(f"{held}1"))
+    far = deeper.select(F.col("bits").alias(bits), F.col("length").alias(f"{got}2"), F.col("held").alias(f"{held}2"))
+    first = lookup(marked.withColumn(cell, F.expr(f"substring(`{bits}`, 1, {depth})")), near, [cell], "left")
+    found = lookup(first, far, [bits], "left").withColumns({got: F.coalesce(f"{got}1", f"{got}2"), held: F.coalesce(f"{held}1", f"{held}2")})
+    # equal rows that overflow their shard together are numbered group by group; a bucket over the limit has one key
+    overflow = (F.col(held) > limit) & (F.col(size) < F.col(held))
+    group = F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_width(docs.sparkSession)))
+    index = F.row_number().over(Window.partitionBy(bits, cell).orderBy(F.lit(0))) - 1
+    fitting = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(size)))
+    paged = found.filter(overflow).withColumn(cell, group.cast("string")).withColumn(page, F.concat_ws(".", F.col(cell), F.floor(index / fitting).cast("string")))
+    placed = found.filter(~overflow).withColumn(page, F.lit("")).unionByName(paged)
     given = [F.col(f"`{c}`") for c in docs.columns]
     return placed.select(*given, F.expr(f"substring(`{bits}`, 1, `{got}`)").alias(shard), F.col(got).alias(deep), F.col(page).alias(page), F.col(size).alias(size))
 
