@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,13 +166,18 @@ def homophily(edges: DataFrame, labels: DataFrame, key: str, label: str, edge_ty
 
 
 def link_counts(df: DataFrame, *, identities: dict[str, str], entity: str, time: str, row_id: str) -> DataFrame:
-    """Per event and identity kind: distinct other ids seen with the same identity strictly before the event."""
-    out = df.select(row_id)
-    for kind, column in identities.items():
-        known = df.select(row_id, entity, time, F.col(f"`{column}`").alias("__identity"), F.lit(None).cast("timestamp").alias("__flag"))
-        history = identity_history(known, identity="__identity", entity=entity, time=time, flag="__flag")
-        out = out.join(history.select(row_id, F.col("prior_entities").alias(f"{kind}_links")), row_id)
-    return out
+    """Per event and identity kind: distinct other ids seen with the same identity strictly before the event.
+
+    Kinds are stacked, so one history pass counts all of them; ``row_id`` is unique.
+    """
+    held = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"`{column}`").cast("string").alias("value")) for kind, column in identities.items()])
+    long = df.select(row_id, entity, time, F.explode(held).alias("__i")).select(
+        row_id, entity, time, F.col("__i.kind").alias("__kind"), F.lit(None).cast("timestamp").alias("__flag"),
+        F.when(F.col("__i.value").isNotNull(), F.concat_ws("=", "__i.kind", "__i.value")).alias("__identity"),
+    )
+    history = identity_history(long, identity="__identity", entity=entity, time=time, flag="__flag")
+    links = [F.max(F.when(F.col("__kind") == kind, F.col("prior_entities"))).alias(f"{kind}_links") for kind in identities]
+    return history.groupBy(row_id).agg(*links)
 
 
 def edges_by_history(edges: DataFrame, rates: DataFrame, key: str, rate: str, above: float = 0.15) -> DataFrame:
@@ -191,9 +198,7 @@ def listing_node_features(
     return filled.withColumns(time_encodings(with_time, "__first", "event_count")).drop("__first")
 
 
-def _mean_vector(column: Column, size: int, weight: Column | None = None) -> Column:
-    if weight is None:
-        return F.array(*[F.avg(column[i].cast("double")) for i in range(size)])
+def _mean_vector(column: Column, size: int, weight: Column) -> Column:
     total = F.sum(weight)
     return F.array(*[F.when(total > 0, F.sum(weight * column[i].cast("double")) / total).otherwise(0.0) for i in range(size)])
 
@@ -209,8 +214,9 @@ def neighbour_means(edges: DataFrame, vectors: DataFrame, *, key: str, vector: s
     out = vectors.select(key)
     for hop in range(1, hops + 1):
         pulled = lookup(edges.select(edge_type, "src", F.col("dst").alias(key)), current.select(F.col(key).alias("src"), "__v"), ["src"], "inner")
-        typed = pulled.groupBy(key, edge_type).agg(_mean_vector(F.col("__v"), size).alias("__m"))
-        summed = typed.groupBy(key).agg(F.array(*[F.sum(F.col("__m")[i]) for i in range(size)]).alias("__h"))
+        # one vector buffer per group, rather than one aggregate per dimension
+        typed = pulled.groupBy(key, edge_type).agg(Summarizer.mean(array_to_vector(F.col("__v"))).alias("__m"))
+        summed = typed.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("__m"))).alias("__h"))
         current = vectors.select(key).join(summed, key, "left").select(key, F.coalesce("__h", zeros).alias("__v"))
         current = cut_lineage(current) if hops > 1 else current
         out = out.join(current.withColumnRenamed("__v", f"hop_{hop}"), key)
