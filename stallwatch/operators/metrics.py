@@ -258,7 +258,6 @@ def auc_difference_test(df: DataFrame, label: str, a: str, b: str, row_id: str)
             ((totals["q"] - F.col("__fp") + F.col("__q") / 2.0) / totals["q"]).alias("__v_pos"),
             ((F.col("__tp") - F.col("__p") / 2.0) / totals["p"]).alias("__v_neg"),
         )
-        counts = df.select(F.col(a if column == "__a" else b).cast("double").alias(column))
         rows = lookup(rows, placed, [column], "inner").withColumn(
             out, F.when(F.col(label) == 1, F.col("__v_pos")).otherwise(F.col("__v_neg"))
         ).drop("__v_pos", "__v_neg")
