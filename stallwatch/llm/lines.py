@@ -163,7 +163,11 @@ def _probe(key: tuple, keys: pa.Table, held: pa.Table) -> pa.Table:
 
 
 class LineIndex:
-    """The index in ``folder``, which must be shared and writable by all executors. Each batch writes the next version."""
+    """The index in ``folder``, which must be shared and writable by all executors.
+
+    Each batch writes the next version: the narrow reference and count tables anew, and the filters by their changes. Texts
+    of earlier batches are not read again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, *, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 16):
         self.spark, self.folder, self.version, self.shards = spark, folder.rstrip("/"), 0, 1
@@ -202,9 +206,8 @@ class LineIndex:
         refs = self._write("refs", refs)
         # counted before the shuffle, so a line that a third of all documents hold sends one row per task
         totals = refs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        keys = refs.count() if not self.version else max(refs.count(), 1)
-        shards = self.shards
-        while shards * self.shard_keys * 2 < keys:
+        held, shards = refs.count(), self.shards
+        while shards * self.shard_keys * 2 < held:
             shards *= 2
         counts = self._write("counts", totals.select(self._shard(shards).alias("shard"), *KEYS, "n_docs", "keeper"))
         often = counts.filter(F.col("n_docs") >= self.min_docs).select("shard", *KEYS)
