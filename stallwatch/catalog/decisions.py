@@ -181,7 +181,7 @@ def _finish(stream_query):
 def stream_ingest(spark, d):
     folder = scratch_folder(spark, "ingest")
     _json_events(spark, d).write.text(f"{folder}/in")
-    _finish(start_ingest(spark.readStream.format("text").load(f"{folder}/in"), folder, delay="60 days"))
+    _finish(start_ingest(spark.readStream.format("text").load(f"{folder}/in"), folder))
     return I.stored_events(spark, f"{folder}/events").groupBy("insertion_id").agg(F.count(F.lit(1)).alias("stored"))
 
 

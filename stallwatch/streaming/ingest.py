@@ -10,6 +10,9 @@ from stallwatch.sources.ingest import parse_events, rejected, store_status, stor
 from stallwatch.streaming.sinks import has_data, write_batch
 
 
+EVENT_KEY = ["insertion_id", "event_type", "event_timestamp"]
+
+
 def json_files(spark: SparkSession, folder: str, *, files_per_batch: int | None = None) -> DataFrame:
     """JSON lines arriving as files, as raw text; a Kafka source gives the same ``value`` column."""
     reader = spark.readStream.format("text")
@@ -28,31 +31,26 @@ def deduplicated(events: DataFrame, *, keys: list[str], time: str, delay: str) -
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def start_ingest(raw: DataFrame, folder: str, *, delay: str = "1 hour") -> StreamingQuery:
+def start_ingest(raw: DataFrame, folder: str) -> StreamingQuery:
     """Store valid events with their status (``stored`` for a new id, ``updated`` for a known one) and keep rejects aside.
 
-    Each micro-batch writes its own partition, so a retry replaces rather than repeats.
+    A repeat of an event is dropped by comparing with the stored events' keys rather than by a watermark, so an event is kept
+    however late it arrives. Each micro-batch writes its own partition, so a retry replaces rather than repeats.
     """
     spark = raw.sparkSession
-    parsed = parse_events(raw)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        good = valid(batch)
+        good = valid(batch).dropDuplicates(EVENT_KEY)
         target = f"{folder}/events"
+        known = good.limit(0)
         if has_data(spark, target):
-            known = stored_events(spark, target).filter(F.col("batch_id") < batch_id)
-        else:
-            known = good.limit(0)
+            known = stored_events(spark, target).filter(F.col("batch_id") < batch_id).select(EVENT_KEY)
+            good = good.join(known, EVENT_KEY, "left_anti")
         write_batch(store_status(good, known), target, batch_id)
         write_batch(rejected(batch), f"{folder}/rejected", batch_id)
         batch.unpersist()
 
-    keys = ["insertion_id", "event_type", "event_timestamp"]
-    repeated_once = parsed.withColumn("__t", F.coalesce("event_timestamp", F.lit("1970-01-01").cast("timestamp")))
-    good = repeated_once.filter(F.size("errors") == 0).drop("__t")
-    bad = repeated_once.filter(F.size("errors") > 0).drop("__t")
-    flow = deduplicated(good, keys=keys, time="event_timestamp", delay=delay).unionByName(bad)
     return (
-        flow.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        parse_events(raw).writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )

@@ -114,10 +114,16 @@ def test_ingest_stream_tells_new_from_known_ids_and_drops_repeats(spark, tmp_pat
     for i, batch in enumerate([[{}, {}, {"insertion_id": "b"}], [{"event_timestamp": "2024-01-01T11:00:00Z"}, "broken", {"insertion_id": "c", "event_timestamp": "2024-01-01T11:00:00Z"}]]):
         _json(spark, *batch).coalesce(1).write.mode("append").text(f"{source}/b={i}")
         raw = spark.readStream.format("text").load(f"{source}/*").select("value")
-        start_ingest(raw, str(tmp_path), delay="2 days").awaitTermination()
+        start_ingest(raw, str(tmp_path)).awaitTermination()
     stored = I.stored_events(spark, f"{tmp_path}/events")
     assert sorted((r["insertion_id"], r["status"]) for r in stored.collect()) == [("a", "stored"), ("a", "updated"), ("b", "stored"), ("c", "stored")]
     assert spark.read.parquet(f"{tmp_path}/rejected").count() == 1
+    # far behind everything seen so far, with a repeat of a stored event and two events of one new id
+    late = [{"insertion_id": "d", "event_timestamp": "2020-01-01T00:00:00Z"}, {"insertion_id": "d", "event_timestamp": "2020-01-02T00:00:00Z"}, {"insertion_id": "b"}]
+    _json(spark, *late).coalesce(1).write.mode("append").text(f"{source}/b=9")
+    start_ingest(spark.readStream.format("text").load(f"{source}/*").select("value"), str(tmp_path)).awaitTermination()
+    again = [(r["insertion_id"], r["status"]) for r in I.stored_events(spark, f"{tmp_path}/events").orderBy("event_timestamp").collect()]
+    assert again[:2] == [("d", "stored"), ("d", "updated")] and len(again) == 6
 
 
 def test_routing_review_and_human_decisions(spark, tmp_path):
