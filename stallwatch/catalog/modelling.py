@@ -105,6 +105,21 @@ def saved_model_features(spark, d):
     return features.unionByName(spark.read.parquet(f"{folder}/categories").select(F.lit("category").alias("kind"), "feature", "category", "code"))
 
 
+@query(f"SELECT count(*) AS n, count(*) AS equal FROM lineitem WHERE l_shipdate > TIMESTAMP '{SPLIT_AT}'")
+def reloaded_scores(spark, d):
+    """Rows of the test split whose score by the saved and reloaded model is the fitted model's own."""
+    from stallwatch.session import scratch_folder
+
+    train, test = _split(spark, d)
+    model, folder = _boosted(train), scratch_folder(spark, "reloaded")
+    model.save(folder)
+    keys = ["row_id", *NUMBERS, *CATEGORIES]
+    own = model.predict(test.select(*keys)).groupBy("row_id").agg(F.sort_array(F.collect_list(M.PROBABILITY)).alias("own"))
+    again = M.FittedModel.load(spark, folder).predict(test.select(*keys)).groupBy("row_id").agg(F.sort_array(F.collect_list(M.PROBABILITY)).alias("again"))
+    both = own.join(again, "row_id")
+    return both.agg(F.sum(F.size("own")).alias("n"), F.sum(F.when(F.col("own") == F.col("again"), F.size("own")).otherwise(0)).alias("equal"))
+
+
 @query()
 def random_search(spark, d):
     columns = SplitColumns(key="row_id", time="l_shipdate", flag="l_shipdate", tie="row_id", label="unused")

@@ -212,6 +212,15 @@ def test_shapley_values_match_their_definition(fitted):
             assert phi[j] == pytest.approx(want, abs=1e-9)
 
 
+def test_a_reloaded_model_scores_alike(spark, fitted, tmp_path):
+    df, model = fitted
+    model.save(str(tmp_path))
+    again = M.FittedModel.load(spark, str(tmp_path))
+    assert (again.numbers, again.categories, again.inputs, again.vector) == (model.numbers, model.categories, model.inputs, None)
+    want = [r[M.PROBABILITY] for r in model.predict(df).orderBy("row_id").collect()]
+    assert [r[M.PROBABILITY] for r in again.predict(df).orderBy("row_id").collect()] == want
+
+
 def test_unseen_categories_score_as_missing(spark, fitted):
     _, model = fitted
     df = spark.createDataFrame([(1, 0.7, 0.5, "new", 1), (2, 0.7, 0.5, None, 1)], "row_id long, a double, b double, c string, y int")
