@@ -1,17 +1,18 @@
-"""Substring deduplication by hashed units: lines, and anchored passages that lines alone would miss.
-
-A unit is a whole line of at least ``least_words`` words, or a passage of ``passage_words`` words that starts at an anchor. Anchors are
-words at which a hash of the word pair is smaller than at the ``reach`` words on either side, so they depend on nearby
-words only: a passage copied into the middle of another line has the same anchors there, and units match wherever the
-copy stands. Digests of units are grouped over the whole corpus, the earliest occurrence (by document id, then position)
-stays, and all others are removed, with their offsets in the original text.
+"""Substring deduplication by hashed units: every passage of twelve words, and lines too short to hold one.
+
+A unit is a line of at least ``least_words`` words that has no passage, or a passage of ``passage_words`` words; passages start at
+every word, so whatever run of that many words or more stands earlier is removed to its last word, wherever it stands.
+Most passages occur once and are never sent anywhere: the seed of a passage is the smallest hash of the ``passage_words -
+reach`` consecutive words inside it, equal passages have equal seeds, and neighbours mostly share theirs. Runs of passages with
+one seed are counted first; only passages whose seed occurs again are hashed as units. Digests of units are grouped over
+the whole corpus, the earliest occurrence (by document id, then position) stays, and all others are removed, with their
+offsets in the original text.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,52 +21,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from stallwatch.llm.common import per_row, spare, stored, text_bytes
+from stallwatch.llm.common import spare, stored, text_bytes
 from stallwatch.plans.skew import lookup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UNIT_DDL = "k1 bigint, k2 bigint, doc_id bigint, start int, words int"
+#: Runs of passages with one seed (k2 is null; ``again`` if equal passages may stand in the run itself), and units of lines.
+SEED_DDL = f"{UNIT_DDL}, again boolean"
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def rolled(hashes: np.ndarray, n: int, mix: int) -> np.ndarray:
+    """One digest of every ``n`` consecutive hashes."""
+    m = max(0, len(hashes) - n + 1)
+    out = np.zeros(m, np.uint64)
+    for k in range(n):
+        out = (out ^ hashes[k : k + m]) * np.uint64(mix)
+        out ^= out >> np.uint64(29)
+    return out
 
 
-def anchors(words: list[bytes], reach: int) -> np.ndarray:
-    """Positions whose word-pair hash is the smallest of ``reach`` positions on either side, the first one of equals."""
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    pair = (h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)
-    most = np.iinfo(np.uint64).max
-    wide = np.concatenate([np.full(reach, most), pair, np.full(reach, most)])
-    least = np.ones(len(words), bool)
-    for k in range(1, reach + 1):
-        least &= (pair < wide[reach - k : reach - k + len(words)]) & (pair <= wide[reach + k : reach + k + len(words)])
-    return np.flatnonzero(least)
-
-
-def units_of(text: bytes, least_words: int, passage_words: int, reach: int) -> Iterator[tuple[bytes, int, int]]:
-    """(normalised unit, first word, number of words) of a UTF-8 text: words in lower case (A-Z), joined by one space."""
+def read_words(text: bytes, least_words: int, passage_words: int) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Words in lower case (A-Z), and (first word, number of words) of the lines that are units."""
     words: list[bytes] = []
+    lines = []
     for line in text.lower().split(b"\n"):
         inside = line.split()
-        if len(inside) >= least_words:
-            yield b" ".join(inside), len(words), len(inside)
+        if least_words <= len(inside) < passage_words:
+            lines.append((len(words), len(inside)))
         words += inside
-    for start in anchors(words, reach).tolist():
-        if start + passage_words <= len(words):
-            yield b" ".join(words[start : start + passage_words]), start, passage_words
+    return words, lines
 
 
-def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5) -> DataFrame:
-    """(k1, k2, doc_id, start, words): a 128-bit digest of every unit and where it is, in words. Rows with a null id have none."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())])
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def past_first(keys: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, words) of passages of ``n`` words with ``keys`` at the ascending words ``at``.
+
+    One that overlaps the document's first passage with its key (a short phrase said over and over) has only its words after that one.
+    """
+    _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    begin = at[first[same]]
+    over = (at > begin) & (at < begin + n)
+    return np.where(over, begin + n, at), np.where(over, at - begin, n)
+
+
+def units_of(text: bytes, least_words: int, passage_words: int, reach: int) -> Iterator[tuple[bytes, int, int]]:
+    """(normalised unit, first word, number of words) of a UTF-8 text: words in lower case (A-Z), joined by one space."""
+    words, lines = read_words(text, least_words, passage_words)
+    for start, n in lines:
+        yield b" ".join(words[start : start + n]), start, n
+    at = np.arange(max(0, len(words) - passage_words + 1))
+    starts, sizes = past_first(rolled(word_hashes(words), passage_words, MIX[0]), at, passage_words)
+    for i, start, n in zip(at.tolist(), starts.tolist(), sizes.tolist()):
+        yield b" ".join(words[i : i + passage_words]), start, n
+
+
+def seed_runs(words: list[bytes], passage_words: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, first passage, number of passages, again) of the runs of neighbouring passages that share a seed."""
+    found = rolled(word_hashes(words), passage_words - reach, MIX[2])
+    m = max(0, len(words) - passage_words + 1)
+    if not m:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    seed = found[:m]
+    for k in range(1, reach + 1):
+        seed = np.minimum(seed, found[k : k + m])
+    held = sum((found[k : k + m] == seed).astype(np.int8) for k in range(reach + 1))
+    start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+    n = np.diff(np.append(start, m))
+    return seed[start], start, n, np.maximum.reduceat(held, start) + (n > reach + 1) > 1
+
+
+def made_batches(rows: Callable[[dict], tuple], schema: pa.Schema, most: int = 1 << 17) -> Callable:
+    """An Arrow-batch function from ``rows``, which turns one row into a column (array or list) per field; output is sent in bounded batches."""
+
+    def sent(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(p[i], f.type) for p in parts]) for i, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                made = rows(row)
+                if len(made[0]):
+                    parts.append(made)
+                    held += len(made[0])
+                if held >= most:
+                    yield sent(parts)
+                    parts, held = [], 0
+        if parts:
+            yield sent(parts)
+
+    return run
+
 
-    def one(row: dict) -> Iterator[dict]:
-        doc = row["doc_id"]
-        for unit, start, n in units_of(row["body"], least_words, passage_words, reach):
-            data = xxhash.xxh3_128_digest(unit)
-            yield {"k1": int.from_bytes(data[:8], "little", signed=True), "k2": int.from_bytes(data[8:], "little", signed=True), "doc_id": doc, "start": start, "words": n}
+FIELDS = [("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())]
+
+
+def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5) -> DataFrame:
+    """(k1, k2, doc_id, start, words): a 128-bit digest of every unit that can repeat and where it is, in words. Rows with a null id have none."""
+
+    def first_pass(row: dict) -> tuple:
+        words, lines = read_words(row["body"], least_words, passage_words)
+        seed, start, n, again = seed_runs(words, passage_words, reach)
+        digests = [xxhash.xxh3_128_digest(b" ".join(words[a : a + b])) for a, b in lines]
+        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return (
+            np.concatenate([seed.view(np.int64), keys[:, 0]]), [None] * len(seed) + keys[:, 1].tolist(), np.full(len(seed) + len(lines), row["doc_id"], np.int64),
+            np.concatenate([start, [a for a, _ in lines]]).astype(np.int32), np.concatenate([n, [b for _, b in lines]]).astype(np.int32),
+            np.concatenate([again, np.zeros(len(lines), bool)]),
+        )
+
+    def second_pass(row: dict) -> tuple:
+        words, _ = read_words(row["body"], least_words, passage_words)
+        hashes = word_hashes(words)
+        k1, k2 = (rolled(hashes, passage_words, m).view(np.int64) for m in MIX[:2])
+        wanted = np.zeros(len(k1), bool)
+        for run in row["runs"]:
+            wanted[run["start"] : run["start"] + run["words"]] = True
+        at = np.flatnonzero(wanted)
+        start, n = past_first(k1[at], at, passage_words)
+        return k1[at], k2[at], np.full(len(at), row["doc_id"], np.int64), start.astype(np.int32), n.astype(np.int32)
 
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(per_row(one, schema, rows=16384), UNIT_DDL)
+    read = stored(rows.mapInArrow(made_batches(first_pass, pa.schema([*FIELDS, ("again", pa.bool_())])), SEED_DDL), "seeds")
+    seeds = read.filter("k2 IS NULL")
+    often = seeds.groupBy("k1").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1").select("k1")
+    runs = lookup(seeds.select("k1", "doc_id", "start", "words"), often, ["k1"], "left_semi")
+    runs = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("runs"))  # of one document
+    passages = rows.join(runs, "doc_id").select("doc_id", "body", "runs").mapInArrow(made_batches(second_pass, pa.schema(FIELDS)), UNIT_DDL)
+    return read.filter("k2 IS NOT NULL").drop("again").unionByName(passages)
 
 
 def repeats(found: DataFrame) -> DataFrame:

@@ -204,3 +204,18 @@ def test_a_copied_passage_is_found_wherever_it_stands():
         b = set(u for u, *_ in units.units_of(f"{sentence(seed + 3000, 4)}\n{passage}, {sentence(seed + 4000, 23)}".encode(), 8, 12, 5))
         found += bool(a & b)
     assert found == 300
+
+
+def test_every_word_of_a_pasted_passage_goes(spark):
+    rows = []
+    for i in range(40):
+        passage = sentence(9000 + i, 12 + i)
+        rows += [(2 * i, f"{sentence(i + 1000, 17)} {passage} {sentence(i + 2000, 9)}"), (2 * i + 1, f"{sentence(i + 3000, 4)}\n{sentence(i, 3)} {passage.upper()} {sentence(i + 4000, 23)}")]
+    run = "alpha beta gamma delta " * 5  # no word of a short cycle has a smaller hash than its neighbours
+    rows += [(90, f"{sentence(90, 20)} {run}{sentence(91, 20)}"), (91, f"{sentence(92, 20)} {run}{sentence(93, 20)}"), (92, sentence(94, 5) + " again" * 30)]
+    left = {r.doc_id: (r.text, r.removed) for r in units.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(40):
+        assert not left[2 * i][1]
+        assert left[2 * i + 1][0].split() == f"{sentence(i + 3000, 4)} {sentence(i, 3)} {sentence(i + 4000, 23)}".split()
+    assert left[91][0].split() == f"{sentence(92, 20)} {sentence(93, 20)}".split()
+    assert left[92][0].split() == f"{sentence(94, 5)}{' again' * 12}".split()  # the first passage stays whole
