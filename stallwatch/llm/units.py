@@ -1,7 +1,11 @@
 """Substring deduplication by hashed units: every passage of twelve words, and lines too short to hold one.
 
-A unit is a line of at least ``least_words`` words that has no passage, or a passage of ``passage_words`` words; passages start at
-every word, so whatever run of that many words or more stands earlier is removed to its last word, wherever it stands.
+A unit is a line of at least ``least_words`` words or ``least_chars`` code points that has no passage, or a passage of
+``passage_words`` words; passages start at every word, so whatever run of that many words or more stands earlier is removed
+to its last word, wherever it stands. In scripts written without spaces every character is a word, and two of them weigh
+as much as one other word: a passage that starts with such text has twice as many. What is below both minimums stays: lines
+shorter than either that are not part of a longer repeat (documents of such lines and of fewer than ``passage_words`` words
+included), and repeats of fewer words inside longer lines.
 Most passages occur once and are never sent anywhere: the seed of a passage is the smallest hash of the ``passage_words -
 reach`` consecutive words inside it, equal passages have equal seeds, and neighbours mostly share theirs. Runs of passages with
 one seed are counted first; only passages whose seed occurs again are hashed as units. Digests of units are grouped over
@@ -24,7 +28,12 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from stallwatch.llm.common import spare, stored, text_bytes
 from stallwatch.plans.skew import lookup
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Thai and Lao, Burmese, Khmer, kana, Chinese characters: a word each.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+")
+ALONE = re.compile(f"[{UNSPACED}]")
+MAYBE = re.compile(rb"[\xE0\xE1\xE3-\xE9\xEF\xF0]")  # first bytes of those characters, and of some others
+LEAST_CHARS = 40
 UNIT_DDL = "k1 bigint, k2 bigint, doc_id bigint, start int, words int"
 #: Runs of passages with one seed (k2 is null; ``again`` if equal passages may stand in the run itself), and units of lines.
 SEED_DDL = f"{UNIT_DDL}, again boolean"
@@ -41,42 +50,71 @@ def rolled(hashes: np.ndarray, n: int, mix: int) -> np.ndarray:
     return out
 
 
-def read_words(text: bytes, least_words: int, passage_words: int) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Words in lower case (A-Z), and (first word, number of words) of the lines that are units."""
+def read_words(text: bytes, least_words: int, passage_words: int, least_chars: int = LEAST_CHARS) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
+    """Words in lower case (A-Z), which of them are characters of scripts without spaces, and (first word, number of words) of the lines that are units."""
     words: list[bytes] = []
+    alone: list[int] = []
     lines = []
     for line in text.lower().split(b"\n"):
-        inside = line.split()
-        if least_words <= len(inside) < passage_words:
+        if MAYBE.search(line):
+            found = WORD.findall(line.decode("utf-8", "replace"))
+            inside = [w.encode() for w in found]
+            single = [i for i, w in enumerate(found) if ALONE.match(w)]
+        else:
+            inside, single = line.split(), []
+        weight = len(inside) - len(single) / 2
+        chars = len(line.decode("utf-8", "replace").strip(" \t\x0b\x0c\r")) if len(line) >= least_chars else 0
+        if (single or len(inside) < passage_words) and (weight >= least_words or chars >= least_chars):
             lines.append((len(words), len(inside)))
+        alone += [len(words) + i for i in single]
         words += inside
-    return words, lines
+    marks = np.zeros(len(words), bool)
+    marks[alone] = True
+    return words, marks, lines
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def past_first(keys: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, words) of passages of ``n`` words with ``keys`` at the ascending words ``at``.
+def passages_at(words: list[bytes], marks: np.ndarray, n: int, mixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Digests, one array per mix, and lengths of the passages at every word; the length is 0 where the text ends before."""
+    hashes, m = word_hashes(words), max(0, len(words) - n + 1)
+    keys = [rolled(hashes, n, mix) for mix in mixes]
+    size = np.full(m, n)
+    if marks.any():
+        total = np.append(0, np.cumsum(marks))
+        double = 2 * (total[n : n + m] - total[:m]) >= n
+        size[double] = 2 * n
+        size[double & (np.arange(m) + 2 * n > len(words))] = 0
+        for key, mix in zip(keys, mixes):
+            wide = rolled(hashes, 2 * n, mix)
+            at = np.flatnonzero(size == 2 * n)
+            key[at] = wide[at]
+    return keys, size
+
+
+def past_first(keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, words) of passages with ``keys`` and ``size`` words at the ascending words ``at``.
 
     One that overlaps the document's first passage with its key (a short phrase said over and over) has only its words after that one.
     """
     _, first, same = np.unique(keys, return_index=True, return_inverse=True)
     begin = at[first[same]]
-    over = (at > begin) & (at < begin + n)
-    return np.where(over, begin + n, at), np.where(over, at - begin, n)
+    over = (at > begin) & (at < begin + size)
+    return np.where(over, begin + size, at), np.where(over, at - begin, size)
 
 
-def units_of(text: bytes, least_words: int, passage_words: int, reach: int) -> Iterator[tuple[bytes, int, int]]:
+def units_of(text: bytes, least_words: int, passage_words: int, reach: int, least_chars: int = LEAST_CHARS) -> Iterator[tuple[bytes, int, int]]:
     """(normalised unit, first word, number of words) of a UTF-8 text: words in lower case (A-Z), joined by one space."""
-    words, lines = read_words(text, least_words, passage_words)
+    words, marks, lines = read_words(text, least_words, passage_words, least_chars)
     for start, n in lines:
         yield b" ".join(words[start : start + n]), start, n
-    at = np.arange(max(0, len(words) - passage_words + 1))
-    starts, sizes = past_first(rolled(word_hashes(words), passage_words, MIX[0]), at, passage_words)
+    (keys,), size = passages_at(words, marks, passage_words, MIX[:1])
+    at = np.flatnonzero(size)
+    starts, sizes = past_first(keys[at], at, size[at])
     for i, start, n in zip(at.tolist(), starts.tolist(), sizes.tolist()):
-        yield b" ".join(words[i : i + passage_words]), start, n
+        yield b" ".join(words[i : i + int(size[i])]), start, n
 
 
 def seed_runs(words: list[bytes], passage_words: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,11 +158,11 @@ def made_batches(rows: Callable[[dict], tuple], schema: pa.Schema, most: int = 1
 FIELDS = [("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())]
 
 
-def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5) -> DataFrame:
+def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(k1, k2, doc_id, start, words): a 128-bit digest of every unit that can repeat and where it is, in words. Rows with a null id have none."""
 
     def first_pass(row: dict) -> tuple:
-        words, lines = read_words(row["body"], least_words, passage_words)
+        words, _, lines = read_words(row["body"], least_words, passage_words, least_chars)
         seed, start, n, again = seed_runs(words, passage_words, reach)
         digests = [xxhash.xxh3_128_digest(b" ".join(words[a : a + b])) for a, b in lines]
         keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -135,15 +173,14 @@ def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_word
         )
 
     def second_pass(row: dict) -> tuple:
-        words, _ = read_words(row["body"], least_words, passage_words)
-        hashes = word_hashes(words)
-        k1, k2 = (rolled(hashes, passage_words, m).view(np.int64) for m in MIX[:2])
+        words, marks, _ = read_words(row["body"], least_words, passage_words, least_chars)
+        (k1, k2), size = passages_at(words, marks, passage_words, MIX[:2])
         wanted = np.zeros(len(k1), bool)
         for run in row["runs"]:
             wanted[run["start"] : run["start"] + run["words"]] = True
-        at = np.flatnonzero(wanted)
-        start, n = past_first(k1[at], at, passage_words)
-        return k1[at], k2[at], np.full(len(at), row["doc_id"], np.int64), start.astype(np.int32), n.astype(np.int32)
+        at = np.flatnonzero(wanted & (size > 0))
+        start, n = past_first(k1[at], at, size[at])
+        return k1[at].view(np.int64), k2[at].view(np.int64), np.full(len(at), row["doc_id"], np.int64), start.astype(np.int32), n.astype(np.int32)
 
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body")).filter("doc_id IS NOT NULL")
     read = stored(rows.mapInArrow(made_batches(first_pass, pa.schema([*FIELDS, ("again", pa.bool_())])), SEED_DDL), "seeds")
@@ -173,7 +210,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with repeated units cut from ``text``, and removed: array<struct<start, end>> in code points of the original text.
 
     Overlapping units are removed as one span, from its first word to its last; white space around it stays, but a line
@@ -182,7 +219,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     through, and the new name gets underscores in front where a column has it.
     """
     given, held, gone = (spare(n, docs.columns) for n in ("cut", "unit_list", "removed"))
-    found = stored(units(docs, id=id, text=text, least_words=least_words, passage_words=passage_words, reach=reach), "units")
+    found = stored(units(docs, id=id, text=text, least_words=least_words, passage_words=passage_words, reach=reach, least_chars=least_chars), "units")
     cuts = repeats(found).groupBy(F.col("doc_id").alias(given)).agg(F.collect_set(F.struct("start", "words")).alias(held))  # units of one document
     joined = docs.join(cuts, F.col(f"`{id}`").cast("long") == F.col(given), "left").drop(given)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])

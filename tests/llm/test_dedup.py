@@ -219,3 +219,21 @@ def test_every_word_of_a_pasted_passage_goes(spark):
         assert left[2 * i + 1][0].split() == f"{sentence(i + 3000, 4)} {sentence(i, 3)} {sentence(i + 4000, 23)}".split()
     assert left[91][0].split() == f"{sentence(92, 20)} {sentence(93, 20)}".split()
     assert left[92][0].split() == f"{sentence(94, 5)}{' again' * 12}".split()  # the first passage stays whole
+
+
+def test_short_lines_of_many_characters_and_text_without_spaces_are_cut(spark):
+    rng = random.Random(5)
+
+    def han(n):
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+
+    address, line, passage = "https://example.org/a/rather/long/address/of/one/word", han(30), han(30)
+    rows = [
+        (1, f"{address}\nfew words\n{sentence(1, 20)}"), (2, f"{address}\nfew words\n{sentence(2, 20)}"),
+        (3, address), (4, f"{line}\n{han(9)}"), (5, f"{line}\n{han(9)}"), (6, f"{han(20)}{passage}{han(20)}"), (7, f"{han(15)}{passage}{han(15)}"),
+    ]
+    left = {r.doc_id: r.text for r in units.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    assert left[1] == texts[1] and left[2] == f"few words\n{sentence(2, 20)}" and left[3] == ""
+    assert left[4] == texts[4] and left[5] == texts[5].partition("\n")[2]
+    assert left[6] == texts[6] and left[7] == texts[7].replace(passage, "")
