@@ -7,7 +7,8 @@ import binascii
 import json
 import re
 import struct
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,12 @@ ASSIGNED, ACCESS_LENGTH = 8, 16
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
+# The same broken over lines of 16 or more characters, the last of any length; a break is real or escaped, with indentation.
+BREAK = r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
+BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]{{16,}})*{BREAK}[A-Za-z0-9+/_-]+={{0,2}}")
+HEX_LINES = re.compile(rf"(?<![0-9A-Za-z])[0-9A-Fa-f]{{16,}}(?:{BREAK}[0-9A-Fa-f]{{16,}})*{BREAK}[0-9A-Fa-f]+(?![0-9A-Za-z])")
+BASE64_PART, HEX_PART = re.compile(r"\\r\\n|\\n|([A-Za-z0-9+/_-]+)"), re.compile(r"\\r\\n|\\n|([0-9A-Fa-f]+)")
 KINDS = ("assign", "access", "hex", "signed", "armour", "encoded", "hexkey")
 
 
@@ -40,6 +46,10 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
+def decode16(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
 def der_items(data: bytes, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
     """(tag, start, end) of the values that fill data[start:end] exactly, or None where a length does not fit."""
     end, items = len(data) if end is None else end, []
@@ -84,11 +94,11 @@ def is_der_private_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_private_key(data: bytes) -> bool:
-    """The magic word, then cipher, key derivation, options, one or more public keys and the private block, by nested lengths."""
+def ssh_private_key_size(data: bytes) -> int:
+    """Bytes of the key that ``data`` starts with, 0 if none: the magic word, then cipher, key derivation, options, one or more public keys and the private block, by nested lengths."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def take() -> bytes | None:
@@ -102,16 +112,85 @@ def is_ssh_private_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(take() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return 0
     keys = struct.unpack_from(">I", data, at)[0]
     at += 4
-    return 1 <= keys <= 16 and all(take() is not None for _ in range(keys)) and bool(take()) and at == len(data)
+    return at if 1 <= keys <= 16 and all(take() is not None for _ in range(keys)) and take() else 0
+
+
+def is_ssh_private_key(data: bytes) -> bool:
+    return bool(data) and ssh_private_key_size(data) == len(data)
 
 
 def is_private_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_private_key(data) or is_ssh_private_key(data))
 
 
+def armoured_keys(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of armoured private keys whose body is one."""
+    for m in ARMOUR.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if is_private_key(decode64(re.sub(r"\\[nr]|\s", "", m[2]))):
+            yield m.span()
+
+
+def holds_private_key(data: bytes | None) -> bool:
+    """A private key, or a text with an armoured one (as base64 of a whole PEM file has)."""
+    return is_private_key(data) or bool(data) and b"-----BEGIN" in data and any(armoured_keys(data.decode("latin-1")))
+
+
+def der_size(data: bytes) -> int:
+    """Bytes of the DER value that ``data`` starts with by its own length, 0 where there is none of up to four bytes."""
+    width = data[1] & 0x7F if len(data) > 6 and data[1] & 0x80 else 0
+    if len(data) <= 6 or width > 4:
+        return 0
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
+def first_key_size(data: bytes) -> int:
+    """Bytes of the private key that ``data`` starts with, or up to the end of the first armoured one in it; 0 if none."""
+    if data[:1] == b"\x30":
+        size = der_size(data)
+        return size if size <= len(data) and is_der_private_key(data[:size]) else 0
+    if data.startswith(b"openssh-key-v1"):
+        return ssh_private_key_size(data)
+    return next((b for _, b in armoured_keys(data.decode("latin-1"))), 0) if b"-----BEGIN" in data else 0
+
+
+def keys_over_lines(text: str, lines: re.Pattern, part: re.Pattern, opens: tuple[str, ...], decode: Callable[[str], bytes | None], unit: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of keys whose encoding is broken over lines; each has to end where a line's run ends.
+
+    Tried from lines that open like a key, and from the first two, as a text may stand before the armour. ``unit`` is (characters, bytes).
+    """
+    chars, size = unit
+    for m in lines.finditer(text):
+        runs = [p.span(1) for p in part.finditer(text, *m.span()) if p[1]]
+        whole, ends = "".join(text[a:b] for a, b in runs), [0]
+        for a, b in runs:
+            ends.append(ends[-1] + b - a)
+        done = 0
+        for i, (start, _) in enumerate(runs[:-1]):
+            if i < done or i > 1 and not text.startswith(opens, start):
+                continue
+            at = ends[i]
+            if text.startswith(opens[0], start):  # DER tells its own length: no more than that is decoded
+                need = -(-der_size(decode(whole[at : at + 24]) or b"") * chars // size)
+                tries = [need] if 0 < need <= len(whole) - at else []
+            else:  # lines of one width, then with or without a shorter one
+                last = next((k for k in range(i + 1, len(runs)) if ends[k + 1] - ends[k] < ends[i + 2] - ends[i + 1]), len(runs) - 1)
+                tries = [ends[last + 1] - at, ends[last] - at]
+            data, held = b"", 0
+            for need in tries:
+                data = decode(whole[at : at + need]) or b""
+                if held := first_key_size(data):
+                    break
+            armoured = data[:1] != b"\x30" and not data.startswith(b"openssh-key-v1")
+            to = at + -(-held * chars // size)
+            j = bisect_left(ends, to)
+            if held and j > i + 1 and (ends[j] == to or armoured):  # behind an armoured key a line break may follow
+                done = j
+                yield start, m.end() if j == len(runs) else runs[j - 1][1]
+
+
 def is_signed_token(token: str) -> bool:
     """A header naming its algorithm, claims that are an object, and a signature unless the algorithm is "none"."""
     parts = [decode64(p) for p in token.split(".")]
@@ -136,18 +215,18 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose decoded form parses as a signed token or a private key."""
     found = [(m.start(), "signed", m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])] if "eyJ" in text else []
-    if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", m[2])
-            if is_private_key(decode64(body)):
-                found.append((m.start(), "armour", m.end()))
+    found += [(a, "armour", b) for a, b in armoured_keys(text)]
     inside = sorted((a, b) for a, _, b in found)
 
     def free(start: int, end: int) -> bool:
         return not any(a < end and start < b for a, b in inside)
 
-    found += [(m.start(), "encoded", m.end()) for m in BASE64_RUN.finditer(text) if is_private_key(decode64(m[0])) and free(m.start(), m.end())]
-    found += [(m.start(), "hexkey", m.end()) for m in HEX_RUN.finditer(text) if is_private_key(bytes.fromhex(m[0])) and free(m.start(), m.end())]
+    found += [(m.start(), "encoded", m.end()) for m in BASE64_RUN.finditer(text) if holds_private_key(decode64(m[0])) and free(m.start(), m.end())]
+    found += [(m.start(), "hexkey", m.end()) for m in HEX_RUN.finditer(text) if holds_private_key(bytes.fromhex(m[0])) and free(m.start(), m.end())]
+    inside = sorted((a, b) for a, _, b in found)
+    found += [(a, "encoded", b) for a, b in keys_over_lines(text, BASE64_LINES, BASE64_PART, ("M", "b3BlbnNzaC1rZXkt", "LS0tLS"), decode64, (4, 3)) if free(a, b)]
+    inside = sorted((a, b) for a, _, b in found)
+    found += [(a, "hexkey", b) for a, b in keys_over_lines(text, HEX_LINES, HEX_PART, ("30", "6f70656e737368", "6F70656E737368", "2d2d2d2d2d", "2D2D2D2D2D"), decode16, (2, 1)) if free(a, b)]
     return found
 
 
@@ -161,7 +240,7 @@ def find_secrets(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
     ``base`` has what the patterns for assignments, access keys and hex runs match; ``secrets`` has the same and the
     structurally confirmed ones: signed tokens (header, claims and signature decoded), armoured private keys, and bare base64
-    or hex whose DER or OpenSSH lengths nest exactly. Offsets are code points, ends exclusive, ordered by start and kind.
+    or hex whose DER or OpenSSH lengths nest exactly or which holds an armoured key, in one run or over lines of 16 or more characters. Offsets are code points, ends exclusive, ordered by start and kind.
     Null and empty texts give empty lists; rows that share an id each get a row; an empty table gives none; other
     columns are not read.
     """

@@ -56,6 +56,23 @@ def test_look_alikes_are_not_confirmed():
     assert secrets.confirmed_spans("-----BEGIN PRIVATE KEY-----\nAAAAAAAAAAAAAAAAAAAAAAAA\n-----END PRIVATE KEY-----") == []
 
 
+@pytest.mark.parametrize("key", [RSA, EC, WRAPPED, SSH])
+def test_keys_broken_over_lines_or_wrapped_twice_are_confirmed(key):
+    def lines(text, n, between="\n"):
+        return between.join(text[i : i + n] for i in range(0, len(text), n))
+
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines(b64(key), 64)}\n-----END PRIVATE KEY-----\n"
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))
+    for n in (64, 76):
+        for text, kind in (
+            (lines(b64(key), n), "encoded"), (lines(b64(key), n, "\r\n    "), "encoded"), (lines(b64(key), n, "\\n"), "encoded"), (lines(b64(key).rstrip("="), n), "encoded"),
+            (lines(key.hex(), n), "hexkey"), (mixed, "hexkey"), (lines(mixed, n, "\n  "), "hexkey"), (b64(pem.encode()), "encoded"), (lines(b64(pem.encode()), n), "encoded"),
+        ):
+            for before, after in (("é ", " end"), ("-----BEGIN RSA PRIVATE KEY----\n", "\n-----END RSA PRIVATE KEY----"), ("key: |\n  ", "\nnext: line")):
+                assert secrets.confirmed_spans(before + text + after) == [(len(before), kind, len(before) + len(text))], (text, before)
+    assert secrets.confirmed_spans(lines(b64(bytes(range(200))), 64)) == [] and secrets.confirmed_spans(lines(b64(key[:-1]), 64)) == []
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_base_spans_stay_and_odd_rows_pass(spark, clash):
     found = {r.doc_id: r for r in secrets.find_secrets(odd_docs(spark, clash)).collect()}
