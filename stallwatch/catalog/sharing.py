@@ -19,8 +19,9 @@ def _edges_sql(cap=CAP, where="true"):
 
 
 def _edges(spark, d, cap=CAP):
-    """Edges as operators on top of them get them: stored once."""
-    return cut_lineage(G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=cap))
+    """Edges as operators on top of them get them: stored once. Without a cap the operator's own holds."""
+    settings = {} if cap is None else {"cap": cap}
+    return cut_lineage(G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, **settings))
 
 
 @query(_edges_sql())
@@ -158,12 +159,12 @@ def similarity_weighted_means(spark, d):
 
 @query()
 def sampled_neighbours(spark, d):
-    return G.sample_neighbours(_edges(spark, d, 20), [15, 10], listings(spark, d).select("o_orderkey"))
+    return G.sample_neighbours(_edges(spark, d, None), [15, 10], listings(spark, d).select("o_orderkey"))
 
 
 @query()
 def link_prediction_samples(spark, d):
-    return G.link_samples(_edges(spark, d), listings(spark, d), "o_orderkey")
+    return G.link_samples(_edges(spark, d, None), listings(spark, d), "o_orderkey")
 
 
 @query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders")

@@ -236,3 +236,15 @@ def test_categories_are_coded_once_each(spark):
     coded = encode_categories(df, dictionary.union(dictionary), ["c"]).orderBy("id").select("id", "c").collect()
     order = {f"c{v}": i for i, v in enumerate(v for v in range(7) if v != 3)}
     assert [r["c"] for r in coded] == [order.get(f"c{i % 7}") for i in range(50)]
+
+
+def test_samples_of_sharing_edges_see_all_hundred_partners(spark, tmp_path):
+    from stallwatch.catalog import sharing
+
+    rows = [(i, 1, float(i), "O", "1-URGENT", 1_000_000_000 + 3600 * i) for i in range(130)] + [(1000 + i, 100 + i, 1.0, "O", "5-LOW", 1_000_000_000) for i in range(400)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string, at long")
+    orders.selectExpr("* except (at)", "timestamp_seconds(at) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    linked = sharing.link_prediction_samples(spark, str(tmp_path)).filter("label = 1")
+    assert linked.count() == sum(min(100, 129 - i) for i in range(130))
+    near = sharing.sampled_neighbours(spark, str(tmp_path)).filter("hop = 1").collect()
+    assert max(r.dst - r.src for r in near) > 20
