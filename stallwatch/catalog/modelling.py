@@ -39,7 +39,7 @@ def _fit(variant, **settings):
 
 
 def _boosted(train):
-    return _fit(Variant.BOOSTED, positive_weight=3.0, maxIter=8, maxDepth=4)(train)
+    return _fit(Variant.BOOSTED, positive_weight=3.0)(train)
 
 
 @query("""
@@ -67,7 +67,7 @@ def model_variants(spark, d):
     train, test = _split(spark, d)
     fits = {
         Variant.LOGISTIC.value: _fit(Variant.LOGISTIC),
-        Variant.FOREST.value: _fit(Variant.FOREST, numTrees=10, maxDepth=6),
+        Variant.FOREST.value: _fit(Variant.FOREST),
         Variant.BOOSTED.value: _boosted,
     }
     return M.train_variants(train, test, "y", fits)[1]
@@ -79,7 +79,7 @@ def model_with_graph_vectors(spark, d):
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("l_suppkey"), "embedding")
     train, test = (attach_vectors(part, vectors, "l_suppkey", "embedding", 64) for part in _split(spark, d))
-    model = M.fit_variant(train, "y", Variant.GRAPH_VECTORS, numbers=NUMBERS, categories=CATEGORIES, vector="embedding", vector_size=64, maxIter=3, maxDepth=4)
+    model = M.fit_variant(train, "y", Variant.GRAPH_VECTORS, numbers=NUMBERS, categories=CATEGORIES, vector="embedding", vector_size=64)
     return ranking_metrics(model.predict(test), "y", M.PROBABILITY)
 
 
@@ -125,8 +125,7 @@ def random_search(spark, d):
     columns = SplitColumns(key="row_id", time="l_shipdate", flag="l_shipdate", tie="row_id", label="unused")
     folds = expanding_folds(datetime(1995, 1, 1), datetime(2001, 10, 1), window_days=600, gap_days=7)
     folded = assign_folds(_rows(spark, d), columns, folds, label=False)
-    space = {"maxDepth": (2, 4), "maxIter": (2, 5), "stepSize": (0.1, 0.3), "positive_weight": (1.0, 5.0)}
-    out = M.Search(space, trials=2).run(folded, "y", numbers=NUMBERS, folds=[f.fold for f in folds])
+    out = M.Search().run(folded, "y", numbers=NUMBERS, categories=CATEGORIES, folds=[f.fold for f in folds])
     return out.select("trial", F.to_json("settings").alias("settings"), "mean_ap")
 
 
@@ -135,7 +134,7 @@ def group_ablation(spark, d):
     train, test = _split(spark, d)
 
     def fit(df, columns):
-        return M.fit_variant(df, "y", Variant.BOOSTED, numbers=columns, maxIter=3, maxDepth=4)
+        return M.fit_variant(df, "y", Variant.BOOSTED, numbers=columns)
 
     return M.ablation(train, test, "y", {"price": NUMBERS[:2], "terms": NUMBERS[2:]}, fit)
 

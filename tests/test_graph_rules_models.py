@@ -248,3 +248,29 @@ def test_samples_of_sharing_edges_see_all_hundred_partners(spark, tmp_path):
     assert linked.count() == sum(min(100, 129 - i) for i in range(130))
     near = sharing.sampled_neighbours(spark, str(tmp_path)).filter("hop = 1").collect()
     assert max(r.dst - r.src for r in near) > 20
+
+
+def test_catalog_models_have_the_operators_own_settings(spark, folder, monkeypatch):
+    from stallwatch.catalog import modelling
+    from stallwatch.operators import models
+
+    fits, searches = [], []
+
+    class Seen(Exception):
+        pass
+
+    def fit(*_, **settings):
+        fits.append(settings)
+        raise Seen
+
+    monkeypatch.setattr(models, "fit_variant", fit)
+    monkeypatch.setattr(models.Search, "run", lambda self, *_, **given: searches.append((self, given)) or spark.createDataFrame([(0, {"a": 1.0}, 0.5)], "trial int, settings map<string, double>, mean_ap double"))
+    for query in (modelling.model_variants, modelling.model_with_graph_vectors, modelling.group_ablation, modelling.scored_rows):
+        with pytest.raises(Seen):
+            query(spark, folder)
+    with pytest.raises(Seen):
+        modelling._boosted(None)
+    assert not [s for s in fits if {"maxIter", "maxDepth", "numTrees", "stepSize", "subsamplingRate"} & set(s)]
+    modelling.random_search(spark, folder)
+    (search, given), = searches
+    assert (search.trials, search.space) == (10, models.SEARCH_SPACE) and list(given["categories"]) == modelling.CATEGORIES
