@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.llm import leaks, lines, neighbours, packing, rules, secrets, shards, simhash, units, wavelet
+from stallwatch.llm import leaks, lines, neighbours, packing, rules, secrets, shards, simhash, units, wavelet, whitening
 from stallwatch.llm.common import held_out, table
 from stallwatch.session import scratch_folder
 
@@ -147,6 +147,25 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector projected on the four leading components of the exact covariance, at unit variance."""
+    vectors = table(spark, folder, "embeddings")
+    fitted = whitening.vectors_of(vectors)
+    model = whitening.fit(fitted, components=4)
+    if model is None:
+        return whitening.whiten(vectors, None).selectExpr(
+            "vec_id", "0 AS component", "0L AS n", "0L AS deviation", "0D AS whitened", "0D AS explained", "0D AS identity_error"
+        ).filter(F.lit(False))
+    shares = F.array(*[F.lit(share).cast("double") for share in model.explained])
+    error = F.lit(whitening.identity_error(fitted, model)).cast("double")
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", F.get(shares, F.col("at")).alias("explained"), error.alias("identity_error"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Raw documents to packed sequences, by the stages of the corpus pipeline."""
