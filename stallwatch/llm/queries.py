@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.llm import chat, leaks, lines, neighbours, packing, rules, secrets, shards, simhash, units, wavelet, whitening
+from stallwatch.llm import alignment, chat, leaks, lines, neighbours, packing, rules, secrets, shards, simhash, units, wavelet, whitening
 from stallwatch.llm.common import held_out, stored, table
 from stallwatch.session import scratch_folder
 
@@ -19,6 +19,7 @@ ORACLE: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -195,6 +196,12 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by two tokenizers in groups that end together, and how common its links are."""
+    return alignment.align_tokenizers(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER).documents
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Raw documents to packed sequences, by the stages of the corpus pipeline."""
