@@ -208,7 +208,7 @@ def _aligned(path_a: str, path_b: str, most_postings: int, container_docs: int):
 
         postings = 0
         for batch in batches:
-            for part, doc_id, body in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "body"))):
+            for part, doc_id, body in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), (v.as_py() for v in batch.column("body"))):
                 here, slot = part << 32 | row // container_docs, row % container_docs
                 if here != container or postings >= most_postings or len(docs) >= 4096:
                     yield from flush(True)
@@ -220,7 +220,7 @@ def _aligned(path_a: str, path_b: str, most_postings: int, container_docs: int):
                     continue
                 docs.append((here, slot, doc_id, found.n_a, found.n_b, found.n_groups, len(found.links), found.digest))
                 pairs, times = np.unique(found.links, return_counts=True)
-                for h, values in zip(held, (pairs, np.full(len(pairs), slot, np.int64), times)):
+                for h, values in zip(held, (pairs, np.full(len(pairs), slot, np.uint16), times.astype(np.int32))):
                     h.append(values)
                 postings += len(pairs)
         yield from flush(True)
@@ -297,7 +297,7 @@ class Alignment:
 
 
 def align_tokenizers(
-    docs: DataFrame, path_a: str, path_b: str, *, id: str = "doc_id", text: str = "text", most_postings: int = 1 << 20, container_docs: int = SLOTS
+    docs: DataFrame, path_a: str, path_b: str, *, id: str = "doc_id", text: str = "text", most_postings: int = 1 << 19, container_docs: int = SLOTS
 ) -> Alignment:
     """Align a byte-level BPE file (A, asked for a blank and the text) with a sentencepiece model (B, which adds the blank itself).
 
@@ -312,7 +312,7 @@ def align_tokenizers(
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body"))
     folder = scratch_folder(spark, "alignment")
-    rows.mapInArrow(_aligned(path_a, path_b, most_postings, min(container_docs, SLOTS)), WRITTEN_DDL).write.partitionBy("kind").parquet(folder)
+    rows.mapInArrow(_aligned(path_a, path_b, most_postings, min(container_docs, SLOTS)), WRITTEN_DDL).write.parquet(folder)
     written = spark.read.schema(WRITTEN_DDL).parquet(folder)
     partials = written.filter(F.col("kind") == "posting").select("pair", "container", "plane", "bits")
     together = partials.repartition("pair", "container").sortWithinPartitions("pair", "container", "plane")
