@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwatch.llm import leaks, lines, packing, rules, simhash
+from stallwatch.llm.common import removed
 from stallwatch.session import scratch_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -52,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's output is stored in the shared folder and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's output is stored in the shared folder and read back, and deleted when the next is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         folder = scratch_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            removed(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,18 +31,24 @@ def shingles_of(words: Column, width: int) -> Column:
 
 
 def shingle_hashes(words: Column, width: int) -> Column:
-    """64-bit hashes of the words of every run of ``width`` words."""
+    """64-bit hashes of every run of ``width`` hashes of words."""
     spans = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     return F.when(F.size(words) >= width, spans).otherwise(F.array().cast("array<bigint>"))
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def item_shingles(benchmark: DataFrame, *, id: str = "item_id", text: str = "text", width: int = 5) -> DataFrame:
     """(item_id, width, shingle, h, n): distinct shingles of every item and their number. An item of fewer words than ``width`` is one shingle."""
     rows = benchmark.select(F.col(f"`{id}`").cast("long").alias("item_id"), words_of(F.col(f"`{text}`")).alias("words"))
     long = rows.filter(F.size("words") >= width).select("item_id", F.lit(width).alias("width"), F.explode(shingles_of(F.col("words"), width)).alias("shingle"))
     short = rows.filter((F.size("words") > 0) & (F.size("words") < width)).select("item_id", F.size("words").alias("width"), F.array_join("words", " ").alias("shingle"))
     sets = long.unionByName(short).filter(F.col("item_id").isNotNull()).distinct()
-    hashed = sets.withColumn("h", F.xxhash64(*[F.get(F.split("shingle", " "), k) for k in range(width)]))
+    # places beyond a short item's end are null, which a hash passes over
+    words = sets.withColumn("hashes", word_hashes(F.split("shingle", " ")))
+    hashed = words.withColumn("h", F.xxhash64(*[F.get("hashes", k) for k in range(width)])).drop("hashes")
     return hashed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
@@ -72,7 +78,7 @@ def contained_items(
     shingles = stored(item_shingles(benchmark, id=item_id, text=item_text, width=width), "item-shingles")
     sketches = stored(item_sketches(shingles, threshold), "item-sketches")
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("body")).filter("doc_id IS NOT NULL AND body IS NOT NULL")
-    words = rows.select("doc_id", words_of(F.col("body")).alias("words"))
+    words = rows.select("doc_id", words_of(F.col("body")).alias("spelled")).select("doc_id", word_hashes(F.col("spelled")).alias("words"))
     small = sketches.count() <= BROADCAST_ROWS
     widths = sorted(r["width"] for r in sketches.select("width").distinct().collect())  # at most ``width`` of them
     found = None

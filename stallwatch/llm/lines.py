@@ -5,6 +5,7 @@ The index is a folder of Parquet tables, versioned by batch:
 ``refs``     (k1, k2, doc_id), one row per document that holds a line's key; a 128-bit digest names the key
 ``counts``   (shard, k1, k2, n_docs, keeper), the exact number of documents and the largest id among them
 ``filters``  (shard, keys, cells), a cuckoo filter of the keys that ``min_docs`` or more documents hold
+``versions`` (version, shards), a row for every version that is complete
 
 Inserting or deleting documents changes references and counts; only keys whose count crosses ``min_docs`` go into or
 out of their shard's filter, which a cuckoo filter allows and a Bloom filter does not. Cleaning asks the filters
@@ -18,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stallwatch.llm.common import per_row, spare, text_bytes
+from stallwatch.llm.common import per_row, removed, spare, text_bytes
 from stallwatch.plans.skew import lookup
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 REF_DDL = "k1 bigint, k2 bigint, doc_id bigint"
 COUNT_DDL = "shard int, k1 bigint, k2 bigint, n_docs bigint, keeper bigint"
+VERSION_DDL = "version bigint, shards int"
 FILTER_DDL = "shard int, keys bigint, cells binary"
 KEYS = ["k1", "k2"]
 
@@ -166,12 +169,26 @@ class LineIndex:
     """The index in ``folder``, which must be shared and writable by all executors.
 
     Each batch writes the next version: the narrow reference and count tables anew, and the filters by their changes. Texts
-    of earlier batches are not read again.
+    of earlier batches are not read again. A version counts once its row in ``versions`` is there, which is written last, so what
+    a stopped batch left behind is overwritten by the next. Opening a folder takes up its newest version, and every change starts
+    from it, whoever wrote it; changes must come one after the other. The version before the newest stays for its readers, older
+    ones are deleted.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 16):
         self.spark, self.folder, self.version, self.shards = spark, folder.rstrip("/"), 0, 1
         self.min_chars, self.min_docs, self.shard_keys = min_chars, min_docs, shard_keys
+        self._newest()
+
+    def _newest(self) -> None:
+        try:
+            known = self.spark.read.schema(VERSION_DDL).parquet(f"{self.folder}/versions").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        if known:
+            self.version, self.shards = known["version"], known["shards"]
 
     def _read(self, name: str, ddl: str) -> DataFrame:
         if not self.version:
@@ -194,11 +211,13 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> None:
         """Add documents. A document already known adds only keys it did not have: references are a set."""
+        self._newest()
         new = references(docs, id=id, text=text, min_chars=self.min_chars)
         self._next((self.refs().unionByName(new) if self.version else new).distinct())
 
     def delete(self, ids: DataFrame, *, id: str = "doc_id") -> None:
         """Take documents out by id: counts, keepers and filters become what they were without them."""
+        self._newest()
         gone = ids.select(F.col(f"`{id}`").cast("long").alias("doc_id")).distinct()
         self._next(self.refs().join(gone, "doc_id", "left_anti"))
 
@@ -222,6 +241,9 @@ class LineIndex:
             rebuilt = often.join(changed.filter(F.col("cells").isNull()).select("shard"), "shard", "left_semi").groupBy("shard").applyInArrow(_build, FILTER_DDL)
             self._write("filters", changed.filter(F.col("cells").isNotNull()).unionByName(rebuilt))
         self.version, self.shards = self.version + 1, shards
+        self.spark.range(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(shards).alias("shards")).coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+        if self.version > 2:
+            removed(self.spark, f"{self.folder}/v{self.version - 2}")
 
     @staticmethod
     def _shard(shards: int) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -107,21 +107,21 @@ def fit_voters(
 ) -> Voters:
     """Voters from at most ``most_labels`` documents labelled 0 or 1, those with the smallest hash of their id.
 
-    That bound holds for what reaches the driver and what is sent to tasks. ``learn_from`` is a condition on the label
+    That bound holds for what reaches the driver and what is sent to tasks: of rows that share an id one text (the smallest) is learned
+    from. Inverse document frequencies are part of this bounded fit and come from the same sample. ``learn_from`` is a condition on the label
     table (default: the CRC of the id's text is not divisible by 5). Null ids and labels are left out; without labels
     every score is 0.5.
     """
     allowed = learn_from if learn_from is not None else ~held_out(id)
     known = labels.filter(allowed).select(F.col(f"`{id}`").cast("long").alias("label_id"), F.col(f"`{label}`").alias("good")).filter("label_id IS NOT NULL AND good IN (0, 1)")
     chosen = stored(known.groupBy("label_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("label_id"), "label_id").limit(most_labels), "voters")
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("label_id"), text_bytes(text).alias("body")).join(F.broadcast(chosen), "label_id")
-    schema = pa.schema([("label_id", pa.int64()), ("good", pa.int32()), ("counts", pa.binary())])
+    named = docs.select(F.col(f"`{id}`").cast("long").alias("label_id"), text_bytes(text).alias("body")).join(F.broadcast(chosen), "label_id")
+    rows = named.groupBy("label_id").agg(F.min("good").alias("good"), F.min("body").alias("body"))  # one text per id, chosen before the shuffle
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                counts = term_counts(row["body"]).astype(np.float16).tobytes()
-                yield pa.RecordBatch.from_pylist([{"label_id": row["label_id"], "good": row["good"], "counts": counts}], schema)
+            counts = pa.array([term_counts(body.as_py()).astype(np.float16).tobytes() for body in batch.column("body")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("good"), counts], ["label_id", "good", "counts"])
 
     found = rows.mapInArrow(count, "label_id bigint, good int, counts binary").collect()  # bounded by most_labels, 8 kB each
     found.sort(key=lambda r: (r["label_id"], r["counts"]))
@@ -146,14 +146,16 @@ def with_scores(docs: DataFrame, voters: Voters, *, text: str = "text", rows: in
     score, body = spare("score", docs.columns), spare("body", docs.columns)
     given = [c for c in docs.columns if c != text]
     frame = docs.select(*[F.col(f"`{c}`") for c in given], text_bytes(text).alias(body))
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    # Plain arrays: a worker has no copy of this package, and only the function below carries its code along.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(voters, f.name) for f in fields(Voters)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = Voters(*shared.value)
         for batch in batches:
             made = []
             for at in range(0, batch.num_rows, rows):
                 part = batch.column(batch.num_columns - 1).slice(at, rows)
-                made.append(shared.value.scores(np.stack([term_counts(v.as_py()) for v in part])))
+                made.append(voters.scores(np.stack([term_counts(v.as_py()) for v in part])))
             scores = pa.array(np.concatenate(made) if made else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], score])
 

@@ -37,13 +37,14 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     front; ``statistic_names`` tells them.
     """
     name = statistic_names(docs.columns)
-    t, ws, hs, ss = (spare(n, [*docs.columns, *name.values()]) for n in ("t__", "words__", "hashes__", "sorted__"))
+    t, ws, os, hs, ss = (spare(n, [*docs.columns, *name.values()]) for n in ("t__", "words__", "ones__", "hashes__", "sorted__"))
+    ones = F.col(os)
     given = [F.col(f"`{c}`") for c in docs.columns]
     body = docs.select(*given, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
     cut = body.select("*", words_of(F.col(t)).alias(ws))
     words, n = F.col(ws), F.size(ws)
-    window = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    hashed = cut.select("*", F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias(hs))
+    window = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(ones, i + k) for k in range(WINDOW)]))
+    hashed = cut.select("*", F.transform(words, lambda w: F.xxhash64(w)).alias(os)).select("*", F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias(hs))
     # only texts in which some window repeats are sorted
     some = F.size(F.array_distinct(hs)) < F.size(hs)
     pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -130,8 +131,8 @@ def learn_decision_list(
 
     ``labelled`` has the features, ``bad`` (1: to be rejected, 0: to be kept) and ``prune`` (true: held back for pruning). Bounds are
     quantiles of both classes. Each step counts rows per (feature, interval), so what reaches the driver is bounded by features
-    times cuts. A rule is accepted if it rejects at least ``least_rows`` rows of all, and ``precision`` of them, on either part, are bad.
-    No rows, or rows of one class, give an empty list.
+    times cuts. A rule is accepted if it rejects at least ``least_rows`` rows of all, and ``precision`` of them, on either part, are bad;
+    the rows of a refused one are set aside, and the covering goes on without them. No rows, or rows of one class, give an empty list.
     """
     names = {f: f for f in features}
     bounds: dict[str, list[float]] = {f: [] for f in features}
@@ -149,8 +150,9 @@ def learn_decision_list(
         return int(found["p"] or 0), int(found["n"] or 0)
 
     rules: list[tuple[Condition, ...]] = []
-    while len(rules) < most_rules:
-        rest = cells.filter(~F.coalesce(DecisionList(tuple(rules)).rejected_by(names) > 0, F.lit(False)))
+    refused: list[tuple[Condition, ...]] = []
+    while len(rules) < most_rules and len(refused) < most_rules:
+        rest = cells.filter(~F.coalesce(DecisionList((*rules, *refused)).rejected_by(names) > 0, F.lit(False)))
         grow = rest.filter(~F.col("prune"))
         rule: tuple[Condition, ...] = ()
         p0, n0 = counts(grow)
@@ -185,9 +187,7 @@ def learn_decision_list(
         for part in (grow, rest.filter("prune")):
             p, n = counts(part.filter(_all(rule, names)))
             ok, total = ok and p >= precision * (p + n), total + p
-        if not ok or total < least_rows:
-            break
-        rules.append(rule)
+        (rules if ok and total >= least_rows else refused).append(rule)
     return DecisionList(tuple(rules))
 
 
@@ -196,17 +196,27 @@ def _place(value: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", most_labels: int = 20_000, **settings) -> DecisionList:
+def fit_rules(
+    docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", most_labels: int = 20_000,
+    least_words: int = 20, most_repeats: int = 30, **settings,
+) -> DecisionList:
     """A decision list from documents whose ``label`` is 0 (bad) or 1 (good), held-out ones aside.
 
     At most ``most_labels`` labelled rows are used, those with the smallest hash of their id. That bound is also the size bound of
-    the ids sent to all tasks, so only labelled texts get their statistics here. Null ids and labels are left out.
+    the ids sent to all tasks, so only labelled texts get their statistics here; of rows that share an id one text (the smallest) is
+    learned from. Documents that fail the base rules (see :func:`judge`) need no learned one and are left out, like null ids and labels.
     """
     known = labels.select(F.col(f"`{id}`").cast("long").alias("label_id"), F.col(f"`{label}`").alias("good")).filter("label_id IS NOT NULL AND good IN (0, 1)").filter(~held_out("label_id"))
     chosen = stored(known.groupBy("label_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("label_id"), "label_id").limit(most_labels), "rule-labels")
-    texts = docs.select(F.col(f"`{id}`").cast("long").alias("label_id"), F.col(f"`{text}`").alias("body")).join(F.broadcast(chosen), "label_id")
-    rows = text_statistics(texts, text="body").withColumns({"bad": 1 - F.col("good"), "prune": F.pmod(F.xxhash64(F.lit("prune"), "label_id"), F.lit(3)) == 0})
-    return learn_decision_list(rows.select(*FEATURES, "bad", "prune"), **settings)
+    named = docs.select(F.col(f"`{id}`").cast("long").alias("label_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")).join(F.broadcast(chosen), "label_id")
+    texts = named.groupBy("label_id").agg(F.min("good").alias("good"), F.min("body").alias("body"))
+    rows = text_statistics(texts, text="body").filter(~_fails(F.col("n_words"), F.col("n_repeat_words"), least_words, most_repeats))
+    rows = rows.withColumns({"bad": 1 - F.col("good"), "prune": F.pmod(F.xxhash64(F.lit("prune"), "label_id"), F.lit(3)) == 0})
+    return learn_decision_list(stored(rows.select(*FEATURES, "bad", "prune"), "rule-rows"), **settings)
+
+
+def _fails(words: Column, repeats: Column, least_words: int, most_repeats: int) -> Column:
+    return (words < least_words) | (100 * repeats > most_repeats * words)
 
 
 def judge(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_words: int = 20, most_repeats: int = 30) -> DataFrame:
@@ -220,7 +230,7 @@ def judge(docs: DataFrame, rules: DecisionList, *, text: str = "text", least_wor
     failed, kept, rule = (spare(n, docs.columns) for n in ("base_failed", "kept", "rule"))
     rows = text_statistics(docs, text=text)
     words, repeats = F.col(f"`{name['n_words']}`"), F.col(f"`{name['n_repeat_words']}`")
-    found = rows.withColumns({failed: (words < least_words) | (100 * repeats > most_repeats * words), rule: rules.rejected_by(name)})
+    found = rows.withColumns({failed: _fails(words, repeats, least_words, most_repeats), rule: rules.rejected_by(name)})
     return found.withColumn(kept, ~F.col(f"`{failed}`") & F.col(f"`{rule}`").isNull())
 
 

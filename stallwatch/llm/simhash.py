@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stallwatch.llm.common import per_row, spare, stored, text_bytes
 from stallwatch.operators.graph import star_forest
 from stallwatch.plans.skew import lookup
+from stallwatch.session import shuffle_width
 
 CHUNK = 1 << 16
 
@@ -71,12 +72,20 @@ def ball_links(fps: DataFrame, fp: str = "fp", *, radius: int = 2) -> DataFrame:
     """
     if radius not in (2, 4):
         raise ValueError("the radius is 2 or 4: half of it is how many bits each variant may flip")
-    known = fps.select(F.col(f"`{fp}`").alias("u")).filter(F.col("u").isNotNull()).distinct()
+    # dealt out anew: distinct fingerprints gather in few partitions, and each becomes many rows
+    known = fps.select(F.col(f"`{fp}`").alias("u")).filter(F.col("u").isNotNull()).distinct().repartition(shuffle_width(fps.sparkSession))
     sent = known.select("u", _variants(F.col("u"), radius // 2).alias("variant"))
     meeting = sent.withColumn("v", F.min("u").over(Window.partitionBy("variant"))).filter(F.col("u") != F.col("v"))
     return meeting.select("u", "v").distinct().filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root): each distinct fingerprint, its smallest id, and the fingerprint that stands for its component."""
+    least = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = star_forest(ball_links(rows, radius=radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return stored(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
@@ -85,9 +94,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     rows that share an id each get a row, and are not linked by it; an empty table gives no rows; other columns are not read.
     """
     rows = stored(fingerprints(docs, id=id, text=text, shingle=shingle), "simhash")
-    least = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = star_forest(ball_links(rows, radius=radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = stored(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    placed = _rooted(rows, radius)
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = lookup(placed.select("fp", "root"), named, ["root"], "inner").select("fp", "component_id")
     return lookup(rows, by_fp, ["fp"], "inner").select(
@@ -96,8 +103,31 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it. Rows with a null id stay."""
-    found = near_duplicates(docs, id=id, text=text, shingle=shingle, radius=radius)
-    mark = spare("gone", docs.columns)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(gone, F.col(f"`{id}`") == F.col(mark), "left_anti")
+    """``docs`` with one row of each component: that of the smallest id (null ids last), of rows that share it the one of smallest digest.
+
+    Rows are told apart by id and a 128-bit digest of the text, so an id that two different texts carry loses neither; of rows alike
+    in both, one stays.
+    """
+    key, none, d1, d2, n = (spare(c, docs.columns) for c in ("kept_id", "kept_none", "kept_d1", "kept_d2", "kept_n"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = F.col(f"`{id}`").cast("long")
+    marks = {key: F.coalesce(own, F.lit(0).cast("long")), none: own.isNull(), d1: F.xxhash64(whole), d2: F.xxhash64(F.lit("second"), whole)}
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+
+    def one(row: dict) -> Iterator[dict]:
+        fp = fingerprint(row["body"], shingle)
+        yield {"id": row["id"], "fp": fp - (1 << 64) if fp >> 63 else fp, "d1": row["d1"], "d2": row["d2"]}
+
+    bodies = docs.select(own.alias("id"), text_bytes(text).alias("body"), marks[d1].alias("d1"), marks[d2].alias("d2"))
+    rows = stored(bodies.mapInArrow(per_row(one, schema), "id bigint, fp bigint, d1 bigint, d2 bigint"), "simhash")
+    placed = _rooted(rows, radius)
+    # copies are counted before anything meets: a row per id and text, then the first of each component
+    alike = rows.groupBy("fp", "id", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    rooted = lookup(alike, placed.select("fp", "root"), ["fp"], "inner")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d1", "d2", "n")).alias("keep")).select("keep.*")
+    kept = first.select(F.coalesce("id", F.lit(0).cast("long")).alias(key), F.col("none").alias(none), F.col("d1").alias(d1), F.col("d2").alias(d2), F.col("n").alias(n))
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = lookup(docs.withColumns(marks), kept, [key, none, d1, d2], "inner")
+    once = chosen.filter(F.col(n) == 1).select(*given)
+    again = chosen.filter(F.col(n) > 1).dropDuplicates([key, none, d1, d2]).select(*given)
+    return once.unionByName(again)

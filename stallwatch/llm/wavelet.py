@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwatch.llm.common import per_row, spare, text_bytes
+from stallwatch.llm.common import per_row, text_bytes
 from stallwatch.llm.tokens import encoder
 from stallwatch.session import shuffle_width
 
@@ -156,49 +156,47 @@ class WaveletMatrix:
         return now
 
 
-def _tokenised(path: str, end_id: int):
-    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+def _tokenised(path: str, end_id: int, rows: int = 512):
     tail = int(end_id).to_bytes(4, "little")
-    press: list = []
 
-    def one(row: dict) -> Iterator[dict]:
-        if not press:
-            press.append(zstandard.ZstdCompressor(level=1))
-        ids = encoder(path).ids(row["body"]) + tail
-        # ids below 65,536 travel in two bytes, compressed; wider ones in four
-        wide = np.frombuffer(ids, "<u4")
-        small = wide.astype("<u2") if not len(wide) or wide.max() < 1 << 16 else wide
-        yield {"part": row["part"], "id": row["id"], "n": len(wide), "ids": bytes([small.itemsize]) + press[0].compress(small.tobytes())}
-
-    return per_row(one, schema, rows=512)
+    def packed(body: bytes) -> bytes:
+        """Ids below 65,536 travel in two bytes, wider ones in four; the first byte says which."""
+        wide = np.frombuffer(encoder(path).ids(body) + tail, "<u4")
+        return b"\2" + wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else b"\4" + wide.tobytes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                made = [packed(body) for body in batch.column("body").to_pylist()]
+                lengths = pa.array([(len(m) - 1) // m[0] for m in made], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "id", "tie")), lengths, pa.array(made, pa.binary())], ["part", "id", "tie", "n", "ids"])
 
-def unpacked(ids: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids[1:]), f"<u{ids[0]}").astype("<u4", copy=False)
+    return run
 
 
 def _shards(shard_tokens: int):
     """Sorted documents to shards: one closes once it holds ``shard_tokens`` ids, and at the end of a part."""
 
-    def close(part: int, shard: int, docs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        ids = np.concatenate([d[1] for d in docs])
-        depth = max(1, int(ids.max()).bit_length())
-        made = WaveletMatrix.build(ids.astype(np.uint16) if depth <= 16 else ids, depth).to_bytes()
-        row = {"part": part, "shard": shard, "n_docs": len(docs), "n_tokens": len(ids), "doc_ids": [d[0] for d in docs], "doc_tokens": [len(d[1]) for d in docs], "file": made}
+    def close(part: int, shard: int, ids: list[np.ndarray], docs: list[int | None]) -> pa.RecordBatch:
+        values = np.concatenate(ids)
+        depth = max(1, int(values.max()).bit_length())
+        made = WaveletMatrix.build(values.astype(np.uint16) if depth <= 16 else values.astype(np.uint32), depth).to_bytes()
+        row = {"part": part, "shard": shard, "n_docs": len(docs), "n_tokens": len(values), "doc_ids": docs, "doc_tokens": list(map(len, ids)), "file": made}
         return pa.RecordBatch.from_pylist([row], SHARD_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held, part, shard = [], 0, None, 0
+        ids, docs, held, now, shard = [], [], 0, None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if docs and (row["part"] != part or held >= shard_tokens):
-                    yield close(part, shard, docs)
-                    docs, held, shard = [], 0, shard + 1 if row["part"] == part else 0
-                ids = unpacked(row["ids"])
-                docs.append((row["id"], ids))
-                held, part = held + len(ids), row["part"]
+            for part, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "ids"))):
+                if docs and (part != now or held >= shard_tokens):
+                    yield close(now, shard, ids, docs)
+                    ids, docs, held, shard = [], [], 0, shard + 1 if part == now else 0
+                ids.append(np.frombuffer(packed, f"<u{packed[0]}", offset=1))
+                docs.append(doc)
+                held, now = held + len(ids[-1]), part
         if docs:
-            yield close(part, shard, docs)
+            yield close(now, shard, ids, docs)
 
     return run
 
@@ -207,20 +205,27 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id: str = "doc
     """Tokenise ``text``, append ``end_id`` to each document and write wavelet-matrix shards in ascending ``id`` order.
 
     Documents are ranged by quantiles of their id into as many parts as there are shuffle partitions; a task streams its
-    sorted part into shards of about ``shard_tokens`` ids, so memory holds one shard. Every row of the Parquet table is one
-    shard: its place (part, shard), its documents and the compressed ``file``. Shards keep documents whole.
-    A null text is an empty one (its only id is ``end_id``); null ids come first; rows that share an id are ordered by
-    their length and ids; an empty table gives an empty folder table; other columns are not read.
+    sorted part into shards of about ``shard_tokens`` ids, so memory holds one shard. Rows that share an id, or have none, are ordered
+    by a hash of their text, and an id that fills several parts is spread over them by that hash. Every row of the Parquet table
+    is one shard: its place (part, shard), its documents and the compressed ``file``. Shards keep documents whole.
+    A null text is an empty one (its only id is ``end_id``); null ids come first; an empty table gives an empty folder table; other
+    columns are not read.
     """
     parts = shuffle_width(docs.sparkSession)
-    key = spare("key", docs.columns)
-    known = docs.select(F.col(f"`{id}`").cast("double").alias(key)).filter(F.col(key).isNotNull())
-    bounds = sorted(set(known.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
-    # a document's part is the number of bounds not above its id; null ids stay in the first
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(f"`{id}`").cast("double"))) if bounds else F.lit(0)
-    rows = docs.select(F.when(F.col(f"`{id}`").isNull(), 0).otherwise(part).cast("int").alias("part"), F.col(f"`{id}`").cast("long").alias("id"), text_bytes(text).alias("body"))
-    tokenised = rows.mapInArrow(_tokenised(tokenizer, end_id), "part int, id bigint, n bigint, ids binary")
-    ordered = tokenised.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", "ids")
+    own, body = F.col(f"`{id}`").cast("long"), text_bytes(text)
+    ids = docs.select(own.alias("id"))
+    seen = ids.agg(F.count("id").alias("known"), F.count(F.lit(1)).alias("rows")).first()
+    blank = max(1, parts * (seen["rows"] - seen["known"]) // max(1, seen["rows"]))
+    points = ids.select(F.col("id").cast("double").alias("key")).filter("key IS NOT NULL").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    # A bound met m times over is one id that fills about m parts: its rows go to those by their hash.
+    bounds = F.array(*[F.lit(int(b)).cast("long") for b in sorted(points)]) if points else F.array().cast("array<bigint>")
+    unit = F.shiftrightunsigned("tie", 11) / F.lit(float(1 << 53))
+    below, equal = F.size(F.filter(bounds, lambda b: b < F.col("id"))), F.size(F.filter(bounds, lambda b: b == F.col("id")))
+    known = F.lit(blank) + below + F.when(equal > 0, 1 + F.floor(unit * equal)).otherwise(0)
+    part = F.when(F.col("id").isNull(), F.floor(unit * blank)).otherwise(known).cast("int").alias("part")
+    rows = docs.select(own.alias("id"), body.alias("body")).withColumn("tie", F.xxhash64("body")).select(part, "id", "tie", "body")
+    tokenised = rows.mapInArrow(_tokenised(tokenizer, end_id), "part int, id bigint, tie bigint, n bigint, ids binary")
+    ordered = tokenised.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "n", "ids")
     ordered.mapInArrow(_shards(shard_tokens), SHARD_DDL).write.option("compression", "none").parquet(folder)
 
 
@@ -241,17 +246,21 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def documents_of(shards: DataFrame, *, ids: bool = True) -> DataFrame:
     """One row per document: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (4-byte little-endian)."""
-    fields = [("part", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.binary())] * ids)
-
-    def one(row: dict) -> Iterator[dict]:
-        values, at = WaveletMatrix.from_bytes(row["file"]).values().astype("<u4"), 0
-        for doc, n in zip(row["doc_ids"], row["doc_tokens"]):
-            data = values[at : at + n].tobytes()
-            yield {"part": row["part"], "shard": row["shard"], "doc_id": doc, "at": at, "n_tokens": n, "ids_crc32": zlib.crc32(data)} | ({"ids": data} if ids else {})
-            at += n
-
-    read = shards.mapInArrow(per_row(one, schema), "part int, shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.array(row["doc_tokens"], np.int64)
+                ends = np.cumsum(lengths)
+                data = memoryview(WaveletMatrix.from_bytes(row["file"]).values().astype("<u4").tobytes())
+                cut = [data[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+                n = len(cut)
+                columns = [
+                    pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int64)), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths),
+                    pa.array(list(map(zlib.crc32, cut)), pa.int64()), *[pa.array(list(map(bytes, cut)), pa.binary())] * ids,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32", *["ids"] * ids])
+
+    read = shards.mapInArrow(run, "part int, shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids)
     placed = read.join(shard_starts(shards), ["part", "shard"])
     return placed.select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stallwatch.llm import lines, simhash, units
 from tests.llm.helpers import DOCS, empty_docs, odd_docs, odd_rows, sentence
@@ -150,7 +151,33 @@ def test_near_duplicates_of_odd_rows(spark, clash):
     named = {k: min((d for (d, _), r in zip(rows, root) if r == k and d is not None), default=None) for k in set(root)}
     assert got == sorted((str(d), f"{f:016x}", named[r]) for (d, f), r in zip(rows, root))
     kept = simhash.keep_first(odd_docs(spark, clash))
-    assert {r.doc_id for r in kept.collect()} == {None} | {v for v in named.values() if v is not None}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, named.values()))
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    from tests.llm.helpers import sentence
+
+    a, b, c = sentence(1, 40), sentence(2, 40), sentence(3, 40)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, b), (None, None), (4, a + " "), (None, sentence(5, 30)), (None, sentence(6, 30))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept_n", F.lit(1))).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([(1, a), (2, b), (3, c), (None, None), (None, sentence(5, 30)), (None, sentence(6, 30))])
+
+
+def test_line_index_lives_on_between_sessions(spark, tmp_path):
+    folder, line = str(tmp_path / "index"), "a line of more than forty characters, said again and again"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(8)], "doc_id bigint, text string")
+    lines.LineIndex(spark, folder, min_docs=3).insert(docs.filter("doc_id < 2"))
+    again = lines.LineIndex(spark, folder, min_docs=3)
+    assert again.version == 1 and again.counts().first().n_docs == 2
+    again.insert(docs.filter("doc_id >= 2"))
+    (tmp_path / "index" / "v3").mkdir()  # what a stopped batch leaves
+    third = lines.LineIndex(spark, folder, min_docs=3)
+    third.delete(docs.filter("doc_id = 7"))
+    assert third.version == 3 and third.counts().first().asDict() | {"shard": 0} == third.counts().first().asDict() and third.counts().first().n_docs == 7
+    kept = {r.doc_id: r.text for r in lines.LineIndex(spark, folder, min_docs=3).clean(docs.filter("doc_id < 7")).collect()}
+    assert kept == {i: f"own {i}" for i in range(6)} | {6: f"{line}\nown 6"}
+    again.insert(docs.filter("doc_id = 7"))  # an older handle goes on from the newest version
+    assert again.version == 4 and again.counts().first().n_docs == 8 and not (tmp_path / "index" / "v2").exists()
 
 
 def brute_units(rows, **settings):
