@@ -30,6 +30,10 @@ def _ks_sql(feature):
  FROM (SELECT v, sum(a) AS rr, sum(1 - a) AS cc FROM (SELECT {feature} AS v, 1 AS a FROM r UNION ALL SELECT {feature}, 0 FROM c) GROUP BY 1))"""
 
 
+_KS_X = "ks * sqrt((SELECT count(*) FROM r) * (SELECT count(*) FROM c) / ((SELECT count(*) FROM r) + (SELECT count(*) FROM c))::DOUBLE)"
+_KS_P = f"CASE WHEN {_KS_X} < 0.2 THEN 1.0 ELSE greatest(0, least(1, 2 * (SELECT sum(pow(-1, k - 1) * exp(-2.0 * k * k * pow({_KS_X}, 2))) FROM range(1, 101) t(k)))) END"
+
+
 def _jsd_sql(feature):
     hist = "(SELECT least(9, floor((v - lo) / (hi - lo) * 10))::INT AS b, count(*) AS n FROM (SELECT {f} AS v FROM {t}), s GROUP BY 1)"
     return f"""SELECT '{feature}' AS feature, (SELECT 0.5 * sum(p * ln(p / ((p + q) / 2))) + 0.5 * sum(q * ln(q / ((p + q) / 2))) FROM (
@@ -47,9 +51,10 @@ def population_stability(spark, d):
     return rounded(D.psi(*_sides(spark, d), FEATURES), ["psi"], 5)
 
 
-@query(f"WITH {_SIDES} SELECT feature, (SELECT count(*) FROM r) AS n_ref, (SELECT count(*) FROM c) AS n_cur, round(ks, 6) AS ks_stat FROM ({_all(_ks_sql)})")
+@query(f"WITH {_SIDES} SELECT feature, (SELECT count(*) FROM r) AS n_ref, (SELECT count(*) FROM c) AS n_cur, round(ks, 6) AS ks_stat, round({_KS_P}, 4) AS ks_p FROM ({_all(_ks_sql)})")
 def kolmogorov_smirnov(spark, d):
-    return rounded(D.ks(*_sides(spark, d), FEATURES).select("feature", "n_ref", "n_cur", "ks_stat"), ["ks_stat"])
+    found = D.ks(*_sides(spark, d), FEATURES).select("feature", "n_ref", "n_cur", "ks_stat", "ks_p")
+    return rounded(rounded(found, ["ks_stat"]), ["ks_p"], 4)
 
 
 @query(f"WITH {_SIDES} SELECT feature, round(jsd, 6) AS jsd FROM ({_all(_jsd_sql)})")
@@ -58,12 +63,12 @@ def jensen_shannon(spark, d):
 
 
 @query(f"""WITH {_SIDES}, p AS ({_all(_psi_sql)}), k AS ({_all(_ks_sql)}), j AS ({_all(_jsd_sql)})
-SELECT feature, CASE WHEN feature = 'l_extendedprice' THEN 'prediction' ELSE 'feature' END AS role, round(psi, 5) AS psi, round(ks, 6) AS ks_stat, round(jsd, 6) AS jsd,
+SELECT feature, CASE WHEN feature = 'l_extendedprice' THEN 'prediction' ELSE 'feature' END AS role, round(psi, 5) AS psi, round(ks, 6) AS ks_stat, round({_KS_P}, 4) AS ks_p, round(jsd, 6) AS jsd,
  CASE WHEN feature = 'l_extendedprice' THEN CAST(psi > 0.2 AS INT) + CAST(ks > 1.3581 * sqrt(1.0 / (SELECT count(*) FROM r) + 1.0 / (SELECT count(*) FROM c)) AS INT) + CAST(jsd > 0.1 AS INT) >= 2 ELSE psi > 0.25 END AS drifted
 FROM p JOIN k USING (feature) JOIN j USING (feature)""")
 def drift_report(spark, d):
-    out = D.drift_report(*_sides(spark, d), "l_extendedprice", FEATURES[1:]).drop("ks_p")
-    return rounded(rounded(out, ["psi"], 5), ["ks_stat", "jsd"])
+    out = D.drift_report(*_sides(spark, d), "l_extendedprice", FEATURES[1:])
+    return rounded(rounded(rounded(out, ["psi"], 5), ["ks_stat", "jsd"]), ["ks_p"], 4)
 
 
 @query(f"""WITH {_SIDES}, p AS ({_all(_psi_sql)}), k AS ({_ks_sql('l_extendedprice')}), j AS ({_jsd_sql('l_extendedprice')}),
@@ -98,8 +103,9 @@ def score_bands(spark, d):
     return D.band_distribution(predictions(spark, d), "score")
 
 
-@query("""
-WITH o AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+def _rolling_sql(events):
+    return f"""
+WITH o AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ({events})),
 r AS (SELECT event_type, v FROM o WHERE i <= 100 AND n >= 100), s AS (SELECT event_type, min(v) AS lo, max(v) AS hi FROM r GROUP BY 1),
 k AS (SELECT DISTINCT o.event_type, CAST(j.j AS INT) AS check_at FROM o, range(100, 10000000, 10) j(j) WHERE j.j <= o.n AND o.i = 1),
 cur AS (SELECT k.event_type, k.check_at, o.v FROM k JOIN o ON o.event_type = k.event_type AND o.i <= k.check_at AND o.i > k.check_at - 50),
@@ -108,13 +114,24 @@ cb AS (SELECT event_type, check_at, greatest(0, least(9, floor((v - lo) / (hi -
 g AS (SELECT k.event_type, k.check_at, (coalesce(rb.n, 0) + 1e-6) / (100 + 1e-5) AS rp, (coalesce(cb.n, 0) + 1e-6) / (50 + 1e-5) AS cp
  FROM k CROSS JOIN range(10) x(b) LEFT JOIN rb ON rb.event_type = k.event_type AND rb.b = x.b LEFT JOIN cb ON cb.event_type = k.event_type AND cb.check_at = k.check_at AND cb.b = x.b)
 SELECT event_type, check_at, round(sum((cp - rp) * ln(cp / rp)), 5) AS psi,
- CASE WHEN sum((cp - rp) * ln(cp / rp)) < 0.1 THEN 'STABLE' WHEN sum((cp - rp) * ln(cp / rp)) < 0.25 THEN 'MODERATE SHIFT' ELSE 'SIGNIFICANT DRIFT' END AS label FROM g GROUP BY 1, 2""")
+ CASE WHEN sum((cp - rp) * ln(cp / rp)) < 0.1 THEN 'STABLE' WHEN sum((cp - rp) * ln(cp / rp)) < 0.25 THEN 'MODERATE SHIFT' ELSE 'SIGNIFICANT DRIFT' END AS label FROM g GROUP BY 1, 2"""
+
+
+@query(_rolling_sql("SELECT * FROM events"))
 def rolling_drift(spark, d):
     e = table(spark, d, "events")
     out = D.rolling_drift(e, series="event_type", order=micros("ts"), tie="event_id", score="value")
     return rounded(out.select("event_type", "check_at", "psi", "label"), ["psi"], 5)
 
 
+@query(_rolling_sql("SELECT * FROM events WHERE event_id % 6 <> 0"))
+def rolling_drift_with_gaps(spark, d):
+    """Events without a score are no predictions: the checks are those of the others alone."""
+    e = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 6 != 0, F.col("value")))
+    out = D.rolling_drift(e, series="event_type", order=micros("ts"), tie="event_id", score="value")
+    return rounded(out.select("event_type", "check_at", "psi", "label"), ["psi"], 5)
+
+
 def _changes(spark, d):
     e = lifecycle(spark, d).select("event_type", "ts", "event_id", (F.col("value") > 60).cast("double").alias("wrong"))
     shifted = e.withColumn("wrong", F.when(F.col("ts") > F.lit("2024-01-16").cast("timestamp_ntz"), 1.0).otherwise(F.col("wrong")))

@@ -51,20 +51,40 @@ def importance_ranks(spark, d):
     return rounded(W.importance_ranks(imp), ["importance"], 4)
 
 
-@query(f"""
-WITH e AS ({LIFECYCLE_SQL}), p AS (SELECT k, user_id, min(ts) AS seen, min(flag_ts) AS flag FROM e WHERE k IS NOT NULL GROUP BY 1, 2),
+def _history_sql(events):
+    return f"""
+WITH e AS ({events}), p AS (SELECT k, user_id, min(ts) AS seen, min(flag_ts) AS flag FROM e WHERE k IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT *, CASE WHEN flag IS NOT NULL THEN greatest(seen, flag) END AS known FROM p), starts AS (SELECT k, min(seen) AS start FROM p GROUP BY 1)
 SELECT e.event_id, e.user_id, count(*) FILTER (g.seen < e.ts AND g.user_id <> e.user_id) AS prior_entities,
  count(*) FILTER (g.known < e.ts AND g.user_id <> e.user_id) AS prior_flagged,
  round(count(*) FILTER (g.known < e.ts AND g.user_id <> e.user_id) / nullif(count(*) FILTER (g.seen < e.ts AND g.user_id <> e.user_id), 0), 6) AS prior_flagged_rate,
  round((epoch_us(e.ts) - epoch_us(any_value(start))) / 8.64e10, 6) AS days_since_first_seen
-FROM e JOIN g ON e.k = g.k JOIN starts s ON e.k = s.k GROUP BY e.event_id, e.user_id, e.ts""")
+FROM e JOIN g ON e.k = g.k JOIN starts s ON e.k = s.k GROUP BY e.event_id, e.user_id, e.ts"""
+
+
+@query(_history_sql(LIFECYCLE_SQL))
 def identity_history(spark, d):
     e = lifecycle(spark, d).select("event_id", "user_id", "ts", "k", "flag_ts")
     out = W.identity_history(e, identity="k", entity="user_id", time="ts", flag="flag_ts")
     return rounded(out.drop("ts", "k", "flag_ts"), ["prior_flagged_rate", "days_since_first_seen"])
 
 
+@query(_history_sql(f"SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN ts END AS ts) FROM ({LIFECYCLE_SQL})"))
+def identity_history_with_gaps(spark, d):
+    """Events without a time have no past and belong to nobody's; each keeps its row."""
+    e = lifecycle(spark, d).select("event_id", "user_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"), "k", "flag_ts")
+    out = W.identity_history(e, identity="k", entity="user_id", time="ts", flag="flag_ts")
+    return rounded(out.drop("ts", "k", "flag_ts"), ["prior_flagged_rate", "days_since_first_seen"])
+
+
+@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey IS NOT NULL THEN max(o_totalprice) FILTER (o_orderkey IS NOT NULL) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) END AS best_so_far
+FROM (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS o_orderstatus FROM orders)""")
+def running_best_with_gaps(spark, d):
+    """Rows without a place in the order keep their row and get no best; a null group is a group."""
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"))
+    return W.running_best(o, "o_orderkey", "o_totalprice", ["o_orderstatus"]).drop("o_orderstatus")
+
+
 @query(f"""
 WITH p AS ({PREDICTIONS_SQL}), t AS (SELECT count(*) AS n, sum(label) AS pos FROM p), o AS (SELECT label, row_number() OVER (ORDER BY score DESC, row_id) AS rn FROM p)
 SELECT CAST(v.k AS INT) AS k, round(sum(label) FILTER (rn <= v.k) / v.k, 6) AS precision, round(sum(label) FILTER (rn <= v.k) / any_value(pos), 6) AS recall,

@@ -152,6 +152,15 @@ def lifecycle_lengths(spark, d):
     return rounded(A.lifecycle_length(listings(spark, d), "o_custkey", "label"), ["mean_events"])
 
 
+@query(f"""
+SELECT label, count(*) AS ids, round(avg(n), 6) AS mean_events, CAST(median(n) AS DOUBLE) AS median_events
+FROM (SELECT o_custkey, count(*) AS n, max(CASE WHEN o_custkey % 3 <> 0 THEN label END) AS label FROM ({LISTINGS_SQL}) GROUP BY 1) GROUP BY 1""")
+def lifecycle_lengths_unlabelled(spark, d):
+    """Ids without a label are a class of their own."""
+    o = listings(spark, d).withColumn("label", F.when(F.col("o_custkey") % 3 != 0, F.col("label")))
+    return rounded(A.lifecycle_length(o, "o_custkey", "label"), ["mean_events"])
+
+
 @query(f"""
 SELECT CASE WHEN h <= 24 THEN '<=24h' WHEN h <= 168 THEN '1-7d' WHEN h <= 672 THEN '1-4w' WHEN h <= 2160 THEN '1-3m' ELSE '3m+' END AS bucket,
  count(*) AS ids, round(avg(h), 6) AS mean_hours, round(max(h), 6) AS max_hours

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from stallwatch.catalog import query
 from stallwatch.catalog.tables import PREDICTIONS_SQL, predictions, rounded
+from stallwatch.operators import aggregates as A
 from stallwatch.operators import metrics as M
+from stallwatch.operators import ranking as K
 
 _P = f"p AS ({PREDICTIONS_SQL})"
 
@@ -134,25 +136,118 @@ def metrics_per_window(spark, d):
     return rounded(M.fold_metrics(predictions(spark, d), "label", "score", "yr"), [*RANKING, "precision", "recall", "f1", "base_rate"])
 
 
+def _student_sql(t, dof):
+    """Two-sided p by the finite sums for whole degrees of freedom."""
+    theta = f"atan({t} / sqrt({dof}))"
+    even = f"sin({theta}) * list_sum(list_transform(range(0, {dof} // 2), lambda j: coalesce(list_aggregate(list_transform(range(1, j + 1), lambda k: (2.0 * k - 1) / (2 * k)), 'product'), 1) * pow(cos({theta}), 2 * j)))"
+    odd = f"2 / pi() * ({theta} + sin({theta}) * coalesce(list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda j: coalesce(list_aggregate(list_transform(range(1, j + 1), lambda k: 2.0 * k / (2 * k + 1)), 'product'), 1) * pow(cos({theta}), 2 * j + 1))), 0))"
+    return f"1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def _normal_sql(z):
+    """Two-sided p by Simpson's rule on 2,000 intervals."""
+    return f"1 - 2 * {z} / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow({z} * i / 2000, 2))))"
+
+
 @query(f"""
 WITH a AS ({_ranking_sql('yr')}), b AS ({_ranking_sql('yr', score='score2')}), x AS (SELECT a.roc_auc - b.roc_auc AS diff FROM a JOIN b ON a.yr = b.yr)
-SELECT round(avg(diff), 5) AS mean_difference, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 2) AS t, count(*) - 1 AS dof FROM x""")
+SELECT round(avg(diff), 5) AS mean_difference, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 2) AS t, count(*) - 1 AS dof,
+ round({_student_sql('abs(avg(diff) / (stddev_samp(diff) / sqrt(count(*))))', '(count(*) - 1)')}, 3) AS p_value FROM x""")
 def paired_t_test(spark, d):
     p = predictions(spark, d)
     a = rounded(M.ranking_metrics(p, "label", "score", ["yr"]), RANKING).select("yr", F.col("roc_auc").alias("a"))
     b = rounded(M.ranking_metrics(p, "label", "score2", ["yr"]), RANKING).select("yr", F.col("roc_auc").alias("b"))
-    test = M.paired_t_test(a.join(b, "yr"), "a", "b").drop("p_value")
-    return rounded(rounded(test, ["mean_difference"], 5), ["t"], 2)
+    test = M.paired_t_test(a.join(b, "yr"), "a", "b")
+    return rounded(rounded(rounded(test, ["mean_difference"], 5), ["t"], 2), ["p_value"], 3)
 
 
-@query(f"""
-WITH {_P}, t AS (SELECT sum(label) AS np, sum(1 - label) AS nq FROM p),
-ga AS (SELECT score AS s, sum(label) AS p, sum(1 - label) AS q FROM p GROUP BY 1), ca AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM ga),
-gb AS (SELECT score2 AS s, sum(label) AS p, sum(1 - label) AS q FROM p GROUP BY 1), cb AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM gb),
+def _delong_sql(rows):
+    return f"""
+WITH {_P}, x AS (SELECT * FROM ({rows}) WHERE score IS NOT NULL AND score2 IS NOT NULL), t AS (SELECT sum(label) AS np, sum(1 - label) AS nq FROM x),
+ga AS (SELECT score AS s, sum(label) AS p, sum(1 - label) AS q FROM x GROUP BY 1), ca AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM ga),
+gb AS (SELECT score2 AS s, sum(label) AS p, sum(1 - label) AS q FROM x GROUP BY 1), cb AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM gb),
 v AS (SELECT label, CASE WHEN label = 1 THEN (nq - ca.fp + ca.q / 2.0) / nq ELSE (ca.tp - ca.p / 2.0) / np END AS va, CASE WHEN label = 1 THEN (nq - cb.fp + cb.q / 2.0) / nq ELSE (cb.tp - cb.p / 2.0) / np END AS vb
- FROM p JOIN ca ON score = ca.s JOIN cb ON score2 = cb.s, t),
-m AS (SELECT avg(va) FILTER (label = 1) AS a, avg(vb) FILTER (label = 1) AS b, var_samp(va - vb) FILTER (label = 1) AS s1, var_samp(va - vb) FILTER (label = 0) AS s0 FROM v)
-SELECT round(a, 6) AS auc_a, round(b, 6) AS auc_b, round((a - b) / sqrt(s1 / np + s0 / nq), 4) AS z FROM m, t""")
+ FROM x JOIN ca ON score = ca.s JOIN cb ON score2 = cb.s, t),
+m AS (SELECT avg(va) FILTER (label = 1) AS a, avg(vb) FILTER (label = 1) AS b, var_samp(va - vb) FILTER (label = 1) AS s1, var_samp(va - vb) FILTER (label = 0) AS s0 FROM v),
+z AS (SELECT a, b, (a - b) / sqrt(s1 / np + s0 / nq) AS z FROM m, t)
+SELECT round(a, 6) AS auc_a, round(b, 6) AS auc_b, round(z, 4) AS z, round(abs({_normal_sql('abs(z)')}), 4) AS p_value FROM z"""
+
+
+def _delong(rows):
+    out = M.auc_difference_test(rows, "label", "score", "score2", "row_id")
+    return rounded(rounded(out, ["auc_a", "auc_b"]), ["z", "p_value"], 4)
+
+
+@query(_delong_sql("SELECT label, score, score2 FROM p"))
 def auc_difference_test(spark, d):
-    out = M.auc_difference_test(predictions(spark, d), "label", "score", "score2", "row_id").drop("p_value")
-    return rounded(rounded(out, ["auc_a", "auc_b"]), ["z"], 4)
+    return _delong(predictions(spark, d))
+
+
+@query(_delong_sql("SELECT label, CASE WHEN yr % 5 <> 0 THEN score END AS score, CASE WHEN l_suppkey % 7 <> 0 THEN score2 END AS score2 FROM p"))
+def auc_difference_with_gaps(spark, d):
+    """Rows that only one of the models scored take no part."""
+    p = predictions(spark, d)
+    return _delong(p.withColumns({"score": F.when(F.col("yr") % 5 != 0, F.col("score")), "score2": F.when(F.col("l_suppkey") % 7 != 0, F.col("score2"))}))
+
+
+_GAP_YEAR = "p AS (SELECT * REPLACE (nullif(yr, 1995) AS yr) FROM (" + PREDICTIONS_SQL + "))"
+
+
+@query(f"""
+WITH w AS ({_ranking_sql('yr').replace(_P, _GAP_YEAR)}), {_GAP_YEAR}, {_table_sql('0.5', 'yr')}
+SELECT w.yr, average_precision, roc_auc, pr_auc_trapezoid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+ tp + fp + fn + tn AS n, round((tp + fn) / (tp + fp + fn + tn), 6) AS base_rate FROM w JOIN m ON w.yr IS NOT DISTINCT FROM m.yr""")
+def metrics_per_window_with_gaps(spark, d):
+    """Rows without a window are a window of their own."""
+    p = predictions(spark, d).withColumn("yr", F.nullif(F.col("yr"), F.lit(1995)))
+    return rounded(M.fold_metrics(p, "label", "score", "yr"), [*RANKING, "precision", "recall", "f1", "base_rate"])
+
+
+def _long(df, report, item, values):
+    cells = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
+    return df.select(F.lit(report).alias("report"), F.col(item).cast("string").alias("item") if item else F.lit("").alias("item"), F.explode(cells).alias("m")).select("report", "item", "m.*")
+
+
+def _reports(p):
+    """Every report that divides by a count, in one long table."""
+    p = p.withColumn("late", (F.col("yr") > 1996).cast("int"))
+    parts = [
+        _long(M.threshold_table(p, "label", "score", [0.3, 0.7]), "thresholds", "threshold", ["tp", "fp", "fn", "tn", "precision", "recall", "flagged_percent"]),
+        _long(M.confusion(p, "label", "score"), "confusion", None, ["accuracy", "catch_rate", "false_alarm_rate"]),
+        _long(M.ranking_metrics(p, "label", "score"), "ranking", None, RANKING),
+        _long(M.precision_at_recall(p, "label", "score", 0.8), "at_recall", None, ["precision"]),
+        _long(M.auc_difference_test(p, "label", "score", "score2", "row_id"), "difference", None, ["auc_a", "auc_b", "z", "p_value"]),
+        _long(K.precision_at_k(p, "label", "score", "row_id", [50]), "top", "k", ["precision", "recall", "lift"]),
+        _long(A.signal_report(p, ["late"], "label"), "signals", "signal", ["n_true", "prevalence", "rate_when_true", "lift"]),
+        _long(A.coverage(p, ["score"]), "coverage", "column", ["nulls", "coverage"]),
+    ]
+    return rounded(A.union_all(parts), ["value"])
+
+
+_NOTHING = """SELECT report, item, metric, CAST(value + (SELECT count(*) FROM lineitem WHERE l_quantity < 0) AS DOUBLE) AS value FROM (VALUES
+ ('thresholds', ['0.3', '0.7'], ['tp', 'fp', 'fn', 'tn', 'precision', 'recall', 'flagged_percent'], 0.0), ('confusion', [''], ['accuracy', 'catch_rate', 'false_alarm_rate'], 0.0),
+ ('ranking', [''], ['average_precision', 'roc_auc', 'pr_auc_trapezoid'], 0.0), ('at_recall', [''], ['precision'], NULL), ('difference', [''], ['auc_a', 'auc_b'], 0.0), ('difference', [''], ['z', 'p_value'], NULL),
+ ('top', ['50'], ['precision', 'recall', 'lift'], 0.0), ('signals', ['late'], ['n_true'], 0.0), ('signals', ['late'], ['prevalence', 'rate_when_true', 'lift'], NULL), ('coverage', ['score'], ['nulls'], 0.0), ('coverage', ['score'], ['coverage'], NULL)
+) v(report, items, metrics, value), unnest(items) AS i(item), unnest(metrics) AS m(metric)"""
+
+
+@query(_NOTHING)
+def reports_on_nothing(spark, d):
+    """Reports over no row: zeros for counts and rates of a classifier, nulls for shares of nothing."""
+    return _reports(predictions(spark, d).filter(F.col("score2") < 0))
+
+
+@query(f"""
+WITH {_P}, x AS (SELECT *, yr > 1996 AS late FROM p WHERE label = 0), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (late)::DOUBLE AS l,
+ count(*) FILTER (score >= 0.3)::DOUBLE AS a, count(*) FILTER (score >= 0.7)::DOUBLE AS b, count(*) FILTER (score >= 0.5)::DOUBLE AS c FROM x)
+SELECT report, item, metric, round(value, 6) AS value FROM n, LATERAL (VALUES
+ ('thresholds', '0.3', 'tp', 0.0), ('thresholds', '0.3', 'fp', a), ('thresholds', '0.3', 'fn', 0.0), ('thresholds', '0.3', 'tn', n - a), ('thresholds', '0.3', 'precision', 0.0), ('thresholds', '0.3', 'recall', 0.0), ('thresholds', '0.3', 'flagged_percent', a / n * 100),
+ ('thresholds', '0.7', 'tp', 0.0), ('thresholds', '0.7', 'fp', b), ('thresholds', '0.7', 'fn', 0.0), ('thresholds', '0.7', 'tn', n - b), ('thresholds', '0.7', 'precision', 0.0), ('thresholds', '0.7', 'recall', 0.0), ('thresholds', '0.7', 'flagged_percent', b / n * 100),
+ ('confusion', '', 'accuracy', (n - c) / n), ('confusion', '', 'catch_rate', 0.0), ('confusion', '', 'false_alarm_rate', c / n),
+ ('ranking', '', 'average_precision', 0.0), ('ranking', '', 'roc_auc', 0.0), ('ranking', '', 'pr_auc_trapezoid', 0.0), ('at_recall', '', 'precision', NULL),
+ ('difference', '', 'auc_a', 0.0), ('difference', '', 'auc_b', 0.0), ('difference', '', 'z', NULL), ('difference', '', 'p_value', NULL),
+ ('top', '50', 'precision', 0.0), ('top', '50', 'recall', 0.0), ('top', '50', 'lift', 0.0),
+ ('signals', 'late', 'n_true', l), ('signals', 'late', 'prevalence', l / n), ('signals', 'late', 'rate_when_true', 0.0), ('signals', 'late', 'lift', NULL), ('coverage', 'score', 'nulls', 0.0), ('coverage', 'score', 'coverage', 1.0)
+) v(report, item, metric, value)""")
+def reports_on_one_class(spark, d):
+    return _reports(predictions(spark, d).filter(F.col("label") == 0))

@@ -9,7 +9,7 @@ from stallwatch.operators.windows import identity_history
 from stallwatch.session import cut_lineage
 
 ENTITIES = {"supplier": ["l_suppkey"], "part": ["l_partkey"]}
-CAP = 3
+CAP = 100
 
 
 def _edges_sql(cap=CAP, where="true"):
@@ -29,25 +29,25 @@ def sharing_edges(spark, d):
     return G.sharing_edges(listings(spark, d), entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=CAP)
 
 
-@query(_edges_sql(50, "b.o_orderdate <= TIMESTAMP '1998-06-30'"))
+@query(_edges_sql(CAP, "b.o_orderdate <= TIMESTAMP '1998-06-30'"))
 def sharing_edges_as_of(spark, d):
     from datetime import datetime
 
     known = G.as_of(listings(spark, d), "o_orderdate", datetime(1998, 6, 30))
-    return G.sharing_edges(known, entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=50)
+    return G.sharing_edges(known, entity="o_orderkey", time="o_orderdate", identities={"customer": ["o_custkey"]}, cap=CAP)
 
 
 _HUB_SQL = """WITH m AS (SELECT k, user_id, min(ts) OVER (PARTITION BY user_id) AS t FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id, ts FROM events)),
 p AS (SELECT DISTINCT 'k' AS kind, CAST(k AS VARCHAR) AS identity, user_id, t FROM m UNION SELECT DISTINCT 'type', event_type, user_id, min(ts) OVER (PARTITION BY user_id) FROM events)
 SELECT identity_type, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, count(*) AS shared FROM (
  SELECT a.kind AS identity_type, a.user_id AS src, b.user_id AS dst, row_number() OVER (PARTITION BY a.kind, a.identity, a.user_id ORDER BY b.t, b.user_id) AS rn
- FROM p a JOIN p b ON a.kind = b.kind AND a.identity = b.identity AND a.t < b.t) WHERE rn <= 7 GROUP BY 1, 2, 3"""
+ FROM p a JOIN p b ON a.kind = b.kind AND a.identity = b.identity AND a.t < b.t) WHERE rn <= 100 GROUP BY 1, 2, 3"""
 
 
 @query(_HUB_SQL)
 def sharing_edges_of_hubs(spark, d):
     e = lifecycle(spark, d)
-    edges = G.sharing_edges(e, entity="user_id", time="ts", identities={"k": ["k"], "type": ["event_type"]}, cap=7)
+    edges = G.sharing_edges(e, entity="user_id", time="ts", identities={"k": ["k"], "type": ["event_type"]}, cap=CAP)
     return edges.groupBy("identity_type", "src", "dst").agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -78,7 +78,7 @@ def graph_statistics(spark, d):
 
 
 @query(f"""
-WITH k AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30'), s AS ({_edges_sql(4, "b.o_orderdate <= TIMESTAMP '1998-06-30'")}),
+WITH k AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30'), s AS ({_edges_sql(CAP, "b.o_orderdate <= TIMESTAMP '1998-06-30'")}),
 u AS (SELECT DISTINCT o_orderkey, o_custkey FROM k)
 SELECT 'listing' AS part, count(DISTINCT o_orderkey) AS n FROM k UNION ALL SELECT 'customer', count(DISTINCT o_custkey) FROM k
 UNION ALL SELECT 'used_customer', count(*) FROM u UNION ALL SELECT 'rev_used_customer', count(*) FROM u UNION ALL SELECT 'sharing', count(*) FROM s""")
@@ -86,7 +86,7 @@ def whole_graph_as_of(spark, d):
     from datetime import datetime
 
     columns = {"customer": ["o_custkey"]}
-    g = G.build_graph(listings(spark, d), entity="o_orderkey", time="o_orderdate", cutoff=datetime(1998, 6, 30), entity_columns=columns, identities=columns, cap=4)
+    g = G.build_graph(listings(spark, d), entity="o_orderkey", time="o_orderdate", cutoff=datetime(1998, 6, 30), entity_columns=columns, identities=columns, cap=CAP)
     count = F.count(F.lit(1)).alias("n")
     parts = g.nodes.groupBy(F.col("node_type").alias("part")).agg(count).unionByName(g.used.groupBy(F.col("edge_type").alias("part")).agg(count))
     return parts.unionByName(g.sharing.agg(F.lit("sharing").alias("part"), count))
@@ -103,6 +103,17 @@ def edge_homophily(spark, d):
 _LINK_PARTS = "p{i} AS (SELECT {c} AS k, user_id, min(ts) AS seen FROM e WHERE {c} IS NOT NULL GROUP BY 1, 2), l{i} AS (SELECT e.event_id, count(*) FILTER (p.seen < e.ts AND p.user_id <> e.user_id) AS n FROM e JOIN p{i} p ON e.{c} = p.k GROUP BY 1)"
 
 
+_GAP_EVENTS = f"SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, nullif(k, 3) AS k) FROM ({LIFECYCLE_SQL})"
+
+
+@query(f"""WITH e AS ({_GAP_EVENTS}), {_LINK_PARTS.format(i=1, c='k')}, {_LINK_PARTS.format(i=2, c='event_type')}
+SELECT e.event_id, coalesce(l1.n, 0) AS k_links, coalesce(l2.n, 0) AS type_links FROM e LEFT JOIN l1 USING (event_id) LEFT JOIN l2 USING (event_id)""")
+def link_counts_with_gaps(spark, d):
+    """Events without a time, or without an identity, keep their row and have no links."""
+    e = lifecycle(spark, d).withColumns({"ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")), "k": F.nullif(F.col("k"), F.lit(3))})
+    return G.link_counts(e, identities={"k": "k", "type": "event_type"}, entity="user_id", time="ts", row_id="event_id")
+
+
 @query(f"WITH e AS ({LIFECYCLE_SQL}), {_LINK_PARTS.format(i=1, c='k')}, {_LINK_PARTS.format(i=2, c='event_type')} SELECT event_id, l1.n AS k_links, l2.n AS type_links FROM l1 JOIN l2 USING (event_id)")
 def link_counts_before_event(spark, d):
     return G.link_counts(lifecycle(spark, d), identities={"k": "k", "type": "event_type"}, entity="user_id", time="ts", row_id="event_id")
@@ -134,10 +145,10 @@ def _vectors(spark, d):
 
 
 def _vector_edges(spark, d):
-    return cut_lineage(G.sharing_edges(_vectors(spark, d), entity="vec_id", time="at", identities={"label": ["label"]}, cap=4))
+    return cut_lineage(G.sharing_edges(_vectors(spark, d), entity="vec_id", time="at", identities={"label": ["label"]}, cap=CAP))
 
 
-_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), g AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND b.rn > a.rn AND b.rn <= a.rn + 4)"
+_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), g AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND b.rn > a.rn AND b.rn <= a.rn + 100)"
 
 
 @query(f"""

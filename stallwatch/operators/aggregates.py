@@ -43,12 +43,12 @@ def cluster_sizes(df: DataFrame, identity: str, name: str = "cluster_size") -> D
 
 
 def coverage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, nulls, coverage) for all columns in one pass over the table."""
+    """(column, nulls, coverage) for all columns in one pass over the table; the coverage of an empty table is null."""
     columns = list(columns or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(f"__{i}") for i, c in enumerate(columns)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__{i}").alias("present")) for i, c in enumerate(columns)]))
     return one.select("__n", rows.alias("r")).select(
-        "r.column", (F.col("__n") - F.col("r.present")).alias("nulls"), (F.col("r.present") / F.col("__n")).alias("coverage")
+        "r.column", (F.col("__n") - F.col("r.present")).alias("nulls"), (F.col("r.present") / F.nullif(F.col("__n"), F.lit(0))).alias("coverage")
     )
 
 
@@ -108,14 +108,14 @@ def event_and_entity_rate(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def signal_report(df: DataFrame, signals: Sequence[str], label: str) -> DataFrame:
-    """Per boolean signal: prevalence, positive rate when true, lift over the base rate."""
+    """Per boolean signal: prevalence, positive rate when true, lift over the base rate; shares of nothing are null."""
     hot = [F.coalesce(F.col(f"`{s}`").cast("int"), F.lit(0)) for s in signals]
     y = F.col(label).cast("long")
     one = df.agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum(y).alias("__p"),
-        *[F.sum(h).alias(f"__s{i}") for i, h in enumerate(hot)],
-        *[F.sum(h * y).alias(f"__h{i}") for i, h in enumerate(hot)],
+        *[F.coalesce(F.sum(h), F.lit(0)).alias(f"__s{i}") for i, h in enumerate(hot)],
+        *[F.coalesce(F.sum(h * y), F.lit(0)).alias(f"__h{i}") for i, h in enumerate(hot)],
     )
     rows = F.explode(
         F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"__s{i}").alias("n_true"), F.col(f"__h{i}").alias("hits")) for i, s in enumerate(signals)])
@@ -125,9 +125,9 @@ def signal_report(df: DataFrame, signals: Sequence[str], label: str) -> DataFram
     return flat.select(
         "signal",
         F.col("n_true"),
-        (F.col("n_true") / F.col("__n")).alias("prevalence"),
+        (F.col("n_true") / F.nullif(F.col("__n"), F.lit(0))).alias("prevalence"),
         rate.alias("rate_when_true"),
-        (rate / (F.col("__p") / F.col("__n"))).alias("lift"),
+        (rate / F.nullif(F.col("__p") / F.nullif(F.col("__n"), F.lit(0)), F.lit(0.0))).alias("lift"),
     )
 
 
@@ -169,11 +169,11 @@ def _entities_per_identity(df: DataFrame, identity: str, entity: str, label: str
 
 
 def lifecycle_length(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Mean and median number of events per id, by class of the id."""
+    """Mean and median number of events per id, by class of the id (ids without a class among themselves)."""
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(label).alias(label))
     means = per.groupBy(label).agg(F.count(F.lit(1)).alias("ids"), F.avg("n").alias("mean_events"))
     medians = exact_quantiles(per, [label], "n", {"median_events": 0.5})
-    return means.join(medians, label)
+    return lookup(means, medians, [label], "inner", null_safe=True)
 
 
 # Upper edges (hours) and names of the delay buckets.
@@ -237,13 +237,13 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def importance_by_group(importance: DataFrame, groups: DataFrame) -> DataFrame:
-    """Sum of importance per feature group with its percentage; ``groups`` maps feature to feature_group."""
+    """Sum of importance per feature group with its percentage (null where all sum to 0); ``groups`` maps feature to feature_group."""
     total = importance.agg(F.sum("importance").alias("t")).scalar()
     return (
         importance.join(groups, "feature")
         .groupBy("feature_group")
         .agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features"))
-        .withColumn("percent", F.col("importance") / total * 100)
+        .withColumn("percent", F.col("importance") / F.nullif(total, F.lit(0.0)) * 100)
     )
 
 

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stallwatch.functions.scalar import finite, probability_band, psi_label
 from stallwatch.operators.aggregates import bin_index, unpivot_numbers
 from stallwatch.operators.joins import compare_importance
 from stallwatch.plans.ordered import numbered, running_totals
+from stallwatch.plans.skew import lookup
 from stallwatch.session import cut_lineage
 
 PSI_SMOOTHING = 1e-6
@@ -84,7 +82,7 @@ def _psi_of(counts: DataFrame, bins: int) -> DataFrame:
 def _jsd_of(counts: DataFrame, bins: int) -> DataFrame:
     def density(count: str, total: str) -> Column:
         scale = 1.0 / F.col("width") + bins * JSD_SMOOTHING
-        return (F.col(count) / (F.col(total) * F.col("width")) + JSD_SMOOTHING) / scale
+        return (F.col(count) / F.nullif(F.col(total) * F.col("width"), F.lit(0.0)) + JSD_SMOOTHING) / scale
 
     p, q = density("ref", "__nr"), density("cur", "__nc")
     m = (p + q) / 2
@@ -109,7 +107,7 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[s
 
 def kolmogorov_tail(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value of the two-sample KS statistic."""
-    x = F.sqrt(n * m / (n + m).cast("double")) * d
+    x = F.sqrt(n * m / F.nullif((n + m).cast("double"), F.lit(0.0))) * d
     steps = F.sequence(F.lit(1), F.lit(terms))
     series = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * x * x))
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
@@ -124,7 +122,7 @@ def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str], alpha:
     # One row per feature, so the broadcast is as small as the list of columns.
     totals = steps.groupBy("feature").agg(F.sum("__r").alias("n_ref"), F.sum("__c").alias("n_cur"))
     gaps = cumulated.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        F.max(F.abs(F.col("__fr") / F.col("n_ref") - F.col("__fc") / F.col("n_cur"))).alias("__d"),
+        F.max(F.abs(F.col("__fr") / F.nullif(F.col("n_ref"), F.lit(0)) - F.col("__fc") / F.nullif(F.col("n_cur"), F.lit(0)))).alias("__d"),
         F.first("n_ref").alias("n_ref"),
         F.first("n_cur").alias("n_cur"),
     )
@@ -193,26 +191,36 @@ def band_distribution(df: DataFrame, score: str) -> DataFrame:
     return df.groupBy(probability_band(score).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def psi_of(ref: np.ndarray, cur: np.ndarray, bins: int = 10) -> float:
-    if len(ref) < bins or len(cur) < bins:
-        return 0.0
-    lo, hi = ref.min(), ref.max()
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    counts = [np.bincount(np.clip(np.floor((v - lo) / (hi - lo) * bins).astype(int), 0, bins - 1), minlength=bins) for v in (ref, cur)]
-    r, c = ((n + PSI_SMOOTHING) / (n.sum() + bins * PSI_SMOOTHING) for n in counts)
-    return float(((c - r) * np.log(c / r)).sum())
+def _bins(values: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """How many values fall into each bin."""
+    placed = F.transform(values, lambda v: bin_index(v, lo, hi, bins))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(placed, lambda p: p == b)))
 
 
-def ks_of(ref: np.ndarray, cur: np.ndarray) -> float:
-    grid = np.concatenate([ref, cur])
-    ref, cur = np.sort(ref), np.sort(cur)
-    return float(np.abs(np.searchsorted(ref, grid, "right") / len(ref) - np.searchsorted(cur, grid, "right") / len(cur)).max())
+def psi_of_bins(ref: Column, cur: Column, bins: int = 10) -> Column:
+    """PSI of two arrays of bin counts; 0 if either side has fewer values than bins."""
 
+    def shares(counts: Column) -> tuple[Column, Column]:
+        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+        return total, F.transform(counts, lambda n: (n + PSI_SMOOTHING) / (total + bins * PSI_SMOOTHING))
 
-@F.pandas_udf(T.StructType([T.StructField("psi", T.DoubleType()), T.StructField("ks_stat", T.DoubleType())]))
-def _window_drift(ref: pd.Series, cur: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(psi_of(np.asarray(r), np.asarray(c)), ks_of(np.asarray(r), np.asarray(c))) for r, c in zip(ref, cur)], columns=["psi", "ks_stat"])
+    (n_ref, r), (n_cur, c) = shares(ref), shares(cur)
+    total = F.aggregate(F.zip_with(r, c, lambda x, y: (y - x) * F.log(y / x)), F.lit(0.0), lambda a, v: a + v)
+    return F.when((n_ref >= bins) & (n_cur >= bins), total).otherwise(0.0)
+
+
+def ks_of_arrays(ref: Column, cur: Column) -> Column:
+    """Largest gap between the distribution functions of two arrays, by one walk over their sorted union."""
+    marked = F.concat(*[F.transform(side, lambda v, i=i: F.struct(v.alias("v"), F.lit(i).alias("r"))) for i, side in ((1, ref), (0, cur))])
+    n_ref, n_cur = F.size(ref).cast("double"), F.size(cur).cast("double")
+
+    def step(a: Column, e: Column) -> Column:
+        # the gap counts once all equal values are in, so it is taken when the next value differs
+        gap = F.when(e["v"] == a["v"], a["gap"]).otherwise(F.greatest(a["gap"], F.abs(a["fr"] / n_ref - a["fc"] / n_cur)))
+        return F.struct(e["v"].alias("v"), (a["fr"] + e["r"]).alias("fr"), (a["fc"] + 1 - e["r"]).alias("fc"), gap.alias("gap"))
+
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("fr"), F.lit(0).alias("fc"), F.lit(0.0).alias("gap"))
+    return F.aggregate(F.sort_array(marked), start, step, lambda a: a["gap"])
 
 
 def rolling_drift(
@@ -232,21 +240,26 @@ def rolling_drift(
 
     The reference is the first ``reference_size`` predictions (after ``anchor_at``, for a re-anchored
     monitor); a check compares it with the last ``current_size`` each time ``every`` more have arrived.
-    A row takes part in at most ``current_size / every`` checks, so each check is a small bounded group.
+    A row takes part in at most ``current_size / every`` checks, so each check is a small bounded group, and the checks of a
+    busy series meet its reference in as many tasks as they fill. Rows without a score are no predictions: they are not counted.
     """
-    indexed = numbered(df.select(series, order.alias("__o"), tie, F.col(score).cast("double").alias("__v")), [series], F.col("__o"), [F.col(tie)], "__i")
+    scored = df.select(series, order.alias("__o"), tie, F.col(score).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    indexed = numbered(scored, [series], F.col("__o"), [F.col(tie)], "__i")
     indexed = cut_lineage(indexed.withColumn("__i", F.col("__i") - anchor_at).filter(F.col("__i") > 0))
-    reference = indexed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.collect_list("__v").alias("__ref"))
-    reference = reference.filter(F.size("__ref") == reference_size)
+    first_ones = indexed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.collect_list("__v").alias("__ref"))
+    lo, hi = F.array_min("__ref"), F.array_max("__ref")
+    reference = first_ones.filter(F.size("__ref") == reference_size).select(series, "__ref", lo.alias("__lo"), hi.alias("__hi"), _bins(F.col("__ref"), lo, hi, 10).alias("__rb"))
     i = F.col("__i")
     first = F.greatest(F.lit(reference_size), F.ceil(i / every) * every).cast("int")
     last = (F.ceil((i + current_size) / every) * every - every).cast("int")
     member = indexed.filter(last >= first).withColumn("check_at", F.explode(F.sequence(first, last, F.lit(every))))
     size = indexed.groupBy(series).agg(F.max("__i").alias("__n"))
     checks = member.groupBy(series, "check_at").agg(F.collect_list("__v").alias("__cur"))
-    ready = checks.join(reference.join(size, series), series).filter(F.col("check_at") <= F.col("__n"))
-    found = ready.select(series, "check_at", F.size("__cur").alias("n_current"), _window_drift("__ref", "__cur").alias("d"))
-    p = kolmogorov_tail(F.col("d.ks_stat"), F.lit(reference_size), F.col("n_current"))
-    return found.select(
-        series, "check_at", "d.psi", "d.ks_stat", p.alias("ks_p"), (p < alpha).alias("ks_drift"), psi_label("d.psi").alias("label")
+    known = lookup(reference, size, [series], "inner", null_safe=True)
+    ready = lookup(checks, known, [series], "inner", null_safe=True).filter(F.col("check_at") <= F.col("__n"))
+    found = ready.select(
+        series, "check_at", F.size("__cur").alias("n_current"),
+        psi_of_bins(F.col("__rb"), _bins(F.col("__cur"), F.col("__lo"), F.col("__hi"), 10)).alias("psi"), ks_of_arrays(F.col("__ref"), F.col("__cur")).alias("ks_stat"),
     )
+    p = kolmogorov_tail(F.col("ks_stat"), F.lit(reference_size), F.col("n_current"))
+    return found.select(series, "check_at", "psi", "ks_stat", p.alias("ks_p"), (p < alpha).alias("ks_drift"), psi_label("psi").alias("label"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from stallwatch.functions.tails import normal_two_sided, student_two_sided
 from stallwatch.plans.ordered import running_totals
 from stallwatch.plans.skew import lookup
 from stallwatch.session import cut_lineage
@@ -28,7 +26,10 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str], slice
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), *, slices: int | None = None) -> DataFrame:
-    """Average precision (step sum), ROC area (tie-averaged), and trapezoid PR area; a single class gives zeros."""
+    """Average precision (step sum), ROC area (tie-averaged), and trapezoid PR area; a single class gives zeros.
+
+    Rows without a score are left out; without groups an empty table gives one row of zeros.
+    """
     steps = _score_steps(df, label, score, by, slices)
     p, q, tp, fp = (F.col(c) for c in ("__p", "__q", "__tp", "__fp"))
     before = tp - p + fp - q
@@ -41,7 +42,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (
         F.sum(q * (tp - p / 2.0)).alias("__auc"),
         F.sum(p * (precision + earlier) / 2.0).alias("__trap"),
     )
-    both = (F.col("__P") > 0) & (F.col("__N") > 0)
+    both = (F.coalesce("__P", F.lit(0)) > 0) & (F.coalesce("__N", F.lit(0)) > 0)
     return sums.select(
         *by,
         F.when(both, F.col("__ap") / F.col("__P")).otherwise(0.0).alias("average_precision"),
@@ -74,9 +75,9 @@ def threshold_table(
     y, s = F.col(label).cast("long"), F.col(score)
     one = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.sum(y).alias("__pos"),
+        F.coalesce(F.sum(y), F.lit(0)).alias("__pos"),
         *[F.count(F.when(s >= t, 1)).alias(f"__f{i}") for i, t in enumerate(thresholds)],
-        *[F.sum(F.when(s >= t, y).otherwise(0)).alias(f"__t{i}") for i, t in enumerate(thresholds)],
+        *[F.coalesce(F.sum(F.when(s >= t, y).otherwise(0)), F.lit(0)).alias(f"__t{i}") for i, t in enumerate(thresholds)],
     )
     rows = F.explode(
         F.array(
@@ -98,7 +99,7 @@ def threshold_table(
         tn.alias("tn"),
         *[v.alias(k) for k, v in _rates(F.col("tp"), fp, fn).items()],
         "flagged",
-        (F.col("flagged") / F.col("__n") * 100).alias("flagged_percent"),
+        F.when(F.col("__n") > 0, F.col("flagged") / F.col("__n") * 100).otherwise(0.0).alias("flagged_percent"),
     )
 
 
@@ -108,7 +109,7 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5, by:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return t.select(
         *by, "tp", "tn", "fp", "fn",
-        ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
+        F.when(tp + tn + fp + fn > 0, (tp + tn) / (tp + tn + fp + fn)).otherwise(0.0).alias("accuracy"),
         "precision", "recall", "f1",
         F.col("recall").alias("catch_rate"),
         F.when(fp + tn > 0, fp / (fp + tn)).otherwise(0.0).alias("false_alarm_rate"),
@@ -129,11 +130,11 @@ def best_threshold(
 
 
 def precision_at_recall(df: DataFrame, label: str, score: str, target: float) -> DataFrame:
-    """Best precision among thresholds whose recall reaches the target."""
+    """Best precision among thresholds whose recall reaches the target; nulls where there is no positive."""
     steps = _score_steps(df, label, score, [])
     positives = df.filter(F.col(score).isNotNull()).agg(F.sum(F.col(label).cast("long")).alias("p")).scalar()
     tp, fp = F.col("__tp"), F.col("__fp")
-    return steps.filter(tp / positives >= target).agg(F.max(tp / (tp + fp)).alias("precision"), F.max("__s").alias("threshold"))
+    return steps.filter(tp / F.nullif(positives, F.lit(0)) >= target).agg(F.max(tp / (tp + fp)).alias("precision"), F.max("__s").alias("threshold"))
 
 
 def probability_losses(df: DataFrame, label: str, score: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
@@ -192,45 +193,11 @@ def metrics_long(one_row: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fold_metrics(df: DataFrame, label: str, score: str, fold: str, threshold: float = 0.5) -> DataFrame:
     """Ranking and threshold metrics per fold, all folds in one job."""
-    return (
-        ranking_metrics(df, label, score, [fold])
-        .join(confusion(df, label, score, threshold, [fold]).select(fold, "precision", "recall", "f1"), fold)
-        .join(base_rates(df, label, [fold]).select(fold, "n", "base_rate"), fold)
-    )
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    h = d
-    for m in range(1, 400):
-        for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + numerator * d) or tiny)
-            c = (1 + numerator / c) or tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return front * h
-
-
-def t_two_sided(t: float, dof: float) -> float:
-    return _beta_fraction(dof / 2, 0.5, dof / (dof + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) if pd.notna(a) and b > 0 else None for a, b in zip(t, dof)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def _normal_p(z: pd.Series) -> pd.Series:
-    return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None for v in z], dtype="float64")
+    cut = confusion(df, label, score, threshold, [fold]).select(fold, "precision", "recall", "f1")
+    rates = base_rates(df, label, [fold]).select(fold, "n", "base_rate")
+    ranked = ranking_metrics(df, label, score, [fold])
+    zeros = {c: F.coalesce(c, F.lit(0.0)) for c in ranked.columns if c != fold}  # a fold of rows without scores
+    return lookup(lookup(rates, ranked, [fold], "left", null_safe=True), cut, [fold], "inner", null_safe=True).withColumns(zeros)
 
 
 def paired_t_test(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -239,36 +206,36 @@ def paired_t_test(df: DataFrame, a: str, b: str) -> DataFrame:
     one = df.agg(F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("__s"), F.count(d).alias("__n"))
     t = F.col("mean_difference") / F.nullif(F.col("__s") / F.sqrt("__n"), F.lit(0.0))
     stat = one.select("mean_difference", t.alias("t"), (F.col("__n") - 1).alias("dof"))
-    return stat.withColumn("p_value", _t_p(F.col("t"), F.col("dof").cast("double")))
+    return stat.withColumn("p_value", student_two_sided(F.col("t"), F.col("dof")))
 
 
 def auc_difference_test(df: DataFrame, label: str, a: str, b: str, row_id: str) -> DataFrame:
-    """DeLong test of two correlated ROC areas over the same rows.
+    """DeLong test of two correlated ROC areas over the rows that both models scored.
 
-    Placement values come from per-score cumulative counts, so no pair of rows is ever formed.
+    Placement values come from per-score cumulative counts, so no pair of rows is ever formed. With a single class, or no row scored
+    by both, the areas are zero and z and p are null.
     """
-    totals = df.agg(
-        F.struct(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q")).alias("t")
+    scored = df.select(row_id, F.col(label).alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    scored = scored.filter("__y IS NOT NULL AND __a IS NOT NULL AND __b IS NOT NULL")
+    totals = scored.agg(
+        F.struct(F.nullif(F.sum(F.col("__y").cast("long")), F.lit(0)).alias("p"), F.nullif(F.sum(1 - F.col("__y").cast("long")), F.lit(0)).alias("q")).alias("t")
     ).scalar()
-    rows = df.select(row_id, label, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    rows = scored
     for column, out in (("__a", "__va"), ("__b", "__vb")):
-        steps = _score_steps(rows, label, column, [])
+        steps = _score_steps(scored, "__y", column, [])
         placed = steps.select(
             F.col("__s").alias(column),
             ((totals["q"] - F.col("__fp") + F.col("__q") / 2.0) / totals["q"]).alias("__v_pos"),
             ((F.col("__tp") - F.col("__p") / 2.0) / totals["p"]).alias("__v_neg"),
         )
         rows = lookup(rows, placed, [column], "inner").withColumn(
-            out, F.when(F.col(label) == 1, F.col("__v_pos")).otherwise(F.col("__v_neg"))
+            out, F.when(F.col("__y") == 1, F.col("__v_pos")).otherwise(F.col("__v_neg"))
         ).drop("__v_pos", "__v_neg")
     sums = rows.agg(
-        *[
-            F.var_samp(F.when(F.col(label) == y, F.col("__va") - F.col("__vb"))).alias(f"__s{y}")
-            for y in (0, 1)
-        ],
-        F.avg(F.when(F.col(label) == 1, F.col("__va"))).alias("auc_a"),
-        F.avg(F.when(F.col(label) == 1, F.col("__vb"))).alias("auc_b"),
+        *[F.var_samp(F.when(F.col("__y") == y, F.col("__va") - F.col("__vb"))).alias(f"__s{y}") for y in (0, 1)],
+        F.coalesce(F.avg(F.when(F.col("__y") == 1, F.col("__va"))), F.lit(0.0)).alias("auc_a"),
+        F.coalesce(F.avg(F.when(F.col("__y") == 1, F.col("__vb"))), F.lit(0.0)).alias("auc_b"),
     )
     variance = F.col("__s1") / totals["p"] + F.col("__s0") / totals["q"]
     z = (F.col("auc_a") - F.col("auc_b")) / F.nullif(F.sqrt(variance), F.lit(0.0))
-    return sums.select("auc_a", "auc_b", z.alias("z")).withColumn("p_value", _normal_p("z"))
+    return sums.select("auc_a", "auc_b", z.alias("z")).withColumn("p_value", normal_two_sided(F.col("z")))

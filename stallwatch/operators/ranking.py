@@ -19,13 +19,10 @@ def precision_at_k(df: DataFrame, label: str, score: str, row_id: str, ks: Seque
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).alias("t")
     ).scalar()
     top = df.select(label, score, row_id).orderBy(F.desc(score), row_id).limit(max(ks))
-    levels = F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k")
     ranked = first_n_per_key(top.withColumn("__all", F.lit(0)), ["__all"], [F.desc(score), F.col(row_id)], max(ks), rank="__rank")
-    hits = (
-        ranked.select(label, "__rank", levels)
-        .groupBy("k")
-        .agg(F.sum(F.when(F.col("__rank") <= F.col("k"), F.col(label).cast("long")).otherwise(0)).alias("hits"))
-    )
+    y = F.col(label).cast("long")
+    one = ranked.agg(*[F.coalesce(F.sum(F.when(F.col("__rank") <= k, y)), F.lit(0)).alias(f"__h{k}") for k in ks])
+    hits = one.select(F.inline(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.col(f"__h{k}").alias("hits")) for k in ks])))
     enough = F.col("k") <= totals["n"]
     precision = F.when(enough, F.col("hits") / F.col("k")).otherwise(0.0)
     return hits.select(

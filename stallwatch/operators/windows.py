@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwatch.functions.scalar import cyclical, log_count
-from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, micros, running_totals, with_slice
+from stallwatch.plans.ordered import ORDER, SLICE, earlier_slices, micros, running_totals, with_carry, with_slice
 from stallwatch.plans.skew import first_n_per_key, lookup
 from stallwatch.session import cut_lineage
 
@@ -46,13 +46,15 @@ def time_encodings(per_id: DataFrame, time: str, count: str) -> dict[str, Column
 
 
 def running_best(df: DataFrame, order: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Best value so far, in order (for example over search trials)."""
+    """Best value so far, in order (for example over search trials); null for rows without an order value."""
     sliced = with_slice(df, F.col(order).cast("double"))
     group = [*keys, SLICE]
-    carry = sliced.groupBy(*group).agg(F.max(value).alias("__b")).select(*group, F.max("__b").over(earlier_slices(keys)).alias("__c"))
+    best = sliced.filter(F.col(ORDER).isNotNull()).groupBy(*group).agg(F.max(value).alias("__b"))
+    carry = best.select(*group, F.max("__b").over(earlier_slices(keys)).alias("__c"))
     inside = Window.partitionBy(*group).orderBy(ORDER)
     local = sliced.withColumn("__l", F.max(value).over(inside))
-    return local.join(carry, group).withColumn("best_so_far", F.greatest("__l", "__c")).drop("__l", "__c", SLICE, ORDER)
+    so_far = F.when(F.col(ORDER).isNotNull(), F.greatest("__l", "__c"))
+    return with_carry(local, carry, group).withColumn("best_so_far", so_far).drop("__l", "__c", SLICE, ORDER)
 
 
 def importance_ranks(importance: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def identity_history(
 
     Adds ``prior_entities`` (distinct other ids seen with the identity), ``prior_flagged`` (those of them
     already flagged), ``prior_flagged_rate`` and ``days_since_first_seen``. A flag counts from the moment it
-    was raised, not from the flagged id's event. Rows without identity get zeros and nulls.
+    was raised, not from the flagged id's event. Rows without identity or without a time get zeros and nulls.
     """
     known = events.filter(F.col(identity).isNotNull())
     pairs = known.groupBy(identity, entity).agg(F.min(micros(time)).alias("__seen"), F.min(micros(flag)).alias("__flag"))
@@ -115,8 +117,8 @@ def identity_history(
     flagged = F.col("__n_flag") - F.col("__own_flag")
     found = with_start.select(
         "__row.*",
-        entities.cast("long").alias("prior_entities"),
-        flagged.cast("long").alias("prior_flagged"),
+        F.coalesce(entities, F.lit(0)).cast("long").alias("prior_entities"),
+        F.coalesce(flagged, F.lit(0)).cast("long").alias("prior_flagged"),
         (flagged / F.nullif(entities, F.lit(0))).alias("prior_flagged_rate"),
         ((F.col("__t") - F.col("__start")) / 8.64e10).alias("days_since_first_seen"),
     )

@@ -7,7 +7,8 @@ partitions. Whatever the key distribution, a (key, slice) group then holds at mo
 pre-aggregated table of per-slice totals gives each slice what came before it, and both parts share one
 exchange on (key, slice).
 
-Keys must be non-null; callers filter null keys first, as null means "no identity" throughout.
+A null key is a key of its own; where null means "no identity", callers filter it first. Rows without an order value have no
+place in the order: they get slices of their own, dealt out by partition, add to nothing, and their results are null.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ def slice_bounds(df: DataFrame, order: Column, slices: int | None = None) -> lis
 
 
 def cut_at(df: DataFrame, order: Column, bounds: Sequence[float]) -> DataFrame:
-    """Add ``__order`` (the order value) and ``__slice`` (the interval of ``bounds`` it falls into)."""
+    """Add ``__order`` (the order value) and ``__slice`` (the interval of ``bounds`` it falls into; negative without a value)."""
     ordered = df.withColumn(ORDER, order)
+    unplaced = (-1 - F.pmod(F.spark_partition_id(), F.lit(shuffle_width(df.sparkSession)))).cast("int")
     if not bounds:
-        return ordered.withColumn(SLICE, F.lit(0))
+        return ordered.withColumn(SLICE, F.when(F.col(ORDER).isNull(), unplaced).otherwise(0))
     cut = Bucketizer(
         splits=[float("-inf"), *bounds, float("inf")],
         inputCol="__order_value",
@@ -52,7 +54,7 @@ def cut_at(df: DataFrame, order: Column, bounds: Sequence[float]) -> DataFrame:
     )
     return (
         cut.transform(ordered.withColumn("__order_value", F.col(ORDER).cast("double")))
-        .withColumn(SLICE, F.col("__slice_value").cast("int"))
+        .withColumn(SLICE, F.when(F.col(ORDER).isNull(), unplaced).otherwise(F.col("__slice_value").cast("int")))
         .drop("__order_value", "__slice_value")
     )
 
@@ -81,7 +83,7 @@ def running_totals(
     slices: int | None = None,
     shape: DataFrame | None = None,
 ) -> DataFrame:
-    """Cumulative sums per key over ``order`` (ascending), added as the names in ``measures``.
+    """Cumulative sums per key over ``order`` (ascending), added as the names in ``measures``; null without an order value.
 
     ``before=False`` includes rows with the same order value; ``before=True`` excludes them and needs an
     integral order (for example :func:`micros`). The frame is read three times (bounds, totals, rows); when it
@@ -89,9 +91,10 @@ def running_totals(
     """
     shape = df if shape is None else shape
     bounds = slice_bounds(shape, order, slices)
-    sliced = cut_at(df.select("*", *[m.alias(f"__m_{n}") for n, m in measures.items()]), order, bounds)
+    counted = [F.when(order.isNotNull(), m).alias(f"__m_{n}") for n, m in measures.items()]
+    sliced = cut_at(df.select("*", *counted), order, bounds)
     group = [*keys, SLICE]
-    outline = cut_at(shape.select("*", *[m.alias(f"__m_{n}") for n, m in measures.items()]), order, bounds)
+    outline = cut_at(shape.select("*", *counted), order, bounds).filter(F.col(ORDER).isNotNull())
     totals = outline.groupBy(*group).agg(*[F.sum(f"__m_{n}").alias(f"__t_{n}") for n in measures])
     carry = totals.select(
         *group, *[F.coalesce(F.sum(f"__t_{n}").over(earlier_slices(keys)), F.lit(0)).alias(f"__c_{n}") for n in measures]
@@ -99,12 +102,19 @@ def running_totals(
     inside = Window.partitionBy(*group).orderBy(ORDER)
     inside = inside.rangeBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     local = sliced.select("*", *[F.coalesce(F.sum(f"__m_{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in measures])
-    return local.join(carry, group).select(
+    return with_carry(local, carry, group).select(
         *[F.col(f"`{c}`") for c in df.columns if c not in measures],
-        *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in measures],
+        *[F.when(F.col(ORDER).isNotNull(), F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in measures],
     )
 
 
+def with_carry(local: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with what their slice carries in, a null key like any other; rows whose slice carries nothing stay."""
+    held = {c: f"__carried_{i}" for i, c in enumerate(group)}
+    named = carry.select(*[F.col(f"`{c}`").alias(held.get(c, c)) for c in carry.columns])
+    return local.join(named, [F.col(f"`{c}`").eqNullSafe(F.col(held[c])) for c in group], "left").drop(*held.values())
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Column, ties: Sequence[str | Column], name: str, *, slices: int | None = None
 ) -> DataFrame:
@@ -120,7 +130,7 @@ def numbered(
     totals = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     carry = totals.select(*group, F.coalesce(F.sum("__n").over(earlier_slices(keys)), F.lit(0)).alias("__c"))
     local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*group).orderBy(ORDER, *ties)))
-    placed = local.join(carry, group).withColumn(name, F.col("__l") + F.col("__c"))
+    placed = with_carry(local, carry, group).withColumn(name, F.col("__l") + F.col("__c"))
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
@@ -140,7 +150,7 @@ def exact_quantiles(
     counts = cut_lineage(counts)  # distinct values with counts: small next to the table, and read several times
     ranked = running_totals(counts, keys, F.col("__v"), {"__cum": F.col("__n")}, slices=slices)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = lookup(ranked, totals, keys, "inner") if keys else ranked.withColumn("__total", totals.scalar())
+    joined = lookup(ranked, totals, keys, "inner", null_safe=True) if keys else ranked.withColumn("__total", totals.scalar())
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("__cum") > position, F.col("__v")))

@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, null_safe: bool = False) -> DataFrame:
     """Join ``left`` to ``right`` (inner, left, left_semi or left_anti) so that hot left keys spread out.
 
     Adaptive execution cuts a large left partition into pieces and sends the matching right partition to each, but
     only where both sides are shuffled for the join. A right side that was just aggregated on the join key is not.
     Its keys are rewritten here as expressions whose partitioning Spark does not recognise, which costs one
-    shuffle of the aggregated rows and needs no sketch, no salt and no second run of the left plan.
+    shuffle of the aggregated rows and needs no sketch, no salt and no second run of the left plan. ``null_safe`` lets a null
+    key meet a null key.
     """
     keys = list(keys)
+    if null_safe:
+        named = {c: f"__right_{i}" for i, c in enumerate(keys)}
+        shown = [F.element_at(F.array(F.col(f"`{c}`")), 1).alias(named[c]) if c in named else F.col(f"`{c}`") for c in right.columns]
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(named[c])) for c in keys]
+        return left.join(right.select(*shown), same, how).drop(*named.values())
     shown = [F.element_at(F.array(F.col(f"`{c}`")), 1).alias(c) if c in keys else F.col(f"`{c}`") for c in right.columns]
     return left.join(right.select(*shown), keys, how)
 

@@ -79,6 +79,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder this library wrote, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """How many ways ordered work is sliced: the cluster's shuffle width."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -105,8 +105,6 @@ def test_k_beyond_the_table_gives_zeros(spark):
 
 
 def test_t_and_normal_tails(spark):
-    assert M.t_two_sided(2.776445, 4) == pytest.approx(0.05, abs=1e-6)
-    assert M.t_two_sided(0.0, 7) == pytest.approx(1.0)
     df = spark.createDataFrame([(0.9, 0.8), (0.85, 0.8), (0.95, 0.7), (0.8, 0.75)], "a double, b double")
     got = M.paired_t_test(df, "a", "b").first()
     d = np.array([0.1, 0.05, 0.25, 0.05])
