@@ -1,5 +1,7 @@
 """Feeds, sinks, decision storage, review queue, and streaming forms over the standard tables."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from stallwatch.catalog import query
@@ -247,6 +249,36 @@ def stream_link_counts(spark, d):
     return spark.read.parquet(f"{folder}/links").drop("batch_id")
 
 
+def _by_day(spark, d, days, name):
+    """The events as a stream of one file per ``days`` days, in order of time."""
+    folder = scratch_folder(spark, name)
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("ts", F.col("ts").cast("timestamp"))
+    part = F.floor(F.datediff("ts", F.lit("2024-01-01")) / days)
+    parts = [r["n"] for r in e.select(part.alias("n")).distinct().orderBy("n").collect()]  # days of the feed
+    for n in parts:  # a file source takes files by their time of change
+        e.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _expired_sql(days, ttl):
+    return f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, datediff('day', DATE '2024-01-01', ts::DATE) // {days} AS b FROM events),
+h AS (SELECT b, min(ts) - INTERVAL {ttl} DAY AS h FROM e GROUP BY 1), o AS (SELECT k, user_id, b, min(ts) AS t FROM e WHERE k IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT k, user_id, min(t) AS s FROM o GROUP BY 1, 2
+      UNION ALL SELECT c.k, c.user_id, n.t FROM c, LATERAL (SELECT min(o.t) AS t FROM o JOIN h USING (b) WHERE o.k = c.k AND o.user_id = c.user_id AND o.t > c.s AND h.h > c.s) n WHERE n.t IS NOT NULL)
+SELECT e.event_id, count(DISTINCT c.user_id) FILTER (c.s < e.ts AND c.s >= h.h AND c.user_id <> e.user_id) AS k_links FROM e JOIN h USING (b) LEFT JOIN c ON c.k = e.k GROUP BY 1"""
+
+
+@query(_expired_sql(3, 7))
+def expired_links(spark, d):
+    """A stream of one micro-batch per three days whose sightings are forgotten after seven."""
+    folder = scratch_folder(spark, "links")
+    live = LiveLinks(folder, {"k": "k"}, "user_id", "ts", "event_id", ttl_days=7, compact_every=4)
+    _finish(live.start(_by_day(spark, d, 3, "days")))
+    return spark.read.parquet(f"{folder}/links").drop("batch_id")
+
+
 @query(f"SELECT 'decided' AS place, count(*) AS n FROM ({_SCORED}) WHERE dec <> 'REVIEW' UNION ALL SELECT 'retrain', count(*) FROM ({_SCORED}) WHERE dec <> 'REVIEW' UNION ALL SELECT 'queue', count(*) FROM ({_SCORED}) WHERE dec = 'REVIEW'")
 def stream_routing(spark, d):
     folder = scratch_folder(spark, "routing")

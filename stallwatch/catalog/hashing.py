@@ -114,7 +114,10 @@ def hashed_creators_and_lists(spark, d):
     )
 
 
-@query()
+@query(f"""
+SELECT c_custkey, '{{"lister":{{"email":"' || {hmac_sql("c_name || '@shop.example'", 'email')} || '","address":{{"country":"' || {hmac_sql('n_name', 'address')} || '","locality":"' || {hmac_sql('c_mktsegment', 'address')}
+ || '"}},"balance":' || CAST(c_acctbal AS VARCHAR) || '}},"number":' || c_custkey || '}}' AS document
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def hashed_listing_documents(spark, d):
     both = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     lister = F.struct(

@@ -1,28 +1,33 @@
 """Live link counts: how many other ids an event's identities have been seen with before it.
 
-State is an append-only table of first sightings (kind, identity, entity, seen), one partition per
-micro-batch. A keyed state function would send a popular identity to a single task; here each batch is
-counted by the same sliced operator as the batch form, so a hot identity is spread like anything else, a
-retried batch overwrites its own partition, and lost executors cost nothing but recomputation.
+State is a table of first sightings (kind, identity, entity, seen) in hash buckets, see :mod:`stallwatch.streaming.state`. A keyed
+state function would send a popular identity to a single task; here each batch is counted by the same sliced operator as
+the batch form, so a hot identity is spread like anything else, a retried batch overwrites its own rows, and lost
+executors cost nothing but recomputation.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stallwatch.operators.graph import link_counts
 from stallwatch.plans.ordered import micros
 from stallwatch.plans.skew import lookup
-from stallwatch.streaming.sinks import has_data, write_batch
+from stallwatch.streaming.sinks import write_batch
+from stallwatch.streaming.state import Sightings
 
 
 @dataclass(frozen=True)
 class LiveLinks:
-    """Counts links of streaming events into ``folder/links``; sightings older than ``ttl_days`` are forgotten."""
+    """Counts links of streaming events into ``folder/links``, and what each batch read and added into ``folder/reads``.
+
+    With ``ttl_days`` a sighting older than that before a batch's earliest event is forgotten: it counts no more, an id seen again
+    enters anew, and the next compaction removes it. Events without a time have no links and leave no sighting.
+    """
 
     folder: str
     identities: dict[str, str]
@@ -30,21 +35,24 @@ class LiveLinks:
     time: str
     row_id: str
     ttl_days: float | None = None
+    buckets: int = 64
+    compact_every: int = 8
+
+    @property
+    def state(self) -> Sightings:
+        return Sightings(f"{self.folder}/sightings", ("kind", "identity"), "entity", self.buckets, self.compact_every)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         events = batch.select(self.row_id, self.entity, self.time, *self.identities.values()).persist()
-        state = f"{self.folder}/sightings"
-        pieces = [
-            events.filter(F.col(column).isNotNull())
-            .groupBy(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("identity"), F.col(self.entity).alias("entity"))
-            .agg(F.min(micros(self.time)).alias("seen"))
-            for kind, column in self.identities.items()
-        ]
-        fresh = pieces[0]
-        for piece in pieces[1:]:
-            fresh = fresh.unionByName(piece)
-        known = self._known(spark, state, events, batch_id, fresh)
+        held = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"`{column}`").cast("string").alias("identity")) for kind, column in self.identities.items()])
+        long = events.select(F.explode(held).alias("i"), F.col(self.entity).alias("entity"), micros(self.time).alias("seen")).select("i.*", "entity", "seen")
+        first = long.filter("identity IS NOT NULL AND seen IS NOT NULL").groupBy("kind", "identity", "entity").agg(F.min("seen").alias("seen"))
+        fresh = first.withColumn("bucket", self.state.bucket()).persist()
+        earliest = None if self.ttl_days is None else events.agg(F.min(micros(self.time)).alias("t")).first()["t"]
+        horizon = None if earliest is None else earliest - int(self.ttl_days * 86_400_000_000)
+        seen = Observation()
+        near = self.state.read(fresh, batch_id, None if horizon is None else F.lit(horizon)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        known = lookup(near, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi").persist()
         rows = events.select(self.row_id, self.entity, self.time, *[F.col(c).cast("string").alias(c) for c in self.identities.values()])
         past = known.select(
             F.lit(None).cast(events.schema[self.row_id].dataType).alias(self.row_id),
@@ -56,18 +64,13 @@ class LiveLinks:
         counts = link_counts(tagged, identities=self.identities, entity=self.entity, time=self.time, row_id="__row")
         own = events.select(self.row_id, F.col(self.row_id).cast("string").alias("__row"))
         write_batch(own.join(counts, "__row").drop("__row"), f"{self.folder}/links", batch_id)
-        write_batch(fresh.join(known, ["kind", "identity", "entity"], "left_anti"), state, batch_id)
-        events.unpersist()
-
-    def _known(self, spark, state: str, events: DataFrame, batch_id: int, fresh: DataFrame) -> DataFrame:
-        """Earlier sightings of this batch's identities, within the time to live."""
-        if batch_id == 0 or not has_data(spark, state):
-            return fresh.limit(0)
-        known = spark.read.parquet(state).filter(F.col("batch_id") < batch_id).drop("batch_id")
-        if self.ttl_days is not None:
-            oldest = events.agg(F.min(micros(self.time)).alias("t")).scalar()
-            known = known.filter(F.col("seen") >= oldest - int(self.ttl_days * 86_400_000_000))
-        return lookup(known, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi")
+        new = lookup(fresh, known.select("kind", "identity", "entity"), ["kind", "identity", "entity"], "left_anti")
+        self.state.append(new.select(*fresh.columns), batch_id)
+        read = batch.sparkSession.range(1).select(F.lit(seen.get["rows"]).cast("long").alias("rows_read"))
+        write_batch(read.coalesce(1), f"{self.folder}/reads", batch_id)
+        self.state.compact(batch.sparkSession, batch_id, fresh.schema, horizon)
+        for frame in (events, fresh, known):
+            frame.unpersist()
 
     def start(self, events: DataFrame) -> StreamingQuery:
         return (

@@ -64,6 +64,27 @@ def test_expired_sightings_are_forgotten(spark, tmp_path):
     assert got == {1: 0, 2: 1, 3: 1}
 
 
+def test_state_stays_level_and_expired_sightings_are_removed(spark, tmp_path):
+    """Twenty batches of the same size: after the time to live a batch reads no more than before, and old rows leave the table."""
+    live = LiveLinks(str(tmp_path), {"k": "k"}, "user_id", "ts", "event_id", ttl_days=5, buckets=4, compact_every=4)
+    for n in range(20):
+        rows = [(100 * n + i, f"u{n}-{i % 25}", f"k{i % 5}", T0 + timedelta(days=n, minutes=i)) for i in range(50)]
+        live.process(spark.createDataFrame(rows, "event_id long, user_id string, k string, ts timestamp"), n)
+    reads = {r.batch_id: r.rows_read for r in spark.read.parquet(f"{tmp_path}/reads").collect()}
+    assert len(reads) == 20 and reads[5] == reads[19] == 5 * 25 and max(reads.values()) <= 5 * 25
+    versions = {r.version: (r.removed, r.kept) for r in spark.read.parquet(f"{tmp_path}/sightings/versions").collect()}
+    assert set(versions) == {3, 7, 11, 15, 19} and versions[3][0] == 0 and all(versions[v] == (4 * 25, 6 * 25) for v in (11, 15, 19))
+    kept = {p.name for p in (tmp_path / "sightings").glob("base-*")}
+    assert kept == {"base-15", "base-19"} and {int(p.name[9:]) for p in (tmp_path / "sightings/delta").glob("batch_id=*")} == set(range(16, 20))
+    counts = {r.event_id: r.k_links for r in spark.read.parquet(f"{tmp_path}/links").collect()}
+    # five earlier days of five ids of the same k, and those of the day seen before
+    assert counts[1900] == 25 and counts[1949] == 29 and counts[0] == 0
+    again = {r.event_id: r.k_links for r in spark.read.parquet(f"{tmp_path}/links").filter("batch_id = 19").collect()}
+    rows = [(1900 + i, f"u19-{i % 25}", f"k{i % 5}", T0 + timedelta(days=19, minutes=i)) for i in range(50)]
+    live.process(spark.createDataFrame(rows, "event_id long, user_id string, k string, ts timestamp"), 19)  # a retry after its compaction
+    assert {r.event_id: r.k_links for r in spark.read.parquet(f"{tmp_path}/links").filter("batch_id = 19").collect()} == again
+
+
 def test_windows_on_a_stream_equal_the_batch(spark, events, files, tmp_path):
     settings = dict(time="ts", keys=["event_type"], value="value", delay="40 days", length="6 hours", slide="3 hours")
     out = str(tmp_path / "out")
