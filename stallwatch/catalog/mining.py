@@ -64,6 +64,23 @@ def frequent_itemsets(spark, d):
     return rounded(out.select(F.array_join("antecedent", "+").alias("items"), "size", "n", "support"), ["support"])
 
 
+_MANY = [("supp", "l_suppkey", k) for k in range(2, 17)] + [("part", "l_partkey", k) for k in range(2, 17)]
+_MANY_SQL = f"""WITH r AS (SELECT row_number() OVER () AS i, *, {LABEL} AS y FROM lineitem), t AS (SELECT count(*) AS total FROM r),
+m AS ({" UNION ALL ".join(f"SELECT i, y, '{name}_{k:02d}' AS f FROM r WHERE {column} % {k} = 0" for name, column, k in _MANY)}),
+c AS (SELECT f AS items, 1 AS size, count(*) AS n, count(*) FILTER (y) AS hits FROM m GROUP BY 1
+ UNION ALL SELECT a.f || '+' || b.f, 2, count(*), count(*) FILTER (a.y) FROM m a JOIN m b ON a.i = b.i AND a.f < b.f GROUP BY 1
+ UNION ALL SELECT a.f || '+' || b.f || '+' || c.f, 3, count(*), count(*) FILTER (a.y) FROM m a JOIN m b ON a.i = b.i AND a.f < b.f JOIN m c ON c.i = a.i AND b.f < c.f GROUP BY 1)
+SELECT items, CAST(size AS INT) AS size, n, hits FROM c, t WHERE n / total >= 0.01"""
+
+
+@query(_MANY_SQL)
+def itemsets_of_many_flags(spark, d):
+    """Thirty flags, by projected prefixes."""
+    rows = table(spark, d, "lineitem").select(*[(F.col(column) % k == 0).alias(f"{name}_{k:02d}") for name, column, k in _MANY], F.expr(LABEL).cast("int").alias("y"))
+    out = R.itemset_counts(rows, [f"{name}_{k:02d}" for name, _, k in _MANY], "y", min_support=0.01, max_size=3)
+    return out.select(F.array_join("antecedent", "+").alias("items"), "size", "n", "hits")
+
+
 _RULES = f"""WITH {_F}, {_COUNTED}, b AS (SELECT count(*) AS total, avg(CAST(y AS INT)) AS rate FROM f)
 SELECT items, round(n / total, 6) AS support, round(hits / n, 6) AS confidence, round(hits / n / rate, 6) AS lift, n FROM c, b
 WHERE n / total >= 0.001 AND n >= 10 AND hits / n >= 0.5 AND hits / n / rate >= 2"""
@@ -84,6 +101,22 @@ def top_rules(spark, d):
     return R.top_rules(_rules(spark, d), 5).select(F.array_join("antecedent", "+").alias("items"), "n")
 
 
+_MATCHED = f"""{_RULES.replace('round(hits / n / rate, 6) AS lift', 'hits / n / rate AS lift').replace('WITH ', 'WITH k AS (SELECT row_number() OVER (ORDER BY lift DESC, n DESC, replace(items, chr(43), chr(44))) AS i, items FROM (WITH ', 1)}) ORDER BY i LIMIT 10),
+{_F}, x AS (SELECT *, row_number() OVER () AS row FROM f)"""
+
+
+@query(f"""
+{_MATCHED}, m AS (SELECT x.row, list_sort(list(k.i) FILTER ({" AND ".join(f"(NOT list_contains(string_split(items, '+'), '{n}') OR {n})" for n in FLAGS)})) AS matched FROM x, k GROUP BY 1)
+SELECT array_to_string(coalesce(matched, []), ',') AS matched, count(*) AS n FROM m GROUP BY 1""")
+def rule_matches(spark, d):
+    """How many rows match which of the ten strongest rules."""
+    flagged = _flagged(spark, d)
+    out = R.rule_features(flagged, _rules(spark, d), 10)
+    names = sorted((c for c in out.columns if c.startswith("rule_")), key=lambda c: int(c.split("_")[1]))
+    hits = F.concat_ws(",", *[F.when(F.col(c), F.lit(str(i))) for i, c in enumerate(names, start=1)])
+    return out.groupBy(hits.alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def rule_match_features(spark, d):
     flagged = _flagged(spark, d)

@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stallwatch.plans.skew import lookup
 from stallwatch.session import cut_lineage
 
+# Up to so many flags the patterns themselves are few and are exploded directly.
+PROJECTED_ABOVE = 20
+
 
 def _patterns(df: DataFrame, flags: Sequence[str], label: str) -> DataFrame:
     """Distinct flag patterns with their row and positive counts.
@@ -27,9 +31,12 @@ def itemset_counts(df: DataFrame, flags: Sequence[str], label: str, *, min_suppo
     """(antecedent, size, n, hits, total, total_hits) of every frequent set of up to ``max_size`` flags.
 
     Grows sets level by level: a set is extended only by later items, and only frequent sets are extended,
-    which loses nothing because support cannot grow. Null flags count as absent.
+    which loses nothing because support cannot grow. Null flags count as absent. With more than ``PROJECTED_ABOVE`` flags rows are
+    projected on frequent prefixes instead, see :func:`projected_itemset_counts`; both ways give the same sets.
     """
     flags = sorted(flags)
+    if len(flags) > PROJECTED_ABOVE:
+        return projected_itemset_counts(df, flags, label, min_support=min_support, max_size=max_size)
     patterns = cut_lineage(_patterns(df, flags, label))  # the table is read once; every level works on patterns
     items = F.filter(F.array(*[F.when(F.col(f"b{i}") == 1, F.lit(c)) for i, c in enumerate(flags)]), lambda x: x.isNotNull())
     totals = patterns.agg(F.struct(F.sum("n").alias("n"), F.sum("hits").alias("hits")).alias("t")).scalar()
@@ -51,6 +58,51 @@ def itemset_counts(df: DataFrame, flags: Sequence[str], label: str, *, min_suppo
     return out.select(F.col("__set").alias("antecedent"), "size", "n", "hits", totals["n"].alias("total"), totals["hits"].alias("total_hits"))
 
 
+def projected_itemset_counts(df: DataFrame, flags: Sequence[str], label: str, *, min_support: float = 0.001, max_size: int = 4) -> DataFrame:
+    """The counts of :func:`itemset_counts` for hundreds of flags, by prefix-projected rows (after parallel FP-growth, Li et al. 2008).
+
+    Items are ordered from rare to common, so the rows of a common prefix have little left. A level holds, for every frequent
+    prefix, what rows with it still have to offer: only items that are frequent together with the prefix, and equal remainders as
+    one counted row. Counts are summed before the shuffle and remainders are dealt out by their content, so a common
+    prefix is no single group; nothing larger than the list of flags is held by a task or sent to the driver.
+    """
+    flags = sorted(flags)
+    present = F.filter(F.array(*[F.when(F.col(f"`{c}`").cast("boolean"), F.lit(i)) for i, c in enumerate(flags)]), lambda x: x.isNotNull())
+    y = F.coalesce(F.col(label).cast("long"), F.lit(0))
+    sums = [F.sum("n").alias("n"), F.sum("hits").alias("hits")]
+    rows = df.select(present.alias("rest"), y.alias("hits"), F.lit(1).cast("long").alias("n"))
+    patterns = cut_lineage(rows.groupBy("rest").agg(*sums))
+    total = patterns.agg(*sums).first()
+    n_all, hits_all = total["n"] or 0, total["hits"] or 0
+    singles = patterns.select(F.explode("rest").alias("item"), "n", "hits").groupBy("item").agg(*sums).collect()  # one row a flag
+    rank = {r["item"]: i for i, r in enumerate(sorted((r for r in singles if r["n"] / n_all >= min_support), key=lambda r: (r["n"], r["item"])))}
+    item_of = {i: flags[item] for item, i in rank.items()}
+    empty = df.sparkSession.createDataFrame([], "antecedent array<string>, size int, n bigint, hits bigint, total bigint, total_hits bigint")
+    if not rank:
+        return empty
+    ranks = F.create_map(*[F.lit(v) for pair in rank.items() for v in pair])
+    ranked = F.array_sort(F.filter(F.transform("rest", lambda i: F.try_element_at(ranks, i)), lambda r: r.isNotNull()))
+    level = patterns.select(F.array().cast("array<int>").alias("prefix"), ranked.alias("rest"), "n", "hits").filter(F.size("rest") > 0)
+    level = cut_lineage(level.groupBy("prefix", "rest").agg(*sums))
+    found = []
+    for size in range(1, max_size + 1):
+        counted = level.select("prefix", F.explode("rest").alias("item"), "n", "hits").groupBy("prefix", "item").agg(*sums)
+        counted = cut_lineage(counted.filter(F.col("n") / n_all >= min_support))
+        found.append(counted.select(F.concat("prefix", F.array("item")).alias("set"), F.lit(size).alias("size"), "n", "hits"))
+        if size == max_size:
+            break
+        allowed = counted.groupBy("prefix").agg(F.collect_list("item").alias("allowed"))  # at most all flags
+        kept = lookup(level, allowed, ["prefix"], "inner").select("prefix", F.array_sort(F.array_intersect("rest", "allowed")).alias("rest"), "n", "hits")
+        split = F.transform("rest", lambda item, i: F.struct(item.alias("item"), F.slice("rest", i + 2, F.size("rest")).alias("rest")))
+        split = F.explode(F.filter(split, lambda s: F.size(s["rest"]) > 0)).alias("s")
+        deeper = kept.groupBy("prefix", "rest").agg(*sums).select("prefix", split, "n", "hits")
+        level = cut_lineage(deeper.select(F.concat("prefix", F.array("s.item")).alias("prefix"), F.col("s.rest").alias("rest"), "n", "hits").groupBy("prefix", "rest").agg(*sums))
+    names = F.create_map(*[F.lit(v) for pair in item_of.items() for v in pair])
+    out = reduce(lambda a, b: a.unionByName(b), found)
+    antecedent = F.array_sort(F.transform("set", lambda r: F.try_element_at(names, r)))
+    return out.select(antecedent.alias("antecedent"), "size", "n", "hits", F.lit(n_all).cast("long").alias("total"), F.lit(hits_all).cast("long").alias("total_hits"))
+
+
 def frequent_itemsets(df: DataFrame, flags: Sequence[str], label: str, *, min_support: float = 0.001, max_size: int = 4) -> DataFrame:
     """(antecedent, size, n, support)."""
     counts = itemset_counts(df, flags, label, min_support=min_support, max_size=max_size)

@@ -1,5 +1,6 @@
 """Graph, clusters, rules, models and explanations on small tables against brute force."""
 
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -123,6 +124,30 @@ def test_cluster_buckets_and_unseen_identities(spark):
     assert got["i2"]["cf_any_small_cluster"] and got["i10"]["cf_power_user_count"] == 1
 
 
+def test_projected_prefixes_give_the_exact_sets(spark):
+    rng = random.Random(3)
+    names = [f"f{i:02d}" for i in range(30)]
+    rows = [tuple((rng.random() < 0.5 / (1 + i % 6)) if rng.random() > 0.05 else None for i in range(30)) + (rng.choice([0, 1, None]),) for _ in range(400)] + [tuple([True] * 12 + [False] * 18 + [1])] * 150
+    df = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in names) + ", y int")
+    want = {}
+    for size in range(1, 5):
+        for combo in itertools.combinations(range(30), size):
+            hit = [r for r in rows if all(r[i] for i in combo)]
+            if len(hit) / len(rows) >= 0.1:
+                want[tuple(names[i] for i in combo)] = (size, len(hit), sum(r[-1] or 0 for r in hit), len(rows), sum(r[-1] or 0 for r in rows))
+    got = {tuple(r.antecedent): tuple(r)[1:] for r in R.itemset_counts(df, names, "y", min_support=0.1).collect()}
+    assert got == want and len(want) > 500
+    assert R.itemset_counts(df.limit(0), names, "y").count() == 0 and R.itemset_counts(df, names, "y", min_support=1.1).count() == 0
+
+
+def test_three_hundred_flags_end(spark):
+    names = [f"f{i:03d}" for i in range(300)]
+    df = spark.range(3000).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)) == 0).alias(n) for i, n in enumerate(names)], (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = R.itemset_counts(df, names, "y", min_support=0.001).groupBy("size").count().collect()
+    sizes = {r["size"]: r["count"] for r in out}
+    assert sizes[1] == 300 and sizes[2] > 1000
+
+
 def test_itemsets_and_rules_match_enumeration(spark):
     rng = random.Random(2)
     names = ["c", "a", "d", "b", "e"]
