@@ -3,6 +3,7 @@
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallwatch.catalog import query
 from stallwatch.catalog.tables import LIFECYCLE_SQL, lifecycle, r, rounded, table
@@ -166,6 +167,36 @@ def bulk_ingest(spark, d):
     return report.select("events_processed", "events_stored", F.size("errors").alias("reported"))
 
 
+@query("""
+SELECT 'event' AS kind, '' AS reason, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'signup')
+UNION ALL SELECT 'reject', CASE WHEN event_type = 'error' THEN 'error' ELSE 'signup' END, count(*) FROM events WHERE event_type IN ('error', 'signup') GROUP BY 2""")
+def batch_rejects(spark, d):
+    """A batch stored with its rejects: no event is lost."""
+    folder = scratch_folder(spark, "batch")
+    I.ingest_batch(_json_events(spark, d), folder)
+    events = I.stored_events(spark, f"{folder}/events").agg(F.lit("event").alias("kind"), F.lit("").alias("reason"), F.count(F.lit(1)).alias("n"))
+    rejects = spark.read.parquet(f"{folder}/rejected")
+    kind = F.when(F.array_contains("errors", "missing user_id"), "error").when(F.array_contains("errors", "fraud_score outside 0-100"), "signup")
+    return events.unionByName(rejects.groupBy(F.lit("reject").alias("kind"), kind.alias("reason")).agg(F.count(F.lit(1)).alias("n")))
+
+
+_LINE = "CASE WHEN event_id % 97 = 0 THEN 'ragged line' WHEN event_id % 89 = 0 THEN 'bad value' WHEN event_id % 83 = 0 THEN 'value outside 0-1000' ELSE '' END"
+
+
+@query(f"SELECT {_LINE} AS reason, count(*) AS n, CAST(sum(CASE WHEN {_LINE} = '' THEN event_id ELSE 0 END) AS BIGINT) AS ids FROM events GROUP BY 1")
+def feed_rejects(spark, d):
+    """A feed with ragged, unparseable and out-of-range lines: rows and rejects are all lines."""
+    folder, i = scratch_folder(spark, "rejects"), F.col("event_id")
+    value = F.when(i % 89 == 0, "n/a").when(i % 83 == 0, "-5").otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(";", i.cast("string"), F.col("user_id").cast("string"), F.when(i % 97 != 0, value))
+    rows = table(spark, d, "events").select(line.alias("value"))
+    rows.write.text(f"{folder}/in")
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    good, bad = S.read_csv_checked(spark, f"{folder}/in", ";", schema, f"{folder}/out", checks={"value outside 0-1000": F.col("value").between(0, 1000)}, options={"header": "false"})
+    told = bad.select(F.array_join("errors", ",").alias("reason"), F.lit(0).cast("long").alias("event_id")).unionByName(good.select(F.lit("").alias("reason"), "event_id"))
+    return told.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("""
 SELECT count(*) AS total_events, count(DISTINCT user_id) AS unique_insertions, count(DISTINCT json_extract_string(props, '$.k')) AS unique_emails, CAST(1 AS BIGINT) AS unique_phones,
  CAST(1 AS BIGINT) AS unique_ips, CAST(1 AS BIGINT) AS unique_devices, CAST(1 AS BIGINT) AS unique_users FROM events WHERE event_type NOT IN ('error', 'signup')""")

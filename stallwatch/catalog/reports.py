@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stallwatch.catalog import query
 from stallwatch.catalog.tables import LIFECYCLE_SQL, LISTINGS_SQL, PREDICTIONS_SQL, lifecycle, listings, predictions, rounded, table
 from stallwatch.operators import aggregates as A
+from stallwatch.session import scratch_folder
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -19,6 +20,32 @@ def table_summary(spark, d):
     return A.summary(lifecycle(spark, d), "user_id", "label", "event_type")[0]
 
 
+@query("""SELECT 'user_id' AS name, count(DISTINCT user_id) AS exact, true AS close FROM events UNION ALL SELECT 'props', count(DISTINCT props), true FROM events UNION ALL SELECT 'event_id', count(DISTINCT event_id), true FROM events""")
+def sketched_distincts(spark, d):
+    """Distinct counts merged from stored daily sketches, next to exact ones: within two per cent."""
+    names, folder = ["user_id", "props", "event_id"], scratch_folder(spark, "sketches")
+    e = table(spark, d, "events")
+    A.add_sketches(e.filter(F.dayofmonth("ts") < 20), names, F.to_date("ts"), folder)
+    A.add_sketches(e.filter(F.dayofmonth("ts") >= 20), names, F.to_date("ts"), folder)
+    exact = A.distinct_counts(e, names).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"distinct_{n}").alias("exact")) for n in names])))
+    merged = A.merged_distincts(spark.read.parquet(folder))
+    return exact.join(merged, "name").select("name", "exact", (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.02).alias("close"))
+
+
+_SETS = """SELECT s.country, s.brand, s.in_country, s.in_brand, n, positives, round(rate, 6) AS rate FROM (
+ SELECT country, brand, grouping(country) = 0 AS in_country, grouping(brand) = 0 AS in_brand, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, avg(y) AS rate
+ FROM (SELECT nullif(s_nationkey, 3) AS country, nullif(p_brand, 'Brand#11') AS brand, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
+ GROUP BY GROUPING SETS ((country), (brand), (country, brand), ())) s"""
+
+
+@query(_SETS)
+def positive_rates_over_sets(spark, d):
+    """Rates by country, by brand, by both and over all, with categories that are null."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = li.select(F.nullif("s_nationkey", F.lit(3)).alias("country"), F.nullif("p_brand", F.lit("Brand#11")).alias("brand"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return rounded(A.positive_rate_sets(rows, [["country"], ["brand"], ["country", "brand"], []], "y"), ["rate"])
+
+
 @query("SELECT count(DISTINCT user_id) AS distinct_user_id, count(DISTINCT event_type) AS distinct_event_type, count(DISTINCT props) AS distinct_props FROM events")
 def distinct_identities(spark, d):
     return A.distinct_counts(table(spark, d, "events"), ["user_id", "event_type", "props"])

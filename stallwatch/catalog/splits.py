@@ -27,6 +27,14 @@ def temporal_split(spark, d):
     return _both((train, test))
 
 
+@query(f"""
+WITH e AS ({LIFECYCLE_SQL}) SELECT 'train' AS side, count(*) AS n, max(ts) AS edge FROM e WHERE {_T} UNION ALL SELECT 'test', count(*), min(ts) FROM e WHERE {_S}""")
+def checked_split(spark, d):
+    """A clean split passes the check that its plan carries, and its edges show why."""
+    train, test = L.temporal_split(lifecycle(spark, d), COLUMNS, SPLIT)
+    return train.agg(F.lit("train").alias("side"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("edge")).unionByName(test.agg(F.lit("test").alias("side"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("edge")))
+
+
 @query(f"""
 WITH e AS ({LIFECYCLE_SQL}), a AS (SELECT * FROM e WHERE ts <= TIMESTAMP '2024-01-02'), b AS (SELECT * FROM e WHERE {_S} AND user_id NOT IN (SELECT user_id FROM a))
 SELECT 'train' AS side, event_id, CAST(coalesce(max(CAST(flag_ts <= TIMESTAMP '2024-01-02' AS INT)) OVER (PARTITION BY user_id), 0) AS TINYINT) AS is_fraud FROM a

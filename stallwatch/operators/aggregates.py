@@ -17,10 +17,32 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], *, approximate: float | None = None) -> DataFrame:
-    """One row of distinct non-null counts; ``approximate`` gives the allowed relative error instead."""
+    """One row of distinct non-null counts; ``approximate`` gives the allowed relative error instead.
+
+    Each exact count reads its own column only: counted together they would copy every row once per column.
+    """
     if approximate:
         return df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), approximate).alias(f"distinct_{c}") for c in columns])
-    return df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"distinct_{c}") for c in columns])
+    one = df.sparkSession.range(1)
+    return one.select(*[df.agg(F.count_distinct(F.col(f"`{c}`"))).scalar().alias(f"distinct_{c}") for c in columns])
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, log_size: int = 14) -> DataFrame:
+    """(by..., name, sketch): mergeable counts of distinct values, to be stored per period (relative error about 0.8 % at 14)."""
+    made = df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(log_size)).alias(f"__s{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"__s{i}").alias("sketch")) for i, c in enumerate(columns)])
+    return made.select(*by, F.inline(cells))
+
+
+def add_sketches(df: DataFrame, columns: Sequence[str], day: Column, folder: str, *, log_size: int = 14) -> None:
+    """Store the sketches of the days in ``df`` as ``day=`` partitions, replacing those days and reading no other."""
+    sketches = distinct_sketches(df.withColumn("day", day), columns, ["day"], log_size=log_size)
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+
+
+def merged_distincts(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., name, distinct): estimates over all sketches of a name, whatever periods they are from."""
+    return sketches.groupBy(*by, "name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
 def entity_profile(
@@ -92,8 +114,26 @@ def positive_rate(df: DataFrame, by: Sequence[str | Column], label: str, *, at_l
 
 def positive_rate_report(df: DataFrame, dimensions: Sequence[str], label: str, *, at_least: int = 1) -> DataFrame:
     """Positive rate for every value of every dimension, in one shuffle: (dimension, category, n, positives, rate)."""
-    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"`{d}`").cast("string").alias("category")) for d in dimensions])
-    return positive_rate(df.select(label, F.explode(cells).alias("__c")).select(label, "__c.*"), ["dimension", "category"], label, at_least=at_least)
+    found = positive_rate_sets(df, [[d] for d in dimensions], label, at_least=at_least)
+    name = category = F
+    for d in dimensions:
+        mine = F.col(f"in_{d}")
+        name, category = name.when(mine, F.lit(d)), category.when(mine, F.col(f"`{d}`").cast("string"))
+    return found.select(name.alias("dimension"), category.alias("category"), "n", "positives", "rate")
+
+
+def positive_rate_sets(df: DataFrame, sets: Sequence[Sequence[str]], label: str, *, at_least: int = 1) -> DataFrame:
+    """Positive rate over each of several sets of dimensions, in one aggregation; the empty set is the grand total.
+
+    Adds ``in_<dimension>``: whether the row is grouped by it, which tells a null category from a subtotal.
+    """
+    dimensions = list(dict.fromkeys(d for s in sets for d in s))
+    y = F.col(f"`{label}`")
+    grouped = df.groupingSets([[F.col(f"`{d}`") for d in s] for s in sets], *[F.col(f"`{d}`") for d in dimensions]).agg(
+        *[(F.grouping(F.col(f"`{d}`")) == 0).alias(f"in_{d}") for d in dimensions],
+        F.count(F.lit(1)).alias("n"), F.sum(y.cast("long")).alias("positives"), F.avg(y.cast("double")).alias("rate"),
+    )
+    return grouped.filter(F.col("n") >= at_least)
 
 
 def event_and_entity_rate(df: DataFrame, key: str, label: str) -> DataFrame:

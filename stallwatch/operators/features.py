@@ -58,8 +58,9 @@ def fill_numbers(df: DataFrame, columns: Sequence[str], value: float = 0.0) -> D
 
 
 def with_missing_flags(df: DataFrame, columns: Sequence[str], suffix: str = "_missing") -> tuple[DataFrame, list[str]]:
-    """Value filled with 0 plus an indicator, for trees without a missing-value branch."""
-    flags = {c + suffix: F.col(f"`{c}`").isNull().cast("double") for c in columns}
+    """Value filled with 0 plus an indicator, for trees without a missing-value branch; NaN counts as missing."""
+    missing = {c: F.col(f"`{c}`").isNull() | F.coalesce(F.isnan(F.col(f"`{c}`").try_cast("double")), F.lit(False)) for c in columns}
+    flags = {c + suffix: m.cast("double") for c, m in missing.items()}
     return fill_numbers(df.withColumns(flags), columns), [*columns, *flags]
 
 

@@ -79,6 +79,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, marks that table scans pass over included."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder this library wrote, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stallwatch.plans.skew import lookup
 
 BUCKETS = ("approved", "declined")
 
 
-def decision_rows(scored: DataFrame, *, admin: str = "auto") -> DataFrame:
-    """Add bucket and date, and flatten the event summary map to ``evt_*`` text columns when present."""
+def decision_rows(scored: DataFrame, *, admin: str = "auto", summary: str | None = "event", names: Sequence[str] = ()) -> DataFrame:
+    """Add bucket and date, and flatten the event fields (a map or struct named ``summary``) to ``evt_*`` text columns when present."""
+    if summary is not None and summary in scored.columns:
+        kind = scored.schema[summary].dataType
+        scored = flatten_summary(scored, summary, kind.fieldNames() if isinstance(kind, StructType) else list(names))
     out = scored.withColumns(
         {
             "admin_id": F.col("admin_id") if "admin_id" in scored.columns else F.lit(admin),

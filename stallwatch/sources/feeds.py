@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwatch.functions.scalar import LIFECYCLE_TIME_FORMAT, REFERENCE_ID_PATTERN, SIGNAL_TIME_FORMAT, extract_id, lower_in, parse_time
 from stallwatch.operators.aggregates import summary
 from stallwatch.operators.windows import first_per
+from stallwatch.session import path_exists
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,30 @@ def read_csv(spark: SparkSession, path: str, separator: str, schema: T.StructTyp
     return spark.read.schema(schema).option("sep", separator).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, separator: str, schema: T.StructType, folder: str, *, checks: dict[str, Column] | None = None, options: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a CSV scan, both stored below ``folder`` by one pass: every line ends up in exactly one of them.
+
+    A reject is (line, errors). Reasons: ``ragged line`` (too few or too many fields, or broken quotes), ``bad <column>`` for text that
+    is not of the column's type, and the names of ``checks`` whose condition on the typed columns is false (null passes).
+    """
+    corrupt = "__line"
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(corrupt, T.StringType())])
+    read = spark.read.schema(text).options(**{"sep": separator, "header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, **(options or {})}).csv(path)
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
+    own = F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema]), {"sep": separator})
+    bad = [F.when(F.col(f"`{n}`").isNotNull() & v.isNull(), F.lit(f"bad {n}")) for n, v in typed.items()]
+    read = read.select(*[v.alias(n) for n, v in typed.items()], F.coalesce(corrupt, own).alias(corrupt), F.when(F.col(corrupt).isNotNull(), F.array(F.lit("ragged line"))).otherwise(F.filter(F.array(*bad), lambda e: e.isNotNull())).alias("__errors"))
+    failed = F.filter(F.array(*[F.when(~c, F.lit(n)) for n, c in (checks or {}).items()]), lambda e: e.isNotNull()) if checks else F.array().cast("array<string>")
+    judged = read.withColumn("__errors", F.when(F.size("__errors") > 0, F.col("__errors")).otherwise(failed))
+    judged = judged.withColumn("__rejected", F.size("__errors") > 0)
+    judged.write.mode("overwrite").option("compression", "zstd").partitionBy("__rejected").parquet(folder)
+    stored = spark.read.schema(judged.schema).parquet(folder)
+    rows = stored.filter(~F.col("__rejected")).select(*[F.col(f"`{f.name}`") for f in schema])
+    return rows, stored.filter("__rejected").select(F.col(corrupt).alias("line"), F.col("__errors").alias("errors"))
+
+
 def lifecycle_rows(df: DataFrame, feed: LifecycleFeed) -> DataFrame:
     """Parse id and time, drop unusable or excluded rows, keep the first event per (id, status)."""
     parsed = df.withColumns({"INSERTION_ID": extract_id(feed.id_source, feed.id_pattern), "event_dt": parse_time(feed.time, LIFECYCLE_TIME_FORMAT)})
@@ -96,11 +121,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite", only_if_missing: bool = False) -> None:
-    """Zstandard Parquet sink; ``only_if_missing`` leaves an existing table alone."""
-    writer = df.write.option("compression", "zstd").mode("ignore" if only_if_missing else mode)
+    """Zstandard Parquet sink; ``only_if_missing`` leaves a finished table alone, and overwrites what a broken write left."""
+    if only_if_missing and finished(df.sparkSession, path):
+        return
+    writer = df.write.option("compression", "zstd").mode("overwrite" if only_if_missing else mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table's last write was committed: its success mark is there."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def write_summary(df: DataFrame, path: str, key: str, label: str, status: str) -> None:
     """Table summary and status distribution as JSON."""
     totals, statuses = summary(df, key, label, status)

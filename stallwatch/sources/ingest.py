@@ -106,6 +106,17 @@ def append_events(events: DataFrame, folder: str) -> None:
     ).parquet(folder)
 
 
+def ingest_batch(raw: DataFrame, folder: str, *, column: str = "value") -> DataFrame:
+    """Store a batch of JSON texts: valid events by day, rejects with text and reasons aside. Returns the report of :func:`bulk_report`.
+
+    Parsed once and stored, so events, rejects and report come from the same reading.
+    """
+    parsed = cut_lineage(parse_events(raw, column))
+    append_events(valid(parsed), f"{folder}/events")
+    rejected(parsed).write.mode("append").option("compression", "zstd").parquet(f"{folder}/rejected")
+    return bulk_report(parsed)
+
+
 def stored_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
@@ -113,4 +124,4 @@ def stored_events(spark: SparkSession, folder: str) -> DataFrame:
 def store_stats(events: DataFrame) -> DataFrame:
     """Totals and distinct identities of the stored events."""
     distinct = {"insertions": "insertion_id", "emails": "email_hash", "phones": "phone_hash", "ips": "ip_hash", "devices": "device_hash", "users": "user_id"}
-    return events.agg(F.count(F.lit(1)).alias("total_events"), *[F.count_distinct(c).alias(f"unique_{n}") for n, c in distinct.items()])
+    return events.agg(F.count(F.lit(1)).alias("total_events")).withColumns({f"unique_{n}": events.agg(F.count_distinct(c)).scalar() for n, c in distinct.items()})

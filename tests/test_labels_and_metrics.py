@@ -183,3 +183,37 @@ def test_detector_state_survives_a_dump():
         assert a == b
         fired += a
     assert fired
+
+
+def test_a_leaking_split_fails_in_the_action(spark):
+    rows = [(i, datetime(2024, 1, 1 + i), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, t timestamp, f timestamp")
+    c = L.SplitColumns(key="id", time="t", flag="f", tie="id", label="y")
+    train, test = L.temporal_split(df, c, L.Split(datetime(2024, 1, 10), datetime(2024, 1, 18), gap_days=-5))
+    with pytest.raises(Exception, match="temporal leak"):
+        test.collect()
+    with pytest.raises(Exception, match="temporal leak"):
+        train.count()
+    train, test = L.temporal_split(df, c, L.Split(datetime(2024, 1, 10), datetime(2024, 1, 18), gap_days=2))
+    assert train.count() == 10 and test.count() == 6
+    assert L.temporal_split(df.limit(0), c, L.Split(datetime(2024, 1, 10), datetime(2024, 1, 18)))[0].count() == 0
+    bad = [L.Fold(1, None, datetime(2024, 1, 10), datetime(2024, 1, 5), datetime(2024, 1, 18))]
+    with pytest.raises(Exception, match="temporal leak in fold 1"):
+        L.assign_folds(df, c, bad).count()
+
+
+def test_sketches_merge_and_sets_tell_nulls_from_totals(spark, tmp_path):
+    from stallwatch.operators import aggregates as A
+
+    df = spark.range(40000).select((F.col("id") % 7000).alias("a"), F.expr("date_add(DATE'2024-01-01', CAST(id % 3 AS INT))").alias("d"), F.when(F.col("id") % 2 == 0, "x").alias("g"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    folder = str(tmp_path / "s")
+    A.add_sketches(df.filter("d < DATE'2024-01-03'"), ["a"], F.col("d"), folder)
+    before = {p.name: p.stat().st_mtime for p in (tmp_path / "s").glob("day=*/*.parquet")}
+    A.add_sketches(df.filter("d = DATE'2024-01-03'"), ["a"], F.col("d"), folder)
+    A.add_sketches(df.filter("d = DATE'2024-01-03'"), ["a"], F.col("d"), folder)  # a repeated day replaces itself
+    after = {p.name: p.stat().st_mtime for p in (tmp_path / "s").glob("day=*/*.parquet")}
+    assert before.items() <= after.items() and spark.read.parquet(folder).count() == 3
+    assert abs(A.merged_distincts(spark.read.parquet(folder)).first().distinct / 7000 - 1) < 0.02
+    assert A.distinct_counts(df, ["a", "g"]).first().asDict() == {"distinct_a": 7000, "distinct_g": 1}
+    got = {(r.g, r.in_g): (r.n, r.positives) for r in A.positive_rate_sets(df, [["g"], []], "y").collect()}
+    assert got == {("x", True): (20000, 4000), (None, True): (20000, 4000), (None, False): (40000, 8000)}

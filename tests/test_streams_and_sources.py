@@ -1,5 +1,6 @@
 """Streams give what the batch form gives; sinks are repeatable; feeds tolerate bad rows."""
 
+import json
 import time
 from datetime import datetime, timedelta
 
@@ -200,3 +201,42 @@ def test_checkpoint_folder_follows_the_session(spark):
 
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
     assert cut_lineage(spark.range(5)).count() == 5
+
+
+def test_every_csv_line_is_a_row_or_a_reject(spark, tmp_path):
+    from pyspark.sql import types as T
+    from stallwatch.sources.feeds import finished, read_csv_checked, write_table
+
+    lines = ["id;v;t", "1;2.5;a", "2;x;b", "3;-1;c", "4", "5;1;d;more", "6;;", ";7;e", '8;1;"open', "9;3;f"]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("t", T.StringType())])
+    rows, rejects = read_csv_checked(spark, str(tmp_path / "in.csv"), ";", schema, str(tmp_path / "out"), checks={"v below 0": F.col("v") >= 0})
+    told = {r.line: r.errors for r in rejects.collect()}
+    assert told["2;x;b"] == ["bad v"] and told["3;-1;c"] == ["v below 0"]
+    assert told["4"] == ["ragged line"] and told["5;1;d;more"] == ["ragged line"]
+    assert {r.id for r in rows.collect()} >= {1, 6, None} and rows.count() + rejects.count() == len(lines) - 1
+    target = str(tmp_path / "table")
+    (tmp_path / "table").mkdir()  # what a crashed write leaves
+    assert not finished(spark, target)
+    write_table(rows, target, only_if_missing=True)
+    assert finished(spark, target) and spark.read.parquet(target).count() == rows.count()
+    write_table(rows.limit(0), target, only_if_missing=True)
+    assert spark.read.parquet(target).count() == rows.count()
+
+
+def test_batch_ingest_keeps_rejects(spark, tmp_path):
+    from stallwatch.sources.ingest import ingest_batch
+
+    good = {c: "x" for c in ("insertion_id", "user_id", "email_hash", "phone_hash", "ip_hash", "device_hash")} | {"event_type": "DELETED", "event_timestamp": "2024-01-01T00:00:00Z"}
+    texts = [json.dumps(good), json.dumps(good | {"fraud_score": 101}), "{broken", json.dumps(good | {"event_type": "NO"})]
+    report = ingest_batch(spark.createDataFrame([(t,) for t in texts], "value string"), str(tmp_path)).first()
+    assert (report.events_processed, report.events_stored, len(report.errors)) == (4, 1, 3)
+    assert {r.raw for r in spark.read.parquet(f"{tmp_path}/rejected").collect()} == set(texts[1:])
+
+
+def test_decisions_carry_their_event_fields(spark):
+    from stallwatch.sources.decisions import decision_rows, retrain_rows
+
+    rows = spark.sql("SELECT 'a' AS insertion_id, 0.9D AS fraud_probability, 'DECLINE' AS admin_decision, TIMESTAMP'2024-01-01' AS decided_at, named_struct('price', 5, 'kind', 'k') AS event")
+    out = decision_rows(rows)
+    assert out.first().evt_price == "5" and "event" not in out.columns and {"evt_price", "evt_kind"} <= set(retrain_rows(out).columns)
