@@ -9,7 +9,9 @@ from stallwatch.catalog.tables import rounded, table
 from stallwatch.operators import explain as X
 from stallwatch.operators import models as M
 from stallwatch.operators.features import encode_for_model, fill_numbers, scaled
-from stallwatch.operators.labels import SplitColumns, assign_folds, expanding_folds
+from stallwatch.functions.scalar import time_features
+from stallwatch.operators.graph_inputs import GraphInputs, split_inputs
+from stallwatch.operators.labels import Split, SplitColumns, assign_folds, expanding_folds
 from stallwatch.operators.metrics import ranking_metrics
 from stallwatch.registry import Variant
 
@@ -62,15 +64,66 @@ def standardised_numbers(spark, d):
     return rounded(out.select("p_partkey", F.col("v")[0].alias("size"), F.col("v")[1].alias("price")), ["size", "price"], 5)
 
 
+GRAPH = GraphInputs(SplitColumns(key="o_orderkey", time="o_orderdate", flag="flagged_at", tie="o_orderkey", label="y"), {"customer": ["o_custkey"]}, ["o_totalprice"])
+GRAPH_NUMBERS, GRAPH_CATEGORIES = ["o_totalprice", "event_hour", "event_weekday"], ["o_orderstatus"]
+GRAPH_SPLIT = Split(datetime(2000, 1, 1), datetime(2001, 6, 1), 7)
+
+
+def _order_events(spark, d):
+    """Orders as listings of a customer; an urgent or very dear one is flagged ten days later."""
+    o = table(spark, d, "orders")
+    bad = (F.col("o_orderpriority") == "1-URGENT") | (F.col("o_totalprice") > 400_000)
+    rows = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", F.when(bad, F.col("o_orderdate") + F.expr("INTERVAL 10 DAYS")).alias("flagged_at"))
+    return rows.withColumns(time_features("o_orderdate"))
+
+
+def _graph_split(spark, d):
+    return split_inputs(_order_events(spark, d), GRAPH_SPLIT, GRAPH)
+
+
 @query()
 def model_variants(spark, d):
-    train, test = _split(spark, d)
+    """All five variants over one split, graph features assembled inside it."""
+    sides = _graph_split(spark, d)
+
+    def fit(variant, numbers=(), **settings):
+        return lambda train: M.fit_variant(train, "y", variant, numbers=[*GRAPH_NUMBERS, *numbers], categories=GRAPH_CATEGORIES, **settings)
+
+    boosted = {"positive_weight": 3.0}
     fits = {
-        Variant.LOGISTIC.value: _fit(Variant.LOGISTIC),
-        Variant.FOREST.value: _fit(Variant.FOREST),
-        Variant.BOOSTED.value: _boosted,
+        Variant.LOGISTIC.value: fit(Variant.LOGISTIC),
+        Variant.FOREST.value: fit(Variant.FOREST),
+        Variant.BOOSTED.value: fit(Variant.BOOSTED, **boosted),
+        Variant.GRAPH_VECTORS.value: fit(Variant.GRAPH_VECTORS, vector=sides.vector, vector_size=sides.vector_size, **boosted),
+        Variant.GRAPH_FEATURES.value: fit(Variant.GRAPH_FEATURES, [*sides.history, *sides.clusters], **boosted),
     }
-    return M.train_variants(train, test, "y", fits)[1]
+    return M.train_variants(sides.train, sides.test, "y", fits)[1]
+
+
+_CUTS = {"train": ("TIMESTAMP '2000-01-01'", "o_orderdate <= TIMESTAMP '2000-01-01'"), "test": ("TIMESTAMP '2001-06-01'", "o_orderdate > TIMESTAMP '2000-01-08' AND o_orderdate <= TIMESTAMP '2001-06-01'")}
+
+
+def _inputs_sql(side):
+    cut, where = _CUTS[side]
+    return f"""SELECT '{side}' AS side, o.o_orderkey, CAST(coalesce(o.flagged_at <= {cut}, false) AS TINYINT) AS y, h.prior, h.flagged, CAST(greatest(1, least(100, coalesce(k.n, 1))) AS INT) AS cluster_size, coalesce(v.x, 0) AS neighbour_price
+FROM e o JOIN (SELECT a.o_orderkey, count(b.o_orderkey)::DOUBLE AS prior, (count(*) FILTER (b.flagged_at IS NOT NULL AND greatest(b.flagged_at, b.o_orderdate) < a.o_orderdate))::DOUBLE AS flagged FROM e a LEFT JOIN e b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate GROUP BY 1) h USING (o_orderkey)
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM e WHERE o_orderdate <= TIMESTAMP '2000-01-01' GROUP BY 1) k ON k.o_custkey = o.o_custkey
+LEFT JOIN (SELECT dst, avg(price) AS x FROM (SELECT b.o_orderkey AS dst, a.o_totalprice AS price, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate, b.o_orderkey) AS rn
+ FROM e a JOIN e b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate WHERE b.o_orderdate <= {cut}) WHERE rn <= 100 GROUP BY 1) v ON v.dst = o.o_orderkey WHERE {where}"""
+
+
+@query(f"""WITH e AS (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' OR o_totalprice > 400000 THEN o_orderdate + INTERVAL 10 DAY END AS flagged_at FROM orders)
+SELECT side, o_orderkey, y, prior, flagged, cluster_size, round(neighbour_price, 3) AS neighbour_price FROM ({_inputs_sql('train')} UNION ALL {_inputs_sql('test')})""")
+def split_with_graph_inputs(spark, d):
+    """What the graph variants read, row by row: label, history, cluster size and the first entry of the graph vector."""
+    sides, out = _graph_split(spark, d), None
+    for name, rows in (("train", sides.train), ("test", sides.test)):
+        one = rows.select(
+            F.lit(name).alias("side"), "o_orderkey", "y", F.col("o_custkey_prior_entities").alias("prior"), F.col("o_custkey_prior_flagged").alias("flagged"),
+            F.col("cf_o_custkey_cluster_size").alias("cluster_size"), F.col(sides.vector)[0].alias("neighbour_price"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, ["neighbour_price"], 3)
 
 
 @query()
@@ -131,12 +184,13 @@ def random_search(spark, d):
 
 @query()
 def group_ablation(spark, d):
-    train, test = _split(spark, d)
+    sides = _graph_split(spark, d)
 
     def fit(df, columns):
         return M.fit_variant(df, "y", Variant.BOOSTED, numbers=columns)
 
-    return M.ablation(train, test, "y", {"price": NUMBERS[:2], "terms": NUMBERS[2:]}, fit)
+    groups = {"listing": ["o_totalprice"], "time": ["event_hour", "event_weekday", "event_is_weekend", "event_is_business_hours"], "history": sides.history, "cluster": sides.clusters}
+    return M.ablation(sides.train, sides.test, "y", groups, fit)
 
 
 @query()

@@ -299,3 +299,52 @@ def test_catalog_models_have_the_operators_own_settings(spark, folder, monkeypat
     modelling.random_search(spark, folder)
     (search, given), = searches
     assert (search.trials, search.space) == (10, models.SEARCH_SPACE) and list(given["categories"]) == modelling.CATEGORIES
+
+
+def test_no_row_of_a_split_changes_with_later_events(spark):
+    from stallwatch.operators.graph_inputs import GraphInputs, split_inputs
+    from stallwatch.operators.labels import Split, SplitColumns
+
+    rng = random.Random(8)
+    hours = [rng.randrange(2000) for _ in range(400)]  # a flag is raised at or after its row
+    rows = [(i, f"l{rng.randrange(120)}", T0 + timedelta(hours=hours[i]), None if rng.random() < 0.7 else T0 + timedelta(hours=hours[i] + rng.randrange(600)), rng.choice(["a", "b", "c", None]), f"d{rng.randrange(20)}", rng.random() * 100) for i in range(400)]
+    schema = "i long, l string, t timestamp, f timestamp, ip string, dev string, price double"
+    inputs = GraphInputs(SplitColumns(key="l", time="t", flag="f", tie="i", label="y"), {"ip": ["ip"], "device": ["dev"]}, ["price"])
+    split = Split(T0 + timedelta(hours=1000), T0 + timedelta(hours=1600), 7)
+    whole = split_inputs(spark.createDataFrame(rows, schema), split, inputs)
+    early = split_inputs(spark.createDataFrame([r for r in rows if r[2] <= split.train_end], schema), split, inputs)
+    middle = split_inputs(spark.createDataFrame([r for r in rows if r[2] <= split.test_end], schema), split, inputs)
+    names = ["i", "y", *whole.history, *whole.clusters, whole.vector]
+    flat = lambda v: tuple(round(x, 9) for x in v) if isinstance(v, list) else round(v, 9) if isinstance(v, float) else v  # noqa: E731  sums of floats come in any order
+    rows_of = lambda df: sorted((tuple(map(flat, r)) for r in df.select(names).collect()), key=str)
+    assert rows_of(whole.train) == rows_of(early.train) == rows_of(middle.train) and whole.train.count() > 100
+    assert rows_of(whole.test) == rows_of(middle.test) and whole.test.count() > 50
+    assert all(len(r[0]) == whole.vector_size for r in whole.test.select(whole.vector).collect())
+
+
+@pytest.fixture(scope="module")
+def foldable(spark):
+    rng = random.Random(6)
+    rows = [(fold, role, rng.random(), rng.random(), rng.choice("uv")) for fold in (1, 2) for role, n in (("train", 150), ("test", 80)) for _ in range(n)]
+    return spark.createDataFrame([(f, r, a, b, c, int(a + 0.5 * (c == "u") > 0.8)) for f, r, a, b, c in rows], "fold int, role string, a double, b double, c string, y int")
+
+
+def test_first_trees_are_the_model_of_fewer_rounds(spark, foldable):
+    from stallwatch.operators.features import numeric_stages
+    from stallwatch.operators.models import WEIGHT, class_weights, classifier_for, staged_probabilities
+
+    rows = numeric_stages(["a", "b"], scale=False)[0].transform(class_weights(foldable.withColumn("label", F.col("y").cast("double")), "label", positive_weight=2.0)).select("label", "features", WEIGHT).repartition(1).cache()
+    full = classifier_for(Variant.BOOSTED, 7, maxIter=9, maxDepth=3).fit(rows)
+    few = classifier_for(Variant.BOOSTED, 7, maxIter=4, maxDepth=3).fit(rows)
+    staged = staged_probabilities(full, rows, [4, 9]).select("staged").collect()
+    for r, a, b in zip(staged, few.transform(rows).select("probability").collect(), full.transform(rows).select("probability").collect()):
+        assert r.staged[0] == pytest.approx(a.probability[1], abs=1e-9) and r.staged[1] == pytest.approx(b.probability[1], abs=1e-9)
+
+
+def test_search_scores_every_round_count_of_every_trial(spark, foldable):
+    search = M.Search(space={"maxDepth": (2, 3), "maxIter": (2, 6), "positive_weight": (1.0, 3.0)}, trials=3, round_steps=3)
+    out = search.run(foldable, "y", numbers=["a", "b"], categories=["c"], folds=[1, 2]).collect()
+    assert {(r.trial, r.settings["maxIter"]) for r in out} == {(t, n) for t in range(3) for n in (2.0, 4.0, 6.0)}
+    aps = [r.mean_ap for r in out]
+    assert aps == sorted(aps, reverse=True) and aps[0] > 0.8
+    assert all({"maxDepth", "positive_weight", "maxIter"} == set(r.settings) for r in out)
