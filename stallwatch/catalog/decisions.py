@@ -10,7 +10,9 @@ from stallwatch.catalog.tables import LIFECYCLE_SQL, lifecycle, r, rounded, tabl
 from stallwatch.functions.hashing import SALT_TYPES, Salts
 from stallwatch.functions.scalar import decision, risk_tier
 from stallwatch.plans import etl
-from stallwatch.session import scratch_folder
+from stallwatch.operators.models import fit_variant
+from stallwatch.registry import Variant
+from stallwatch.session import cut_lineage, scratch_folder
 from stallwatch.sources import decisions as D
 from stallwatch.sources import feeds as S
 from stallwatch.sources import ingest as I
@@ -19,6 +21,7 @@ from stallwatch.streaming.enrich import enriched
 from stallwatch.streaming.ingest import deduplicated, start_ingest, table_stream
 from stallwatch.streaming.links import LiveLinks
 from stallwatch.streaming.routing import Router
+from stallwatch.streaming.scoring import EventScorer, ScoringStream, numbered_events
 from stallwatch.streaming.windows import windowed_counts
 
 SALTS = Salts({kind: f"catalog-{kind}-salt" for kind in SALT_TYPES})
@@ -325,6 +328,27 @@ def stream_routing(spark, d):
     return out
 
 
+@query("SELECT count(*) AS n, count(*) AS same FROM events WHERE event_type NOT IN ('error', 'signup')")
+def scored_stream(spark, d):
+    """Events scored by a fitted model as a stream of one micro-batch a week, next to the same events scored at once."""
+    folder, scorer = scratch_folder(spark, "scoring"), EventScorer(["fraud_score", "email_links", "device_links", "event_hour"])
+    raw = _json_events(spark, d)
+    week = F.floor(F.datediff(F.to_date(F.get_json_object("value", "$.event_timestamp")), F.lit("2024-01-01")) / 7)
+    for n in range(5):  # January
+        raw.filter(week == n).coalesce(1).write.mode("append").text(f"{folder}/in")
+        time.sleep(0.02)
+    linked = cut_lineage(scorer.linked(numbered_events(I.parse_events(raw))))
+    history = scorer.features(linked).filter(F.col("event_timestamp") < F.lit("2024-01-15").cast("timestamp"))
+    label = (F.pmod(F.xxhash64("insertion_id"), F.lit(5)) == 0).cast("int")
+    model = fit_variant(history.withColumn("y", label), "y", Variant.LOGISTIC, numbers=scorer.numbers)
+    _finish(ScoringStream(f"{folder}/out", model, scorer).start(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{folder}/in")))
+    stream = spark.read.parquet(f"{folder}/out/scored").drop("batch_id")
+    columns = stream.columns
+    same = F.xxhash64(*[F.to_json(F.struct(c)) for c in columns])
+    both = scorer.score(model, linked).select("event_row", same.alias("a")).join(stream.select("event_row", same.alias("b")), "event_row", "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same"))
+
+
 @query("""
 WITH s AS (SELECT event_id AS signal_id, user_id, ts AS sts FROM events WHERE event_type = 'purchase')
 SELECT e.event_id, s.signal_id FROM events e JOIN s ON e.user_id = s.user_id AND s.sts >= e.ts - INTERVAL 1 HOUR AND s.sts <= e.ts + INTERVAL 2 HOUR WHERE event_type = 'click'""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,8 +50,7 @@ class LiveLinks:
         fresh = first.withColumn("bucket", self.state.bucket()).persist()
         earliest = None if self.ttl_days is None else events.agg(F.min(micros(self.time)).alias("t")).first()["t"]
         horizon = None if earliest is None else earliest - int(self.ttl_days * 86_400_000_000)
-        seen = Observation()
-        near = self.state.read(fresh, batch_id, None if horizon is None else F.lit(horizon)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        near = self.state.read(fresh, batch_id, None if horizon is None else F.lit(horizon))
         known = lookup(near, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi").persist()
         rows = events.select(self.row_id, self.entity, self.time, *[F.col(c).cast("string").alias(c) for c in self.identities.values()])
         past = known.select(
@@ -66,8 +65,7 @@ class LiveLinks:
         write_batch(own.join(counts, "__row").drop("__row"), f"{self.folder}/links", batch_id)
         new = lookup(fresh, known.select("kind", "identity", "entity"), ["kind", "identity", "entity"], "left_anti")
         self.state.append(new.select(*fresh.columns), batch_id)
-        read = batch.sparkSession.range(1).select(F.lit(seen.get["rows"]).cast("long").alias("rows_read"))
-        write_batch(read.coalesce(1), f"{self.folder}/reads", batch_id)
+        write_batch(near.agg(F.count(F.lit(1)).alias("rows_read")), f"{self.folder}/reads", batch_id)  # one narrow column
         self.state.compact(batch.sparkSession, batch_id, fresh.schema, horizon)
         for frame in (events, fresh, known):
             frame.unpersist()

@@ -32,7 +32,7 @@ class Router:
         p = F.col("fraud_probability")
         scored = self.score(batch).withColumns({"risk_tier": risk_tier(p, self.high, self.medium), "admin_decision": decision(p, self.high, self.medium)}).persist()
         decided = scored.filter(F.col("admin_decision") != "REVIEW").withColumn("decided_at", F.col(self.time))
-        rows = decision_rows(decided)
+        rows = decision_rows(decided).drop("event_row", "decision", "confidence", "risk_factors")
         append_decisions(rows, self.folder, batch_id=batch_id)
         append_retrain(rows, self.folder, batch_id=batch_id)
         waiting = scored.filter(F.col("admin_decision") == "REVIEW").withColumn("queued_at", F.col(self.time))

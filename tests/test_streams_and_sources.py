@@ -240,3 +240,45 @@ def test_decisions_carry_their_event_fields(spark):
     rows = spark.sql("SELECT 'a' AS insertion_id, 0.9D AS fraud_probability, 'DECLINE' AS admin_decision, TIMESTAMP'2024-01-01' AS decided_at, named_struct('price', 5, 'kind', 'k') AS event")
     out = decision_rows(rows)
     assert out.first().evt_price == "5" and "event" not in out.columns and {"evt_price", "evt_kind"} <= set(retrain_rows(out).columns)
+
+
+def test_a_scoring_stream_gives_what_a_batch_gives_also_after_a_break(spark, tmp_path, monkeypatch):
+    from stallwatch.operators.models import fit_variant
+    from stallwatch.registry import Variant
+    from stallwatch.sources.ingest import parse_events
+    from stallwatch.streaming.scoring import EventScorer, ScoringStream, numbered_events
+
+    def event(i):
+        at = (T0 + timedelta(hours=i)).isoformat() + "Z"
+        odd = {"fraud_score": 101} if i == 17 else {"vpn": True, "device_hash": "hub"} if i % 4 == 0 else {}
+        return json.dumps({c: f"{c}{i % 7}" for c in ("user_id", "email_hash", "phone_hash", "ip_hash", "device_hash")} | {"insertion_id": f"l{i % 23}", "event_type": "PUBLISHED", "event_timestamp": at, "fraud_score": i * 2 % 101, "listing_price": 5.0} | odd)
+
+    texts = [event(i) for i in range(60)]
+    scorer = EventScorer(["fraud_score", "device_links", "listing_rooms", "unknown_count"])
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    linked = scorer.linked(numbered_events(parse_events(raw))).cache()
+    model = fit_variant(scorer.features(linked).withColumn("y", (F.col("fraud_score") > 50).cast("int")), "y", Variant.LOGISTIC, numbers=scorer.numbers)
+    want = {r.event_row: r for r in scorer.score(model, linked).collect()}
+    stream, calls = ScoringStream(str(tmp_path), model, scorer), []
+    real = Router.process
+
+    def breaks_once(self, batch, batch_id):
+        calls.append(batch_id)
+        if calls == [0, 1]:
+            raise RuntimeError("stopped in the middle of a batch")
+        real(self, batch, batch_id)
+
+    monkeypatch.setattr(Router, "process", breaks_once)
+    for n in range(3):
+        part = spark.createDataFrame([(t,) for t in texts[20 * n : 20 * n + 20]], "value string")
+        try:
+            stream.process(part, n)
+        except RuntimeError:
+            stream.process(part, n)
+    assert calls == [0, 1, 1, 2]
+    got = {r.event_row: r for r in spark.read.parquet(f"{tmp_path}/scored").drop("batch_id").collect()}
+    assert got == want and len(got) == 59 and spark.read.parquet(f"{tmp_path}/rejected").count() == 1
+    assert any("shared_device" in {f.feature for f in r.risk_factors} for r in got.values()) and any("vpn_detected" in {f.feature for f in r.risk_factors} for r in got.values())
+    decided = D.read_decisions(spark, str(tmp_path))
+    assert decided.count() == sum(r.decision != "REVIEW" for r in want.values()) and {r.evt_listing_price for r in decided.select("evt_listing_price").distinct().collect()} == {"5.0"}
+    assert spark.read.parquet(f"{tmp_path}/queue").count() == sum(r.decision == "REVIEW" for r in want.values())
