@@ -168,16 +168,52 @@ def similarity_weighted_means(spark, d):
     return out.select("vec_id", r("weight", 5).alias("weight"), r(F.col("neighbour_mean")[0], 5).alias("first_value"))
 
 
-@query()
+def _drawn_sql(seed, *parts):
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+_HOP = "SELECT {hop} AS hop, identity_type, src, dst FROM (SELECT g.*, row_number() OVER (PARTITION BY dst, identity_type ORDER BY " + _drawn_sql(42, "src", "dst") + ", src) AS rn FROM (SELECT DISTINCT identity_type, src, dst FROM g) g WHERE dst IN (SELECT n FROM {seeds})) WHERE rn <= {fanout}"
+
+
+@query(f"""WITH g AS ({_edges_sql()}), s AS (SELECT o_orderkey AS n FROM orders), h1 AS ({_HOP.format(hop=1, seeds='s', fanout=15)}), f AS (SELECT DISTINCT src AS n FROM h1), h2 AS ({_HOP.format(hop=2, seeds='f', fanout=10)})
+SELECT CAST(hop AS INT) AS hop, identity_type, src, dst FROM h1 UNION ALL SELECT CAST(hop AS INT), identity_type, src, dst FROM h2""")
 def sampled_neighbours(spark, d):
     return G.sample_neighbours(_edges(spark, d, None), [15, 10], listings(spark, d).select("o_orderkey"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT DISTINCT src, dst FROM ({_edges_sql()})), n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY {_drawn_sql(42, 'o_orderkey')}, o_orderkey) AS rn FROM orders), t AS (SELECT count(*) AS n FROM orders),
+d AS ({" UNION ".join(f"SELECT {_drawn_sql(42 + 2 * k + 1, 'src', 'dst')} % n + 1 AS i, {_drawn_sql(42 + 2 * k + 2, 'src', 'dst')} % n + 1 AS j FROM p, t" for k in range(3))}),
+f AS (SELECT DISTINCT a.k AS src, b.k AS dst FROM d JOIN n a ON a.rn = i JOIN n b ON b.rn = j WHERE a.k <> b.k), r AS (SELECT src, dst FROM f ANTI JOIN p USING (src, dst))
+SELECT src, dst, CAST(1 AS INT) AS label FROM p
+UNION ALL SELECT src, dst, CAST(0 AS INT) FROM (SELECT src, dst, row_number() OVER (ORDER BY {_drawn_sql(42, 'src', 'dst')}, src, dst) AS rn FROM r) WHERE rn <= (SELECT count(*) FROM p)""")
 def link_prediction_samples(spark, d):
     return G.link_samples(_edges(spark, d, None), listings(spark, d), "o_orderkey")
 
 
+@query(f"""WITH k AS (SELECT o_orderkey, o_orderdate, CASE id WHEN 'customer' THEN o_custkey ELSE o_custkey % 40 END AS v, id FROM orders, (VALUES ('customer'), ('household')) i(id) WHERE o_orderdate <= TIMESTAMP '1996-12-31')
+SELECT identity_type, src, dst FROM (SELECT a.id AS identity_type, a.o_orderkey AS src, b.o_orderkey AS dst, row_number() OVER (PARTITION BY a.id, a.o_orderkey ORDER BY b.o_orderdate, b.o_orderkey) AS rn
+ FROM k a JOIN k b ON a.id = b.id AND a.v = b.v AND a.o_orderdate < b.o_orderdate) WHERE rn <= 50""")
+def listing_only_graph(spark, d):
+    """The graph of listings alone, over two identities, as of a cutoff."""
+    from datetime import datetime
+
+    o = listings(spark, d).select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("customer"), (F.col("o_custkey") % 40).alias("household"))
+    return G.listing_graph(o, entity="o_orderkey", time="o_orderdate", cutoff=datetime(1996, 12, 31), identities=["customer", "household"]).select("identity_type", "src", "dst")
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), e AS (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON abs(a.i - b.i) = 1 AND a.i // 60 = b.i // 60),
+r AS (SELECT k, k AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.k) SELECT k AS p_partkey, min(c) AS component FROM r GROUP BY 1""")
+def components_of_chains(spark, d):
+    """Chains of sixty parts, each sharing something with the next only: several rounds of contraction."""
+    from stallwatch.plans.ordered import numbered
+
+    n = numbered(table(spark, d, "part").select("p_partkey"), [], F.col("p_partkey"), [], "i").withColumn("i", F.col("i") - 1)
+    chain, link = F.floor(F.col("i") / 60), F.col("i") % 60
+    shared = F.explode(F.array(F.concat_ws("-", chain, link), F.concat_ws("-", chain, link + 1)))
+    return G.components(n.select("p_partkey", shared.alias("what")), "p_partkey", "what")
+
+
 @query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders")
 def components_by_customer(spark, d):
     return G.components(listings(spark, d), "o_orderkey", "o_custkey")

@@ -244,9 +244,15 @@ def similarity_weighted_means(edges: DataFrame, vectors: DataFrame, *, key: str,
     )
 
 
+def drawn_number(seed: int | str, *parts: Column | str) -> Column:
+    """A non-negative 60-bit number drawn from a seed and values, by MD5 of their texts, which every engine has."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sample_neighbours(edges: DataFrame, fanouts: Sequence[int], seeds: DataFrame, *, edge_type: str = "identity_type", seed: int = 42) -> DataFrame:
     """At most ``fanouts[h]`` in-neighbours per node and edge type at hop h, in a seeded hash order: (hop, edge_type, src, dst)."""
-    order = [F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), F.col("src")]
+    order = [drawn_number(seed, "src", "dst"), F.col("src")]
     frontier, hops = seeds.select(F.col(seeds.columns[0]).alias("dst")).distinct(), []
     for hop, fanout in enumerate(fanouts, start=1):
         near = lookup(edges.select(edge_type, "src", "dst").distinct(), frontier, ["dst"], "left_semi")
@@ -267,11 +273,11 @@ def link_samples(edges: DataFrame, node_table: DataFrame, key: str, *, seed: int
     dense that it lacks as many non-edges gives those that the draws found.
     """
     positive = edges.select("src", "dst").distinct()
-    placed = cut_lineage(numbered(node_table.select(key).distinct(), [], F.xxhash64(F.lit(seed), F.col(key)), [F.col(key)], "__rn"))
+    placed = cut_lineage(numbered(node_table.select(key).distinct(), [], drawn_number(seed, key), [F.col(key)], "__rn"))
     total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     def draw(salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed + salt), F.col("src"), F.col("dst")), total) + 1
+        return F.pmod(drawn_number(seed + salt, "src", "dst"), total) + 1
 
     pairs = F.explode(F.array(*[F.struct(draw(2 * k + 1).alias("i"), draw(2 * k + 2).alias("j")) for k in range(spare)]))
     drawn = positive.select(pairs.alias("p")).select(F.col("p.i").alias("__i"), F.col("p.j").alias("__j")).distinct()
@@ -279,7 +285,7 @@ def link_samples(edges: DataFrame, node_table: DataFrame, key: str, *, seed: int
     right = placed.select(F.col("__rn").alias("__j"), F.col(key).alias("dst"))
     negative = drawn.join(left, "__i").join(right, "__j").select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     found = cut_lineage(negative.join(positive, ["src", "dst"], "left_anti"))
-    ranked = numbered(found, [], F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), ["src", "dst"], "__rank")
+    ranked = numbered(found, [], drawn_number(seed, "src", "dst"), ["src", "dst"], "__rank")
     negative = ranked.filter(F.col("__rank") <= positive.agg(F.count(F.lit(1)).alias("n")).scalar()).drop("__rank")
     return positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
 
