@@ -117,8 +117,11 @@ def rule_matches(spark, d):
     return out.groupBy(hits.alias("matched")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+{_MATCHED}, m AS (SELECT x.row, any_value(x.y) AS y, coalesce(list(k.i) FILTER ({" AND ".join(f"(NOT list_contains(string_split(items, '+'), '{n}') OR {n})" for n in FLAGS)}), []) AS matched FROM x, k GROUP BY 1)
+SELECT {", ".join(f"list_contains(matched, {i}) AS rule_{i}_match" for i in range(1, 11))}, count(*) AS n, round(avg(CAST(y AS INT)), 6) AS rate FROM m GROUP BY {", ".join(map(str, range(1, 11)))}""")
 def rule_match_features(spark, d):
     flagged = _flagged(spark, d)
     out = R.rule_features(flagged, _rules(spark, d), 10)
-    return out.groupBy(*[c for c in out.columns if c.startswith("rule_")]).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
+    grouped = out.groupBy(*[c for c in out.columns if c.startswith("rule_")]).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
+    return rounded(grouped, ["rate"])

@@ -226,6 +226,7 @@ def rings(spark, d):
     return rounded(G.rings(G.components(o, "o_orderkey", "o_custkey"), o, "o_orderkey", "label", min_size=3), ["rate"])
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT DISTINCT user_id, k FROM ({LIFECYCLE_SQL})), e AS (SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM m a JOIN m b ON a.k = b.k AND a.user_id <> b.user_id),
+r AS (SELECT DISTINCT user_id AS u, user_id AS c FROM m UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.u) SELECT u AS user_id, min(c) AS component FROM r GROUP BY 1""")
 def components_by_shared_value(spark, d):
     return G.components(lifecycle(spark, d), "user_id", "k")
