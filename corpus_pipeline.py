@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwatch.llm import leaks, lines, packing, rules, simhash
-from stallwatch.llm.common import removed
-from stallwatch.session import scratch_folder
+from stallwatch.session import remove_folder, scratch_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
         if before:
-            removed(spark, before)
+            remove_folder(spark, before)
         before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,12 +24,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def removed(spark: SparkSession, folder: str) -> None:
-    """Delete a folder this job wrote, on whatever file system it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(column: str = "text") -> Column:
     """A text column as UTF-8 bytes, a null text as an empty one."""
     return F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stallwatch.llm.common import per_row, removed, spare, text_bytes
+from stallwatch.llm.common import per_row, spare, text_bytes
 from stallwatch.plans.skew import lookup
+from stallwatch.session import remove_folder
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -243,7 +244,7 @@ class LineIndex:
         self.version, self.shards = self.version + 1, shards
         self.spark.range(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(shards).alias("shards")).coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         if self.version > 2:
-            removed(self.spark, f"{self.folder}/v{self.version - 2}")
+            remove_folder(self.spark, f"{self.folder}/v{self.version - 2}")
 
     @staticmethod
     def _shard(shards: int) -> Column:

@@ -167,7 +167,7 @@ def keys_over_lines(text: str, lines: re.Pattern, part: re.Pattern, opens: tuple
         whole, ends = "".join(text[a:b] for a, b in runs), [0]
         for a, b in runs:
             ends.append(ends[-1] + b - a)
-        done = 0
+        done, width, last, barren = 0, 0, 0, set()
         for i, (start, _) in enumerate(runs[:-1]):
             if i < done or i > 1 and not text.startswith(opens, start):
                 continue
@@ -176,7 +176,12 @@ def keys_over_lines(text: str, lines: re.Pattern, part: re.Pattern, opens: tuple
                 need = -(-der_size(decode(whole[at : at + 24]) or b"") * chars // size)
                 tries = [need] if 0 < need <= len(whole) - at else []
             else:  # lines of one width, then with or without a shorter one
-                last = next((k for k in range(i + 1, len(runs)) if ends[k + 1] - ends[k] < ends[i + 2] - ends[i + 1]), len(runs) - 1)
+                now = ends[i + 2] - ends[i + 1]
+                if now != width or i >= last:  # the same block of lines ends at the same line
+                    width, last = now, next((k for k in range(i + 1, len(runs)) if ends[k + 1] - ends[k] < now), len(runs) - 1)
+                head = decode(whole[at : at + 16 * chars]) or b""
+                if (last, at % chars) in barren and not head.startswith(b"openssh") and b"-----BEGIN" not in head[:16]:
+                    continue  # the same bytes, with more before them, held no armoured key
                 tries = [ends[last + 1] - at, ends[last] - at]
             data, held = b"", 0
             for need in tries:
@@ -184,6 +189,8 @@ def keys_over_lines(text: str, lines: re.Pattern, part: re.Pattern, opens: tuple
                 if held := first_key_size(data):
                     break
             armoured = data[:1] != b"\x30" and not data.startswith(b"openssh-key-v1")
+            if not held and armoured:
+                barren.add((last, at % chars))
             to = at + -(-held * chars // size)
             j = bisect_left(ends, to)
             if held and j > i + 1 and (ends[j] == to or armoured):  # behind an armoured key a line break may follow
@@ -212,20 +219,33 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def _apart(found: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose decoded form parses as a signed token or a private key."""
     found = [(m.start(), "signed", m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])] if "eyJ" in text else []
     found += [(a, "armour", b) for a, b in armoured_keys(text)]
-    inside = sorted((a, b) for a, _, b in found)
+    inside = _apart(found)
 
     def free(start: int, end: int) -> bool:
-        return not any(a < end and start < b for a, b in inside)
+        """Whether a span meets none of ``inside``, which are in order and apart from each other."""
+        at = bisect_left(inside, (end,))
+        return at == 0 or inside[at - 1][1] <= start
 
     found += [(m.start(), "encoded", m.end()) for m in BASE64_RUN.finditer(text) if holds_private_key(decode64(m[0])) and free(m.start(), m.end())]
     found += [(m.start(), "hexkey", m.end()) for m in HEX_RUN.finditer(text) if holds_private_key(bytes.fromhex(m[0])) and free(m.start(), m.end())]
-    inside = sorted((a, b) for a, _, b in found)
+    inside = _apart(found)
     found += [(a, "encoded", b) for a, b in keys_over_lines(text, BASE64_LINES, BASE64_PART, ("M", "b3BlbnNzaC1rZXkt", "LS0tLS"), decode64, (4, 3)) if free(a, b)]
-    inside = sorted((a, b) for a, _, b in found)
+    inside = _apart(found)
     found += [(a, "hexkey", b) for a, b in keys_over_lines(text, HEX_LINES, HEX_PART, ("30", "6f70656e737368", "6F70656E737368", "2d2d2d2d2d", "2D2D2D2D2D"), decode16, (2, 1)) if free(a, b)]
     return found
 

@@ -73,6 +73,19 @@ def test_keys_broken_over_lines_or_wrapped_twice_are_confirmed(key):
     assert secrets.confirmed_spans(lines(b64(bytes(range(200))), 64)) == [] and secrets.confirmed_spans(lines(b64(key[:-1]), 64)) == []
 
 
+def test_many_lines_that_open_like_keys_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "\n".join("LS0tLS" + b64(bytes([i % 251, i // 251 % 251] * 21))[:58] for i in range(n)) + "\n" + " ".join(f"token{i}=abcdefgh{i}" for i in range(n))
+        start = time.process_time()
+        assert secrets.confirmed_spans(text) == []
+        return time.process_time() - start
+
+    seconds(200)
+    assert seconds(20_000) < 60 * max(0.02, seconds(1_000))
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_base_spans_stay_and_odd_rows_pass(spark, clash):
     found = {r.doc_id: r for r in secrets.find_secrets(odd_docs(spark, clash)).collect()}
