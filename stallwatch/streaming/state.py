@@ -14,8 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwatch.session import remove_folder
-from stallwatch.streaming.sinks import has_data
+from stallwatch.session import path_exists, remove_folder
 
 VERSIONS_DDL = "version bigint, removed bigint, kept bigint"
 # Pieces a bucket is written in, so that a bucket with a hot key is not one task.
@@ -37,12 +36,12 @@ class Sightings:
 
     def _versions(self, spark: SparkSession, before: int) -> list:
         """The versions complete before a batch, newest first; there are at most two, and a row each for those replaced."""
-        if not has_data(spark, f"{self.folder}/versions"):
+        if not path_exists(spark, f"{self.folder}/versions"):
             return []
         return spark.read.schema(VERSIONS_DDL).parquet(f"{self.folder}/versions").filter(F.col("version") < before).orderBy(F.desc("version")).limit(2).collect()
 
     def _delta(self, spark: SparkSession, after: int, before: int, schema) -> DataFrame | None:
-        if not has_data(spark, f"{self.folder}/delta"):
+        if not path_exists(spark, f"{self.folder}/delta"):
             return None
         read = spark.read.schema(schema).parquet(f"{self.folder}/delta")
         return read.filter((F.col("batch_id") > after) & (F.col("batch_id") < before)).drop("batch_id")

@@ -65,9 +65,10 @@ def test_expired_sightings_are_forgotten(spark, tmp_path):
     assert got == {1: 0, 2: 1, 3: 1}
 
 
-def test_state_stays_level_and_expired_sightings_are_removed(spark, tmp_path):
+def test_state_stays_level_and_expired_sightings_are_removed(spark, tmp_path, monkeypatch):
     """Twenty batches of the same size: after the time to live a batch reads no more than before, and old rows leave the table."""
     live = LiveLinks(str(tmp_path), {"k": "k"}, "user_id", "ts", "event_id", ttl_days=5, buckets=4, compact_every=4)
+    monkeypatch.setattr("stallwatch.plans.ordered.shuffle_width", lambda spark: 2)  # fifty rows a batch need no more slices
     for n in range(20):
         rows = [(100 * n + i, f"u{n}-{i % 25}", f"k{i % 5}", T0 + timedelta(days=n, minutes=i)) for i in range(50)]
         live.process(spark.createDataFrame(rows, "event_id long, user_id string, k string, ts timestamp"), n)
