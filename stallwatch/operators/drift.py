@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,21 +192,16 @@ def band_distribution(df: DataFrame, score: str) -> DataFrame:
     return df.groupBy(probability_band(score).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bins(values: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """How many values fall into each bin."""
-    placed = F.transform(values, lambda v: bin_index(v, lo, hi, bins))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(placed, lambda p: p == b)))
+def psi_of_counts(ref: list[Column], cur: list[Column]) -> Column:
+    """PSI of two sides given as one count per bin; 0 if either side has fewer values than bins."""
+    bins = len(ref)
+    n_ref, n_cur = (reduce(lambda a, b: a + b, side) for side in (ref, cur))
 
+    def term(r: Column, c: Column) -> Column:
+        x, y = (r + PSI_SMOOTHING) / (n_ref + bins * PSI_SMOOTHING), (c + PSI_SMOOTHING) / (n_cur + bins * PSI_SMOOTHING)
+        return (y - x) * F.log(y / x)
 
-def psi_of_bins(ref: Column, cur: Column, bins: int = 10) -> Column:
-    """PSI of two arrays of bin counts; 0 if either side has fewer values than bins."""
-
-    def shares(counts: Column) -> tuple[Column, Column]:
-        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
-        return total, F.transform(counts, lambda n: (n + PSI_SMOOTHING) / (total + bins * PSI_SMOOTHING))
-
-    (n_ref, r), (n_cur, c) = shares(ref), shares(cur)
-    total = F.aggregate(F.zip_with(r, c, lambda x, y: (y - x) * F.log(y / x)), F.lit(0.0), lambda a, v: a + v)
+    total = reduce(lambda a, b: a + b, [term(r, c) for r, c in zip(ref, cur)])
     return F.when((n_ref >= bins) & (n_cur >= bins), total).otherwise(0.0)
 
 
@@ -246,20 +242,26 @@ def rolling_drift(
     scored = df.select(series, order.alias("__o"), tie, F.col(score).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     indexed = numbered(scored, [series], F.col("__o"), [F.col(tie)], "__i")
     indexed = cut_lineage(indexed.withColumn("__i", F.col("__i") - anchor_at).filter(F.col("__i") > 0))
-    first_ones = indexed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.collect_list("__v").alias("__ref"))
-    lo, hi = F.array_min("__ref"), F.array_max("__ref")
-    reference = first_ones.filter(F.size("__ref") == reference_size).select(series, "__ref", lo.alias("__lo"), hi.alias("__hi"), _bins(F.col("__ref"), lo, hi, 10).alias("__rb"))
+    def counted(prefix: str) -> list[Column]:
+        """One count a bin of the reference range, all in the pass that gathers the values."""
+        at = bin_index(F.col("__v"), F.col("__lo"), F.col("__hi"), 10)
+        return [F.count(F.when(at == b, 1)).alias(f"{prefix}{b}") for b in range(10)]
+
+    ends = indexed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__k"))
+    ends = cut_lineage(ends.filter(F.col("__k") == reference_size).drop("__k"))  # one row a series
+    placed = lookup(indexed, ends, [series], "inner", null_safe=True)
+    reference = placed.filter(F.col("__i") <= reference_size).groupBy(series).agg(F.collect_list("__v").alias("__ref"), *counted("__r"))
     i = F.col("__i")
     first = F.greatest(F.lit(reference_size), F.ceil(i / every) * every).cast("int")
     last = (F.ceil((i + current_size) / every) * every - every).cast("int")
-    member = indexed.filter(last >= first).withColumn("check_at", F.explode(F.sequence(first, last, F.lit(every))))
+    member = placed.filter(last >= first).withColumn("check_at", F.explode(F.sequence(first, last, F.lit(every))))
     size = indexed.groupBy(series).agg(F.max("__i").alias("__n"))
-    checks = member.groupBy(series, "check_at").agg(F.collect_list("__v").alias("__cur"))
+    checks = member.groupBy(series, "check_at").agg(F.collect_list("__v").alias("__cur"), *counted("__c"))
     known = lookup(reference, size, [series], "inner", null_safe=True)
     ready = lookup(checks, known, [series], "inner", null_safe=True).filter(F.col("check_at") <= F.col("__n"))
     found = ready.select(
         series, "check_at", F.size("__cur").alias("n_current"),
-        psi_of_bins(F.col("__rb"), _bins(F.col("__cur"), F.col("__lo"), F.col("__hi"), 10)).alias("psi"), ks_of_arrays(F.col("__ref"), F.col("__cur")).alias("ks_stat"),
+        psi_of_counts([F.col(f"__r{b}") for b in range(10)], [F.col(f"__c{b}") for b in range(10)]).alias("psi"), ks_of_arrays(F.col("__ref"), F.col("__cur")).alias("ks_stat"),
     )
     p = kolmogorov_tail(F.col("ks_stat"), F.lit(reference_size), F.col("n_current"))
     return found.select(series, "check_at", "psi", "ks_stat", p.alias("ks_p"), (p < alpha).alias("ks_drift"), psi_label("psi").alias("label"))
