@@ -119,7 +119,7 @@ def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str], alpha:
     long = unpivot_numbers(_sides(reference, current, columns), columns, ["__ref"]).filter(F.col("value").isNotNull())
     steps = long.groupBy("feature", "value").agg(F.sum("__ref").alias("__r"), F.sum(1 - F.col("__ref")).alias("__c"))
     steps = cut_lineage(steps)
-    cumulated = running_totals(steps, ["feature"], F.col("value"), {"__fr": F.col("__r"), "__fc": F.col("__c")}, slices=slices)
+    cumulated = running_totals(steps, ["feature"], F.col("value"), {"__fr": F.col("__r"), "__fc": F.col("__c")}, slices=slices, null_keys=False)
     # One row per feature, so the broadcast is as small as the list of columns.
     totals = steps.groupBy("feature").agg(F.sum("__r").alias("n_ref"), F.sum("__c").alias("n_cur"))
     gaps = cumulated.join(F.broadcast(totals), "feature").groupBy("feature").agg(

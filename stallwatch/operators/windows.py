@@ -110,6 +110,7 @@ def identity_history(
         before=True,
         slices=slices,
         shape=shape,
+        null_keys=False,
     ).filter(F.col("__row").isNotNull())
     starts = pairs.groupBy(F.col(identity).alias("__identity")).agg(F.min("__seen").alias("__start"))
     with_start = lookup(counted, starts, ["__identity"], "left")
