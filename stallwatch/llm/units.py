@@ -1,16 +1,17 @@
-"""Substring deduplication by hashed units: every passage of twelve words, and lines too short to hold one.
-
-A unit is a line of at least ``least_words`` words or ``least_chars`` code points that has no passage, or a passage of
-``passage_words`` words; passages start at every word, so whatever run of that many words or more stands earlier is removed
-to its last word, wherever it stands. In scripts written without spaces every character is a word, and two of them weigh
-as much as one other word: a passage that starts with such text has twice as many. What is below both minimums stays: lines
-shorter than either that are not part of a longer repeat (documents of such lines and of fewer than ``passage_words`` words
-included), and repeats of fewer words inside longer lines.
-Most passages occur once and are never sent anywhere: the seed of a passage is the smallest hash of the ``passage_words -
-reach`` consecutive words inside it, equal passages have equal seeds, and neighbours mostly share theirs. Runs of passages with
-one seed are counted first; only passages whose seed occurs again are hashed as units. Digests of units are grouped over
-the whole corpus, the earliest occurrence (by document id, then position) stays, and all others are removed, with their
-offsets in the original text.
+"""Substring deduplication by hashed units: lines first, then passages of twelve words in what is left of them.
+
+A unit is a line of at least ``least_words`` words or ``least_chars`` code points, or a passage of ``passage_words`` words;
+passages start at every word, so whatever run of that many words or more stands earlier is removed to its last word, wherever
+it stands. In scripts written without spaces every character is a word, and two of them weigh as much as one other word: a
+passage that starts with such text has twice as many. What is below both minimums stays: lines shorter than either that are
+not part of a longer repeat (documents of such lines and of fewer than ``passage_words`` words included), and repeats of
+fewer words inside longer lines.
+Digests of units are grouped over the whole corpus, the earliest occurrence (by document id, then position) stays, and all
+others are removed, with their offsets in the original text. Lines go first: a passage inside one line that is removed stands
+earlier in that line's first copy and needs no look-up. Of the other passages most occur once and are never sent anywhere:
+the seed of a passage is the smallest hash of the ``passage_words - reach`` consecutive words inside it, equal passages have
+equal seeds, and neighbours mostly share theirs. Runs of passages with one seed are counted first; only passages whose seed
+occurs again are hashed as units.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ ALONE = re.compile(f"[{UNSPACED}]")
 MAYBE = re.compile(rb"[\xE0\xE1\xE3-\xE9\xEF\xF0]")  # first bytes of those characters, and of some others
 LEAST_CHARS = 40
 UNIT_DDL = "k1 bigint, k2 bigint, doc_id bigint, start int, words int"
-#: Runs of passages with one seed (k2 is null; ``again`` if equal passages may stand in the run itself), and units of lines.
-SEED_DDL = f"{UNIT_DDL}, again boolean"
+SEED_DDL = "k1 bigint, doc_id bigint, place bigint"
+SPANS_DDL = "doc_id bigint, spans array<struct<start: bigint, end: bigint>>"
+LENGTH_BITS = 31  # a run's place is its first passage, shifted by these, and its number of passages
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
@@ -50,7 +52,7 @@ def rolled(hashes: np.ndarray, n: int, mix: int) -> np.ndarray:
     return out
 
 
-def read_words(text: bytes, least_words: int, passage_words: int, least_chars: int = LEAST_CHARS) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
+def read_words(text: bytes, least_words: int, least_chars: int = LEAST_CHARS) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
     """Words in lower case (A-Z), which of them are characters of scripts without spaces, and (first word, number of words) of the lines that are units."""
     words: list[bytes] = []
     alone: list[int] = []
@@ -64,7 +66,7 @@ def read_words(text: bytes, least_words: int, passage_words: int, least_chars: i
             inside, single = line.split(), []
         weight = len(inside) - len(single) / 2
         chars = len(line.decode("utf-8", "replace").strip(" \t\x0b\x0c\r")) if len(line) >= least_chars else 0
-        if (single or len(inside) < passage_words) and (weight >= least_words or chars >= least_chars):
+        if weight >= least_words or chars >= least_chars:
             lines.append((len(words), len(inside)))
         alone += [len(words) + i for i in single]
         words += inside
@@ -107,7 +109,7 @@ def past_first(keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 def units_of(text: bytes, least_words: int, passage_words: int, reach: int, least_chars: int = LEAST_CHARS) -> Iterator[tuple[bytes, int, int]]:
     """(normalised unit, first word, number of words) of a UTF-8 text: words in lower case (A-Z), joined by one space."""
-    words, marks, lines = read_words(text, least_words, passage_words, least_chars)
+    words, marks, lines = read_words(text, least_words, least_chars)
     for start, n in lines:
         yield b" ".join(words[start : start + n]), start, n
     (keys,), size = passages_at(words, marks, passage_words, MIX[:1])
@@ -156,44 +158,11 @@ def made_batches(rows: Callable[[dict], tuple], schema: pa.Schema, most: int = 1
 
 
 FIELDS = [("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())]
-
-
-def units(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(k1, k2, doc_id, start, words): a 128-bit digest of every unit that can repeat and where it is, in words. Rows with a null id have none."""
-
-    def first_pass(row: dict) -> tuple:
-        words, _, lines = read_words(row["body"], least_words, passage_words, least_chars)
-        seed, start, n, again = seed_runs(words, passage_words, reach)
-        digests = [xxhash.xxh3_128_digest(b" ".join(words[a : a + b])) for a, b in lines]
-        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        return (
-            np.concatenate([seed.view(np.int64), keys[:, 0]]), [None] * len(seed) + keys[:, 1].tolist(), np.full(len(seed) + len(lines), row["doc_id"], np.int64),
-            np.concatenate([start, [a for a, _ in lines]]).astype(np.int32), np.concatenate([n, [b for _, b in lines]]).astype(np.int32),
-            np.concatenate([again, np.zeros(len(lines), bool)]),
-        )
-
-    def second_pass(row: dict) -> tuple:
-        words, marks, _ = read_words(row["body"], least_words, passage_words, least_chars)
-        (k1, k2), size = passages_at(words, marks, passage_words, MIX[:2])
-        wanted = np.zeros(len(k1), bool)
-        for run in row["runs"]:
-            wanted[run["start"] : run["start"] + run["words"]] = True
-        at = np.flatnonzero(wanted & (size > 0))
-        start, n = past_first(k1[at], at, size[at])
-        return k1[at].view(np.int64), k2[at].view(np.int64), np.full(len(at), row["doc_id"], np.int64), start.astype(np.int32), n.astype(np.int32)
-
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body")).filter("doc_id IS NOT NULL")
-    read = stored(rows.mapInArrow(made_batches(first_pass, pa.schema([*FIELDS, ("again", pa.bool_())])), SEED_DDL), "seeds")
-    seeds = read.filter("k2 IS NULL")
-    often = seeds.groupBy("k1").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1").select("k1")
-    runs = lookup(seeds.select("k1", "doc_id", "start", "words"), often, ["k1"], "left_semi")
-    runs = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("runs"))  # of one document
-    passages = rows.join(runs, "doc_id").select("doc_id", "body", "runs").mapInArrow(made_batches(second_pass, pa.schema(FIELDS)), UNIT_DDL)
-    return read.filter("k2 IS NOT NULL").drop("again").unionByName(passages)
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """Of :func:`units`, those that are not the earliest occurrence of their digest. Copies are counted before the shuffle."""
+    """Of units, those that are not the earliest occurrence of their digest. Copies are counted before the shuffle."""
     place = F.struct("doc_id", "start")
     first = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first")
     return lookup(found, first, ["k1", "k2"], "inner").filter(place != F.col("first")).select("doc_id", "start", "words")
@@ -210,6 +179,82 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def spans_of(places: DataFrame, name: str, *, touching: bool = True) -> DataFrame:
+    """(doc_id, spans) of ``places`` (doc_id, start, words), sorted, and with ``touching`` joined where they meet. Written: few and narrow rows."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged([(p["start"], p["start"] + p["words"]) for p in held]) for held in batch.column(1).to_pylist()]
+            rows = pa.array([[{"start": a, "end": b} for a, b in row] for row in spans], SPANS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "spans"])
+
+    if touching:
+        held = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("held"))  # of one document
+        return stored(held.mapInArrow(joined, SPANS_DDL), name)
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("words")).cast("long").alias("end"))
+    return stored(places.groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans")), name)
+
+
+def line_units(rows: DataFrame, least_words: int, least_chars: int) -> DataFrame:
+    """(k1, k2, doc_id, start, words): a 128-bit digest of every line that is a unit and where it is, in words."""
+
+    def found(row: dict) -> tuple:
+        words, _, lines = read_words(row["body"], least_words, least_chars)
+        digests = [xxhash.xxh3_128_digest(b" ".join(words[a : a + b])) for a, b in lines]
+        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        at = np.array(lines, np.int32).reshape(-1, 2)
+        return keys[:, 0], keys[:, 1], np.full(len(lines), row["doc_id"], np.int64), at[:, 0], at[:, 1]
+
+    return rows.mapInArrow(made_batches(found, pa.schema(FIELDS)), UNIT_DDL)
+
+
+def passage_units(rows: DataFrame, gone: DataFrame, least_words: int, passage_words: int, reach: int, least_chars: int) -> DataFrame:
+    """Like :func:`line_units`, of the passages that can repeat; those inside one span of ``gone`` (removed lines) are left out.
+
+    The words of a text are read again for each of the two uses of the seeds, which is cheaper than storing them.
+    """
+
+    def seeds_of(row: dict) -> tuple:
+        words, marks, _ = read_words(row["body"], least_words, least_chars)
+        seed, start, n, again = seed_runs(words, passage_words, reach)
+        if row["spans"]:
+            at, to = (np.array([s[k] for s in row["spans"]], np.int64) for k in ("start", "end"))
+            line = np.searchsorted(at, start, "right") - 1
+            longest = passage_words * (2 if marks.any() else 1)
+            left = (line < 0) | (start + n - 1 + longest > to[line])
+            seed, start, n, again = seed[left], start[left], n[left], again[left]
+        # A run in which equal passages may stand counts twice.
+        each = np.where(again, 2, 1)
+        return np.repeat(seed.view(np.int64), each), np.full(each.sum(), row["doc_id"], np.int64), np.repeat((start.astype(np.int64) << LENGTH_BITS) | n, each)
+
+    def passages_of(row: dict) -> tuple:
+        words, marks, _ = read_words(row["body"], least_words, least_chars)
+        (k1, k2), size = passages_at(words, marks, passage_words, MIX[:2])
+        wanted = np.zeros(len(k1), bool)
+        for run in row["spans"]:
+            wanted[run["start"] : run["end"]] = True
+        at = np.flatnonzero(wanted & (size > 0))
+        start, n = past_first(k1[at], at, size[at])
+        return k1[at].view(np.int64), k2[at].view(np.int64), np.full(len(at), row["doc_id"], np.int64), start.astype(np.int32), n.astype(np.int32)
+
+    fields = pa.schema([("k1", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    seeds = rows.join(gone, "doc_id", "left").select("doc_id", "body", "spans").mapInArrow(made_batches(seeds_of, fields), SEED_DDL)
+    often = seeds.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1")
+    again = lookup(seeds, often, ["k1"], "left_semi")
+    runs = spans_of(again.select("doc_id", F.shiftright("place", LENGTH_BITS).alias("start"), F.col("place").bitwiseAND((1 << LENGTH_BITS) - 1).alias("words")), "runs")
+    return rows.join(runs, "doc_id").select("doc_id", "body", "spans").mapInArrow(made_batches(passages_of, pa.schema(FIELDS)), UNIT_DDL)
+
+
+def removed_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, spans): the words of each document, from 0, that belong to a unit of which an earlier occurrence exists. Rows with a null id have none."""
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body")).filter("doc_id IS NOT NULL")
+    lines = repeats(stored(line_units(rows, least_words, least_chars), "lines"))
+    gone = spans_of(lines, "removed-lines", touching=False)
+    passages = repeats(stored(passage_units(rows, gone, least_words, passage_words, reach, least_chars), "passages"))
+    whole = gone.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s")["start"].alias("start"), (F.col("s")["end"] - F.col("s")["start"]).alias("words"))
+    return spans_of(whole.unionByName(passages.select("doc_id", F.col("start").cast("long"), F.col("words").cast("long"))), "removed-words")
+
+
 def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with repeated units cut from ``text``, and removed: array<struct<start, end>> in code points of the original text.
 
@@ -219,18 +264,15 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     through, and the new name gets underscores in front where a column has it.
     """
     given, held, gone = (spare(n, docs.columns) for n in ("cut", "unit_list", "removed"))
-    found = stored(units(docs, id=id, text=text, least_words=least_words, passage_words=passage_words, reach=reach, least_chars=least_chars), "units")
-    cuts = repeats(found).groupBy(F.col("doc_id").alias(given)).agg(F.collect_set(F.struct("start", "words")).alias(held))  # units of one document
-    joined = docs.join(cuts, F.col(f"`{id}`").cast("long") == F.col(given), "left").drop(given)
+    cuts = removed_words(docs, id=id, text=text, least_words=least_words, passage_words=passage_words, reach=reach, least_chars=least_chars)
+    joined = docs.join(cuts.toDF(given, held), F.col(f"`{id}`").cast("long") == F.col(given), "left").drop(given)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([*docs.schema.fields, StructField(gone, ArrayType(span))])
-    removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(value: str, places: list[dict]) -> tuple[str, list[dict]]:
         words = [m.span() for m in WORD.finditer(value)]
-        spans = [(p["start"], min(p["start"] + p["words"], len(words))) for p in places if p["start"] < len(words)]
         kept, at, out = [], 0, []
-        for a, b in merged(spans):
+        for a, b in ((p["start"], min(p["end"], len(words))) for p in places if p["start"] < len(words)):
             start, end = words[a][0], words[b - 1][1]
             out.append({"start": start, "end": end})
             before, after = value[:start].rpartition("\n")[2], value[end:].partition("\n")[0]
@@ -249,6 +291,6 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
                 spans.append(removed)
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, removed_type)], [*batch.schema.names[:-1], gone])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, SPANS)], [*batch.schema.names[:-1], gone])
 
     return joined.mapInArrow(run, schema)
