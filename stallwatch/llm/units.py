@@ -38,17 +38,31 @@ LEAST_CHARS = 40
 UNIT_DDL = "k1 bigint, k2 bigint, doc_id bigint, start int, words int"
 SEED_DDL = "k1 bigint, doc_id bigint, place bigint"
 SPANS_DDL = "doc_id bigint, spans array<struct<start: bigint, end: bigint>>"
-LENGTH_BITS = 31  # a run's place is its first passage, shifted by these, and its number of passages
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+LENGTH_BITS = 31  # a place is the first word, shifted by these, and a number of words or passages
+LENGTH_MASK = (1 << LENGTH_BITS) - 1
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 
 
 def rolled(hashes: np.ndarray, n: int, mix: int) -> np.ndarray:
-    """One digest of every ``n`` consecutive hashes."""
+    """One digest of every ``n`` consecutive hashes, put together from those of powers of two."""
     m = max(0, len(hashes) - n + 1)
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out = (out ^ hashes[k : k + m]) * np.uint64(mix)
-        out ^= out >> np.uint64(29)
+    out, done, power, width = None, 0, hashes, 1
+    while True:
+        if n & width:
+            part = power[done : done + m]
+            out = part if out is None else _paired(out, part, mix)
+            done += width
+        width *= 2
+        if width > n or not m:
+            return np.zeros(0, np.uint64) if out is None or not m else out[:m]
+        power = _paired(power[: -(width // 2)], power[width // 2 :], mix)
+
+
+def _paired(a: np.ndarray, b: np.ndarray, mix: int) -> np.ndarray:
+    out = a * np.uint64(mix)
+    out ^= b
+    out *= np.uint64(MIX[3])
+    out ^= out >> np.uint64(29)
     return out
 
 
@@ -128,9 +142,12 @@ def seed_runs(words: list[bytes], passage_words: int, reach: int) -> tuple[np.nd
     seed = found[:m]
     for k in range(1, reach + 1):
         seed = np.minimum(seed, found[k : k + m])
-    held = sum((found[k : k + m] == seed).astype(np.int8) for k in range(reach + 1))
     start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
     n = np.diff(np.append(start, m))
+    ordered = np.sort(found)
+    if not (ordered[1:] == ordered[:-1]).any():  # nothing in this text repeats
+        return seed[start], start, n, np.zeros(len(start), bool)
+    held = sum((found[k : k + m] == seed).astype(np.int8) for k in range(reach + 1))
     return seed[start], start, n, np.maximum.reduceat(held, start) + (n > reach + 1) > 1
 
 
@@ -168,31 +185,26 @@ def repeats(found: DataFrame) -> DataFrame:
     return lookup(found, first, ["k1", "k2"], "inner").filter(place != F.col("first")).select("doc_id", "start", "words")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, with overlapping and touching spans joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def spans_of(places: DataFrame, name: str, *, touching: bool = True) -> DataFrame:
-    """(doc_id, spans) of ``places`` (doc_id, start, words), sorted, and with ``touching`` joined where they meet. Written: few and narrow rows."""
+def spans_of(places: DataFrame, name: str) -> DataFrame:
+    """(doc_id, spans) of ``places`` (doc_id, place), sorted and joined where they meet. Written: few and narrow rows."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [merged([(p["start"], p["start"] + p["words"]) for p in held]) for held in batch.column(1).to_pylist()]
-            rows = pa.array([[{"start": a, "end": b} for a, b in row] for row in spans], SPANS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "spans"])
-
-    if touching:
-        held = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("held"))  # of one document
-        return stored(held.mapInArrow(joined, SPANS_DDL), name)
-    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("words")).cast("long").alias("end"))
-    return stored(places.groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans")), name)
+            held = batch.column(1)
+            place = held.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy(zero_copy_only=False)) << 32
+            start, end = row + (place >> LENGTH_BITS), row + (place >> LENGTH_BITS) + (place & LENGTH_MASK)
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.append(True, start[1:] > end[:-1])) if len(start) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(start)) - 1
+            offsets = np.searchsorted(start[first], np.arange(batch.num_rows + 1) << 32).astype(np.int32)
+            low = np.int64((1 << 32) - 1)
+            spans = pa.StructArray.from_arrays([pa.array(start[first] & low), pa.array(end[last] & low)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, spans)], ["doc_id", "spans"])
+
+    held = places.groupBy("doc_id").agg(F.collect_list("place").alias("held"))  # of one document
+    return stored(held.mapInArrow(joined, SPANS_DDL), name)
 
 
 def line_units(rows: DataFrame, least_words: int, least_chars: int) -> DataFrame:
@@ -241,7 +253,7 @@ def passage_units(rows: DataFrame, gone: DataFrame, least_words: int, passage_wo
     seeds = rows.join(gone, "doc_id", "left").select("doc_id", "body", "spans").mapInArrow(made_batches(seeds_of, fields), SEED_DDL)
     often = seeds.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1")
     again = lookup(seeds, often, ["k1"], "left_semi")
-    runs = spans_of(again.select("doc_id", F.shiftright("place", LENGTH_BITS).alias("start"), F.col("place").bitwiseAND((1 << LENGTH_BITS) - 1).alias("words")), "runs")
+    runs = spans_of(again.select("doc_id", "place"), "runs")
     return rows.join(runs, "doc_id").select("doc_id", "body", "spans").mapInArrow(made_batches(passages_of, pa.schema(FIELDS)), UNIT_DDL)
 
 
@@ -249,10 +261,12 @@ def removed_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", le
     """(doc_id, spans): the words of each document, from 0, that belong to a unit of which an earlier occurrence exists. Rows with a null id have none."""
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body")).filter("doc_id IS NOT NULL")
     lines = repeats(stored(line_units(rows, least_words, least_chars), "lines"))
-    gone = spans_of(lines, "removed-lines", touching=False)
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("words")).cast("long").alias("end"))
+    gone = stored(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans")), "removed-lines")
     passages = repeats(stored(passage_units(rows, gone, least_words, passage_words, reach, least_chars), "passages"))
     whole = gone.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s")["start"].alias("start"), (F.col("s")["end"] - F.col("s")["start"]).alias("words"))
-    return spans_of(whole.unionByName(passages.select("doc_id", F.col("start").cast("long"), F.col("words").cast("long"))), "removed-words")
+    place = F.shiftleft(F.col("start").cast("long"), LENGTH_BITS).bitwiseOR(F.col("words").cast("long")).alias("place")
+    return spans_of(whole.select("doc_id", place).unionByName(passages.select("doc_id", place)), "removed-words")
 
 
 def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_words: int = 8, passage_words: int = 12, reach: int = 5, least_chars: int = LEAST_CHARS) -> DataFrame:
