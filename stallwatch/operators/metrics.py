@@ -138,9 +138,10 @@ def precision_at_recall(df: DataFrame, label: str, score: str, target: float) ->
 
 
 def probability_losses(df: DataFrame, label: str, score: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
-    """Log loss and Brier score."""
-    y = F.col(label).cast("double")
-    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(score)))
+    """Log loss and Brier score of the scored rows; a row without score adds to neither, a NaN score makes both NaN."""
+    y, s = F.col(label).cast("double"), F.col(score)
+    # greatest and least pass over nulls and put NaN above all numbers, so both are kept out of the bounds
+    p = F.when(s.isNull() | F.isnan(s), s).otherwise(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), s)))
     return df.groupBy(*by).agg(
         F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
         F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier"),

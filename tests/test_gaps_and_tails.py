@@ -97,3 +97,13 @@ def test_rolling_drift_counts_scored_rows_only_and_spreads_a_hot_series(spark):
     gaps = plain + [("hot", i, None) for i in range(0, n, 2)] + [("b", 3, float("nan"))]
     run = lambda rows: sorted(map(str, D.rolling_drift(spark.createDataFrame(rows, "s string, o long, v double"), series="s", order=F.col("o"), tie="v", score="v").collect()))
     assert run(plain) == run(gaps) and len(run(plain)) == 31 + 3 + 4
+
+
+def test_probability_losses_leave_rows_without_score_out(spark):
+    rows = [("a", 1, 0.8), ("a", 0, 0.3), ("a", 0, None), ("a", 1, None), ("b", 1, None), ("c", 0, float("nan")), ("c", 1, 0.5)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = {r.g: r for r in M.probability_losses(df, "y", "s", ["g"]).collect()}
+    assert got["a"].log_loss == pytest.approx(-(math.log(0.8) + math.log(0.7)) / 2)
+    assert got["a"].brier == pytest.approx((0.04 + 0.09) / 2)
+    assert got["b"].log_loss is None and got["b"].brier is None
+    assert math.isnan(got["c"].log_loss) and math.isnan(got["c"].brier)
