@@ -348,3 +348,24 @@ def test_search_scores_every_round_count_of_every_trial(spark, foldable):
     aps = [r.mean_ap for r in out]
     assert aps == sorted(aps, reverse=True) and aps[0] > 0.8
     assert all({"maxDepth", "positive_weight", "maxIter"} == set(r.settings) for r in out)
+
+
+def test_equal_rows_are_grown_on_once_and_every_row_counts(spark):
+    from stallwatch.operators.models import PARTS, ROWS, condensed, snapped
+
+    rng = random.Random(7)
+    rows = [(rng.random() * 1000, float(rng.randint(0, 3)), float(rng.random() < 0.4)) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    few = snapped(df, ["a", "b"])
+    values = sorted({r.a for r in few.collect()})
+    assert len(values) <= 32 and {r.b for r in few.collect()} == {0.0, 1.0, 2.0, 3.0}
+    cuts = [(x + y) / 2 for x, y in zip(values, values[1:])]
+    moved = snapped(df.withColumn("was", F.col("a")), ["a", "b"]).collect()
+    assert all((r.was <= t) == (r.a <= t) for r in moved for t in cuts)  # every tree sends a row where it sent its old value
+    many = df.unionByName(df).unionByName(df)
+    whole = condensed(many, ["a", "b"], ["a", "b"])
+    assert whole.agg(F.sum(ROWS)).first()[0] == pytest.approx(15000)
+    assert whole.count() <= PARTS * few.distinct().count() < 15000
+    positives = many.agg(F.sum("label")).first()[0]
+    weighted = M.class_weights(whole, "label", rows=F.col(ROWS)).groupBy("label").agg(F.sum(M.WEIGHT).alias("w"))
+    assert all(r.w == pytest.approx(7500) for r in weighted.collect()) and 0 < positives < 15000
