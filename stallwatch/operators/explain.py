@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +19,9 @@ from stallwatch.operators.aggregates import importance_by_group
 from stallwatch.operators.models import FittedModel
 from stallwatch.operators.ranking import top_above, top_contributions
 from stallwatch.operators.windows import importance_ranks
+from stallwatch.plans.skew import lookup
 from stallwatch.session import cut_lineage
 
-CONTRIBUTION_SCHEMA = "feature string, value double, contribution double"
-
 
 def linear_contributions(df: DataFrame, row_id: str, coefficients: dict[str, float], means: DataFrame | None = None) -> DataFrame:
     """Exact contributions of a linear model: coefficient x (value - mean), in long form."""
@@ -101,38 +104,47 @@ def _shap(x: np.ndarray, trees: Sequence[Sequence[Leaf]], weights: Sequence[floa
     return phi
 
 
+def _cells(df: DataFrame, inputs: Sequence[str], trees: Sequence[Sequence[Leaf]]) -> DataFrame:
+    """Add ``__cell``: between which of the trees' thresholds each input lies. Rows of one cell take the same ways in all trees."""
+    ends: dict[int, set[float]] = {}
+    for leaf in itertools.chain.from_iterable(trees):
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            ends.setdefault(f, set()).update(b for b in (low, high) if math.isfinite(b))
+    used = sorted(ends)
+    if not used:
+        return df.withColumn("__cell", F.array().cast("array<int>"))
+    cuts = [[-math.inf, *[math.nextafter(b, math.inf) for b in sorted(ends[f])], math.inf] for f in used]
+    names = [f"__cell_{f}" for f in used]
+    cut = Bucketizer(splitsArray=cuts, inputCols=[inputs[f] for f in used], outputCols=names, handleInvalid="keep").transform(df)
+    return cut.withColumn("__cell", F.array(*[F.col(n).cast("int") for n in names])).drop(*names)
+
+
 def tree_contributions(model: FittedModel, df: DataFrame, row_id: str) -> tuple[DataFrame, float]:
     """Contributions of every feature for every row (long form) and the base value they add to.
 
-    The fitted trees travel to the tasks once as a broadcast of the model's own size; rows stream through
-    in Arrow batches. Missing-value indicators are added to their column.
+    The fitted trees travel to the tasks once as a broadcast of the model's own size. Rows that lie between the same
+    thresholds have the same contributions, so these are computed once per such cell, in Arrow batches, and fetched
+    by a join. Missing-value indicators are added to their column.
     """
     trees, weights = tree_leaves(model)
     base = sum(w * sum(leaf.value * leaf.cover for leaf in leaves) for leaves, w in zip(trees, weights))
     inputs = model.inputs
-    shared = df.sparkSession.sparkContext.broadcast((trees, weights))
-    kind = df.schema[row_id].dataType.simpleString()
+    features = list(dict.fromkeys(c.removesuffix("_missing") for c in inputs))
+    merged = np.array([[c.removesuffix("_missing") == f for f in features] for c in inputs], dtype=float)
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps((trees, weights)))  # by value: workers have no copy of this package
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ensemble, tree_weights = shared.value
+        ensemble, tree_weights = pickle.loads(shared.value)
         for batch in batches:
-            x = batch[inputs].to_numpy(dtype=float)
-            phi = _shap(x, ensemble, tree_weights)
-            yield pd.DataFrame(
-                {
-                    row_id: np.repeat(batch[row_id].to_numpy(), len(inputs)),
-                    "feature": np.tile(inputs, len(batch)),
-                    "value": x.ravel(),
-                    "contribution": phi.ravel(),
-                }
-            )
-
-    long = model.prepare(df).select(row_id, *[F.col(f"`{c}`") for c in inputs]).mapInPandas(run, f"{row_id} {kind}, {CONTRIBUTION_SCHEMA}")
-    base_name = F.regexp_replace("feature", "_missing$", "")
-    merged = long.groupBy(row_id, base_name.alias("feature")).agg(
-        F.max_by("value", ~F.col("feature").endswith("_missing")).alias("value"), F.sum("contribution").alias("contribution")
-    )
-    return merged, base
+            phi = _shap(batch[inputs].to_numpy(dtype=float), ensemble, tree_weights) @ merged
+            yield pd.DataFrame({"__cell": batch["__cell"], "__phi": list(phi)})
+
+    rows = _cells(model.prepare(df).select(row_id, *[F.col(f"`{c}`").cast("double").alias(c) for c in inputs]), inputs, trees)
+    ones = rows.groupBy("__cell").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in inputs])).alias("__one"))
+    spread = ones.select("__cell", "__one.*").repartition(df.sparkSession.sparkContext.defaultParallelism, "__cell")
+    known = cut_lineage(spread.mapInPandas(run, "__cell array<int>, __phi array<double>"))
+    told = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"), F.col("__phi")[i].alias("contribution")) for i, f in enumerate(features)])
+    return lookup(rows, known, ["__cell"], "inner").select(row_id, F.explode(told).alias("__c")).select(row_id, "__c.*"), base
 
 
 def global_importance(long: DataFrame) -> DataFrame:

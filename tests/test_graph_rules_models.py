@@ -369,3 +369,22 @@ def test_equal_rows_are_grown_on_once_and_every_row_counts(spark):
     positives = many.agg(F.sum("label")).first()[0]
     weighted = M.class_weights(whole, "label", rows=F.col(ROWS)).groupBy("label").agg(F.sum(M.WEIGHT).alias("w"))
     assert all(r.w == pytest.approx(7500) for r in weighted.collect()) and 0 < positives < 15000
+
+
+def test_contributions_are_computed_once_per_cell_and_hold_for_every_row(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.random(), float(rng.randint(0, 5)) if i % 9 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("y", (F.col("a") + F.coalesce("b", F.lit(3.0)) / 5 > 1).cast("int"))
+    model = M.fit_variant(df, "y", Variant.BOOSTED, numbers=["a", "b"], maxIter=3, maxDepth=3)
+    trees, weights = X.tree_leaves(model)
+    prepared = model.prepare(df)
+    assert X._cells(prepared, model.inputs, trees).select("__cell").distinct().count() < 500
+    inputs = {r["id"]: [r[c] for c in model.inputs] for r in prepared.collect()}
+    ids = sorted(inputs)
+    want = dict(zip(ids, X._shap(np.array([inputs[i] for i in ids], dtype=float), trees, weights)))
+    got = X.tree_contributions(model, df, "id")[0].collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        at = [k for k, c in enumerate(model.inputs) if c.removesuffix("_missing") == r.feature]
+        assert r.contribution == pytest.approx(sum(want[r["id"]][k] for k in at), abs=1e-9)
+        assert r.value == inputs[r["id"]][model.inputs.index(r.feature)]
