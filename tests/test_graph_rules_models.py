@@ -388,3 +388,18 @@ def test_contributions_are_computed_once_per_cell_and_hold_for_every_row(spark):
         at = [k for k, c in enumerate(model.inputs) if c.removesuffix("_missing") == r.feature]
         assert r.contribution == pytest.approx(sum(want[r["id"]][k] for k in at), abs=1e-9)
         assert r.value == inputs[r["id"]][model.inputs.index(r.feature)]
+
+
+def test_short_vectors_are_averaged_without_sorting(spark):
+    rows = [(i, [float(i), float(i * i)]) for i in range(40)]
+    edges = [("p" if i % 3 else "q", i, j) for i in range(40) for j in range(i + 1, min(40, i + 6))]
+    e, v = spark.createDataFrame(edges, "identity_type string, src long, dst long"), spark.createDataFrame(rows, "id long, v array<double>")
+    out = G.neighbour_means(e, v, key="id", vector="v", size=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    for r in out.collect():
+        want = np.zeros(2)
+        for kind in "pq":
+            near = [rows[s][1] for k, s, t in edges if t == r["id"] and k == kind]
+            want += np.mean(near, axis=0) if near else 0
+        assert r.hop_1 == pytest.approx(list(want))
