@@ -17,6 +17,7 @@ from stallwatch.functions.scalar import SIGNAL_FACTORS, time_features
 from stallwatch.operators.features import conform
 from stallwatch.operators.graph import link_counts
 from stallwatch.operators.models import PROBABILITY, FittedModel, score_rows
+from stallwatch.session import cut_lineage
 from stallwatch.sources.ingest import parse_events, rejected, valid
 from stallwatch.streaming.ingest import EVENT_KEY
 from stallwatch.streaming.links import LiveLinks
@@ -55,7 +56,8 @@ class EventScorer:
         return conform(timed, list(ordered), [*self.numbers, *self.links])
 
     def linked(self, events: DataFrame) -> DataFrame:
-        """The batch form of the live link counts: every event of a history at once."""
+        """The batch form of the live link counts: every event of a history at once. Events are stored, as they are read six times."""
+        events = cut_lineage(events)
         counts = link_counts(events, identities=self.identities, entity="insertion_id", time="event_timestamp", row_id=ROW)
         return events.join(counts, ROW, "left")
 
