@@ -12,7 +12,7 @@ from stallwatch.functions.scalar import decision, risk_tier
 from stallwatch.plans import etl
 from stallwatch.operators.models import fit_variant
 from stallwatch.registry import Variant
-from stallwatch.session import cut_lineage, scratch_folder
+from stallwatch.session import cut_lineage, scratch_folder, shuffle_width
 from stallwatch.sources import decisions as D
 from stallwatch.sources import feeds as S
 from stallwatch.sources import ingest as I
@@ -283,16 +283,33 @@ def stream_link_counts(spark, d):
     return spark.read.parquet(f"{folder}/links").drop("batch_id")
 
 
+# Rows a file of a feed holds, at least, where a part is written as several.
+FILE_ROWS = 50_000
+
+
+def _fed_in_parts(df, part, folder, form="parquet"):
+    """``df`` as a feed into ``folder``, part after part (few values, none for null), all of as many files; returns how many.
+
+    Rows are made once, by all tasks, and stored by part; each part is then written from what it stored.
+    """
+    spark, stored = df.sparkSession, scratch_folder(df.sparkSession, "parts")
+    df.withColumn("__part", part.cast("long")).filter("__part IS NOT NULL").write.partitionBy("__part").parquet(stored)
+    kept = spark.read.parquet(stored)
+    sizes = kept.groupBy("__part").count().orderBy("__part").collect()  # parts of the feed
+    files = max(1, min(shuffle_width(spark), min((r["count"] for r in sizes), default=0) // FILE_ROWS))
+    for r in sizes:  # a file source takes files by their time of change
+        rows = kept.filter(F.col("__part") == r["__part"]).select(*df.columns)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").format(form).save(folder)
+        time.sleep(0.02)
+    return files
+
+
 def _by_day(spark, d, days, name):
-    """The events as a stream of one file per ``days`` days, in order of time."""
+    """The events as a stream of one micro-batch per ``days`` days, in order of time."""
     folder = scratch_folder(spark, name)
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("ts", F.col("ts").cast("timestamp"))
-    part = F.floor(F.datediff("ts", F.lit("2024-01-01")) / days)
-    parts = [r["n"] for r in e.select(part.alias("n")).distinct().orderBy("n").collect()]  # days of the feed
-    for n in parts:  # a file source takes files by their time of change
-        e.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.02)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = _fed_in_parts(e, F.floor(F.datediff("ts", F.lit("2024-01-01")) / days), folder)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _expired_sql(days, ttl):
@@ -334,14 +351,12 @@ def scored_stream(spark, d):
     folder, scorer = scratch_folder(spark, "scoring"), EventScorer(["fraud_score", "email_links", "device_links", "event_hour"])
     raw = _json_events(spark, d)
     week = F.floor(F.datediff(F.to_date(F.get_json_object("value", "$.event_timestamp")), F.lit("2024-01-01")) / 7)
-    for n in range(5):  # January
-        raw.filter(week == n).coalesce(1).write.mode("append").text(f"{folder}/in")
-        time.sleep(0.02)
+    files = _fed_in_parts(raw, F.when(week.between(0, 4), week), f"{folder}/in", "text")  # January
     linked = cut_lineage(scorer.linked(numbered_events(I.parse_events(raw))))
     history = scorer.features(linked).filter(F.col("event_timestamp") < F.lit("2024-01-15").cast("timestamp"))
     label = (F.pmod(F.xxhash64("insertion_id"), F.lit(5)) == 0).cast("int")
     model = fit_variant(history.withColumn("y", label), "y", Variant.LOGISTIC, numbers=scorer.numbers)
-    _finish(ScoringStream(f"{folder}/out", model, scorer).start(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{folder}/in")))
+    _finish(ScoringStream(f"{folder}/out", model, scorer).start(spark.readStream.format("text").option("maxFilesPerTrigger", files).load(f"{folder}/in")))
     stream = spark.read.parquet(f"{folder}/out/scored").drop("batch_id")
     columns = stream.columns
     same = F.xxhash64(*[F.to_json(F.struct(c)) for c in columns])

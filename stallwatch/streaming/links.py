@@ -52,17 +52,9 @@ class LiveLinks:
         horizon = None if earliest is None else earliest - int(self.ttl_days * 86_400_000_000)
         near = self.state.read(fresh, batch_id, None if horizon is None else F.lit(horizon))
         known = lookup(near, fresh.select("kind", "identity").distinct(), ["kind", "identity"], "left_semi").persist()
-        rows = events.select(self.row_id, self.entity, self.time, *[F.col(c).cast("string").alias(c) for c in self.identities.values()])
-        past = known.select(
-            F.lit(None).cast(events.schema[self.row_id].dataType).alias(self.row_id),
-            F.col("entity").alias(self.entity),
-            F.timestamp_micros("seen").cast(events.schema[self.time].dataType).alias(self.time),
-            *[F.when(F.col("kind") == kind, F.col("identity")).alias(column) for kind, column in self.identities.items()],
-        )
-        tagged = rows.unionByName(past).withColumn("__row", F.coalesce(F.col(self.row_id).cast("string"), F.concat_ws("|", F.lit("past"), self.entity, *self.identities.values())))
-        counts = link_counts(tagged, identities=self.identities, entity=self.entity, time=self.time, row_id="__row")
-        own = events.select(self.row_id, F.col(self.row_id).cast("string").alias("__row"))
-        write_batch(own.join(counts, "__row").drop("__row"), f"{self.folder}/links", batch_id)
+        seen = fresh.select("kind", "identity", "entity", "seen").unionByName(known.select("kind", "identity", "entity", "seen"))
+        counts = link_counts(events.filter(F.col(self.row_id).isNotNull()), identities=self.identities, entity=self.entity, time=self.time, row_id=self.row_id, seen=seen)
+        write_batch(counts, f"{self.folder}/links", batch_id)
         new = lookup(fresh, known.select("kind", "identity", "entity"), ["kind", "identity", "entity"], "left_anti")
         self.state.append(new.select(*fresh.columns), batch_id)
         write_batch(near.agg(F.count(F.lit(1)).alias("rows_read")), f"{self.folder}/reads", batch_id)  # one narrow column
