@@ -137,13 +137,21 @@ def precision_at_recall(df: DataFrame, label: str, score: str, target: float) ->
     return steps.filter(tp / F.nullif(positives, F.lit(0)) >= target).agg(F.max(tp / (tp + fp)).alias("precision"), F.max("__s").alias("threshold"))
 
 
-def probability_losses(df: DataFrame, label: str, score: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
-    """Log loss and Brier score of the scored rows; a row without score adds to neither, a NaN score makes both NaN."""
+def probability_losses(df: DataFrame, label: str, score: str, by: Sequence[str] = (), eps: float | None = 1e-15) -> DataFrame:
+    """Log loss and Brier score of the scored rows; a row without score adds to neither, a NaN score makes both NaN.
+
+    Scores are kept ``eps`` away from 0 and 1. Without it they count as they are, by the logarithm of floating numbers: one that is
+    no probability, or is certain and right, makes the log loss NaN (0 times infinity), one certain and wrong makes it infinite.
+    """
     y, s = F.col(label).cast("double"), F.col(score)
+
+    def ln(x: Column) -> Column:  # Spark's own gives null up to 0
+        return F.when(x < 0, float("nan")).when(x == 0, float("-inf")).otherwise(F.log(x))
+
     # greatest and least pass over nulls and put NaN above all numbers, so both are kept out of the bounds
-    p = F.when(s.isNull() | F.isnan(s), s).otherwise(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), s)))
+    p = s if eps is None else F.when(s.isNull() | F.isnan(s), s).otherwise(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), s)))
     return df.groupBy(*by).agg(
-        F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
+        F.avg(-(y * ln(p) + (1 - y) * ln(1 - p))).alias("log_loss"),
         F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier"),
     )
 
